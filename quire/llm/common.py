@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +92,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return roots.select(F.col("u").alias("node"), "root").unionByName(
         roots.select(F.col("root").alias("node"), "root").distinct()
     )
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut(), but as a Parquet table: smaller on disk, for tables with many rows."""
+    path = f"{checkpoint_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
