@@ -133,7 +133,8 @@ def links(prints: DataFrame) -> DataFrame:
     long = listed.where(F.col("n") > LONG_LIST).select("fp").distinct()
     around = long.select("fp", F.explode(_midpoints(F.col("fp"))).alias("middle"))
     least = around.groupBy("middle").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top")
-    stars = around.join(least, "middle").where("fp > b").select(F.col("b").alias("a"), F.col("fp").alias("b"))
+    # Without the hint Spark takes around for as small as long and broadcasts it.
+    stars = around.hint("merge").join(least, "middle").where("fp > b").select(F.col("b").alias("a"), F.col("fp").alias("b"))
     return near.select("a", "b").unionByName(stars).distinct()
 
 
