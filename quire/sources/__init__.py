@@ -1,0 +1 @@
+"""Reading files as relations, in batches or as they arrive."""

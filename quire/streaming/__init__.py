@@ -1,0 +1 @@
+"""Running operators on files and events as they arrive."""
