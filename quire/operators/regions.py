@@ -6,7 +6,7 @@ doc_id, page0 and region, a struct<x, y, w, h> of fractions of the page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, text_region
@@ -28,10 +28,12 @@ def find_spans(items: DataFrame, presets: list[str] = tuple(PII_PATTERNS), term:
     patterns = {k: PII_PATTERNS[k] for k in presets}
     if term.strip():
         patterns["search"] = literal_pattern(term)
-    kinds = [
-        F.transform(match_spans(F.col("str"), p), lambda s, k=k: F.struct(F.lit(k).alias("preset"), s["start"].alias("start"), s["end"].alias("end")))
-        for k, p in patterns.items()
-    ]
+
+    def named(preset: str, pattern: str) -> Column:
+        one = lambda s: F.struct(F.lit(preset).alias("preset"), s["start"].alias("start"), s["end"].alias("end"))
+        return F.transform(match_spans(F.col("str"), pattern), one)
+
+    kinds = [named(k, p) for k, p in patterns.items()]
     return items.select("*", F.explode(F.concat(*kinds)).alias("span")).select("*", "span.*").drop("span")
 
 
