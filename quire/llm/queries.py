@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_tree, langid, licenses, masked_lm, mixing, quality, secrets, simhash, substring
+from . import decontam, html_tree, langid, licenses, masked_lm, mixing, oracles, quality, secrets, simhash, substring
 from .common import table
 
 
@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
