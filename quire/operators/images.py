@@ -205,3 +205,31 @@ def encoded(images: DataFrame, encoder: Callable[[np.ndarray], bytes] = png_byte
         return pa.array([None if x is None or not x["data"] else encoder(pixels(x)) for x in image.to_pylist()], pa.binary())
 
     return images.withColumn("content", encode(F.col(column)))
+
+
+def best_quality(encode: Callable[[float], bytes], target: int, low: float = 0.1, high: float = 1.0, tries: int = 7) -> bytes:
+    """The largest file of at most target bytes that bisecting the quality finds, or the last one tried above it."""
+    best = last = encode(low)
+    fits = len(best) <= target
+    for _ in range(tries):
+        middle = (low + high) / 2
+        last = encode(middle)
+        if len(last) <= target:
+            best, fits, low = last, True, middle
+        else:
+            high = middle
+    return best if fits else last
+
+
+def with_matte(p: np.ndarray, matte: np.ndarray) -> np.ndarray:
+    """An image whose alpha is multiplied by a square matte of 0 to 1, taken from where letterboxed() put the image."""
+    h, w = p.shape[:2]
+    side = len(matte)
+    scale = min(side / w, side / h)
+    dw, dh = max(1, int(w * scale)), max(1, int(h * scale))
+    y, x = (side - dh) // 2, (side - dw) // 2
+    grey = np.floor(np.clip(matte, 0, 1) * 255 + 0.5).astype(np.uint8)
+    alpha = resample(grey[y : y + dh, x : x + dw, None], w, h)[:, :, 0].astype(np.float64)
+    old = p[:, :, 3] if p.shape[2] == 4 else np.full((h, w), 255)
+    new = np.floor(old * alpha / 255 + 0.5).astype(np.uint8)
+    return np.concatenate([p[:, :, :3], new[:, :, None]], axis=2)

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geometry, names, numbers, ranges, text
-from .operators import archives, html, pages, regions, split, tabular, timeline
+from .functions import choices, geometry, names, numbers, ranges, text
+from .operators import archives, epub, html, pages, regions, split, tabular, timeline
 from .plans import catalog, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,6 +654,56 @@ def gzip_texts(spark, sf_dir):
     return archives.gzip_files(named).select("archive_id", "ord", "name", F.octet_length("content").alias("size"), "error")
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity <= l_linenumber * 8 * 0.97::DOUBLE AS worth, CASE WHEN least(a, b) < o THEN CASE WHEN a <= b THEN 'repacked' ELSE 'raster' END ELSE 'original' END AS best
+FROM (SELECT *, l_linenumber * 8 AS o, l_quantity AS a, l_discount * 500 AS b FROM lineitem)""")
+def best_candidate(spark, sf_dir):
+    found = _read(spark, sf_dir, "lineitem")
+    one = lambda name, size: F.struct(F.lit(name).alias("name"), size.cast("double").alias("size"))
+    before, after = F.col("l_linenumber") * 8, F.col("l_quantity")
+    best = choices.smallest(one("original", before), one("repacked", after), one("raster", F.col("l_discount") * 500))
+    return found.select("l_orderkey", "l_linenumber", choices.meaningful_reduction(before, after).alias("worth"), best["name"].alias("best"))
+
+
+@query("""
+WITH p AS (SELECT conv_id AS doc_id, CAST(turn AS INT) AS page0, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations)
+SELECT doc_id, page0 FROM p WHERE used < 500""")
+def char_budget(spark, sf_dir):
+    return epub.within_budget(_pages(spark, sf_dir), "doc_id", ["page0"], "text", 500).select("doc_id", "page0")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN [16, 32, 48] WHEN p_size % 4 = 1 THEN [32, 256] WHEN p_size % 4 = 2 THEN [64] ELSE [16, 32, 48] END AS sizes FROM part""")
+def icon_sizes(spark, sf_dir):
+    given = F.get(F.array(*map(F.lit, ("", "256, 32,32,7", " 64px", "x"))), F.col("p_size") % 4)
+    return _read(spark, sf_dir, "part").select("p_partkey", choices.icon_sizes(given).alias("sizes"))
+
+
+@query("""
+SELECT p_partkey, f.format, f.mime FROM part, (VALUES (0, 'PNG', 'image/png'), (1, 'JPG', 'image/jpeg'), (2, 'WEBP', 'image/webp')) f(i, format, mime)
+WHERE (i = 0 AND p_size % 2 = 0) OR (i = 1 AND p_size % 3 = 0) OR (i = 2 AND p_size % 5 = 0)""")
+def image_targets(spark, sf_dir):
+    wanted = {k: F.col("p_size") % n == 0 for k, n in (("PNG", 2), ("JPG", 3), ("WEBP", 5))}
+    return _read(spark, sf_dir, "part").select("p_partkey", F.inline(choices.image_targets(wanted))).select("p_partkey", "format", "mime")
+
+
+@query("""
+SELECT p_partkey, list_transform([0.25 * 600, 0.9 * 800, 0.75 * 600, 0.9 * 800, 0.25 * 600, 0.9 * 800 - p_size * 8, 0.75 * 600, 0.9 * 800 - p_size * 8], lambda v: CAST(round(v * 100) AS INT)) AS quad FROM part""")
+def quad_points(spark, sf_dir):
+    found = choices.quad_points(F.lit(0.25), F.lit(0.1), F.lit(0.5), F.col("p_size") / 100, F.lit(600.0), F.lit(800.0))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.transform(found, lambda v: F.round(v * 100).cast("int")).alias("quad"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'image/webp' WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END AS mime,
+  CAST(CASE WHEN p_size % 9 BETWEEN 1 AND 6 THEN p_size % 9 - 1 ELSE 5 END AS INT) AS page0 FROM part""")
+def compressed_types(spark, sf_dir):
+    kind = F.col("p_size") % 3
+    mime = choices.compressed_type(F.when(kind == 2, "image/jpeg").otherwise("image/png"), kind == 1)
+    page = choices.target_page(F.col("p_size") % 9, F.lit(6))
+    return _read(spark, sf_dir, "part").select("p_partkey", mime.alias("mime"), page.alias("page0"))
+
+
 # Samples and time lines
 
 

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators import archives, html, images, pages, regions, split, tabular, timeline
-from quire.plans import catalog
+from quire.operators import archives, epub, html, images, pages, regions, split, tabular, timeline
+from quire.plans import catalog, jobs
 from quire.plans.run import run_plans
 from quire.sources import files
 from quire.streaming import ingest
@@ -262,3 +262,29 @@ def test_samples(spark):
     assert ask(timeline.trim_samples(F.col("s"), 2, 0.5, 1.5)) == [2.0, 3.0]
     assert ask(timeline.trim_samples(F.col("s"), 2, 0.5, 0.1)) == [2.0, 3.0, 4.0]
     assert ask(timeline.channel_difference(F.col("s"), F.reverse("s"))) == [-3.0, -1.0, 1.0, 3.0]
+
+
+def test_epub(spark):
+    container = b'<container xmlns="urn:x"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>'
+    opf = b'<package xmlns="urn:y"><manifest><item id="b" href="two%20b.xhtml"/><item id="a" href="One.xhtml"/></manifest><spine><itemref idref="b"/><itemref idref="gone"/><itemref idref="a"/></spine></package>'
+    rows = [("META-INF/container.xml", container), ("OEBPS/book.opf", opf), ("OEBPS/two b.xhtml", b"<h1>T\xe2\x80\x94wo</h1><img src='../i.png'/>"), ("OEBPS/one.xhtml", b"<p>first</p>")]
+    entries = [(1, p, c) for p, c in rows] + [(2, p, c) for p, c in rows] + [(2, "META-INF/encryption.xml", b"")]
+    found = epub.blocks(spark.createDataFrame(entries, "archive_id long, path string, content binary")).orderBy("chapter", "block").collect()
+    assert [(r.archive_id, r.chapter, r.kind, r.text, r.href) for r in found] == [
+        (1, 0, "heading", "T--wo", None), (1, 0, "image", None, "i.png"), (1, 1, "paragraph", "first", None)
+    ]
+
+
+def test_jobs(spark):
+    with jobs.cancellable(spark, "quire-test") as stop:
+        assert spark.range(3).count() == 3 and stop() == []
+    assert "quire-test" not in spark.getTags() and jobs.progress(spark) == []
+
+
+def test_quality_search_and_matte():
+    encode = lambda q: bytes(int(q * 1000))
+    assert 590 <= len(images.best_quality(encode, 600)) <= 600
+    assert len(images.best_quality(encode, 50)) > 100 - 1
+    p = np.full((4, 8, 3), 9, np.uint8)
+    assert (images.with_matte(p, np.ones((16, 16)))[:, :, 3] == 255).all()
+    assert (images.with_matte(p, np.full((16, 16), 0.5))[:, :, 3] == 128).all()
