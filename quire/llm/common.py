@@ -97,5 +97,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), but as a Parquet table: smaller on disk, for tables with many rows."""
     path = f"{checkpoint_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

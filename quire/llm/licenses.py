@@ -4,8 +4,11 @@ A document's lines, sentences, paragraphs and its whole text are normalised (low
 words of letters and digits) and compared with license templates. The Dice coefficient
 2 * shared / (a + b) of two bigram sets can reach THRESHOLD only if
 b * t / (2 - t) <= a <= b * (2 - t) / t, so the size of a unit rules out most templates
-before any set is intersected. Templates are a fixed list of a few kilobytes, part of
-the plan; nothing is shuffled.
+before any set is intersected. A unit that reaches it shares at least b * t / (2 - t) of a
+template's b bigrams; words chosen so that more than the rest of the bigrams hold one of
+them must therefore occur in it, and texts and units without such a word are passed over
+without loss. Templates are a fixed list of a few kilobytes, part of the plan; nothing is
+shuffled.
 
 Defined results: null and empty texts match nothing; a unit of fewer than two words has
 no bigrams; the best template of a unit is the one of the highest coefficient, ties go
@@ -66,11 +69,36 @@ TEMPLATES = {
 }
 
 
+#: Words too common to tell a notice; they are the last to be chosen as telling words.
+COMMON = frozenset(
+    "a above all and any are as at be by either do following for free from in is it may no not of on or other person "
+    "that the this to under use used with without work you your".split()
+)
+
+
 def bigrams(text: str) -> list[str]:
     words = re.findall(r"[0-9a-z]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def telling_words(notice: str, threshold: float = THRESHOLD) -> list[str]:
+    """Words one of which every unit that reaches the threshold must hold: uncommon and long ones first."""
+    grams = [set(g.split()) for g in bigrams(notice)]
+    spare = len(grams) * (1 - threshold / (2 - threshold))
+    chosen: list[str] = []
+    for word in sorted(set().union(*grams), key=lambda w: (w in COMMON, -len(w), w)) if grams else []:
+        if sum(bool(g & set(chosen)) for g in grams) > spare + 1e-9:
+            break
+        chosen.append(word)
+    return chosen
+
+
+def gate(templates: dict[str, list[str]], threshold: float) -> str:
+    """A pattern that lower-cased texts with a match must hold."""
+    words = sorted({w for notices in templates.values() for n in notices for w in telling_words(n, threshold)})
+    return rf"(?<![0-9a-z])(?:{'|'.join(words)})(?![0-9a-z])"
+
+
 def template_array(templates: dict[str, list[str]]) -> Column:
     rows = [(name, bigrams(notice)) for name in sorted(templates) for notice in templates[name]]
     return F.array(*[
@@ -111,16 +139,19 @@ def best_match(unit: Column, templates: Column, threshold: float) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: doc_id and matches, array<struct<dice, id, unit>>, best first."""
-    listed = template_array(templates or TEMPLATES)
+    templates = templates or TEMPLATES
+    listed, needed = template_array(templates), gate(templates, threshold)
     text = text_or_empty(F.col("text"))
 
     def units(t: Column) -> Column:
         pieces = F.concat(F.split(t, "\n"), F.split(t, SENTENCE_END), F.split(t, r"\n\s*\n"), F.array(t))
-        return F.array_distinct(pieces)
+        return F.filter(F.array_distinct(pieces), lambda u: F.lower(u).rlike(needed))
 
     def matched(v: Column) -> Column:
         each = F.transform(units(v["text"]), lambda u: best_match(u, v["templates"], threshold))
         return F.reverse(F.array_sort(F.filter(each, lambda m: m.isNotNull())))
 
     whole = F.struct(text.alias("text"), listed.alias("templates"))
-    return docs.select("doc_id", let(whole, matched).alias("matches"))
+    none = F.expr("cast(array() as array<struct<dice: double, id: string, unit: string>>)")
+    found = F.when(F.lower(text).rlike(needed), let(whole, matched)).otherwise(none)
+    return docs.select("doc_id", found.alias("matches"))

@@ -40,6 +40,8 @@ MIN_BYTES = 8 - MAX_BITS
 LONG_LIST = 32
 #: Shingles hashed at a time, which bounds the memory that a very long text takes.
 BLOCK = 1 << 15
+#: Ids from here on stand for fingerprints whose rows have no doc_id; doc_ids are smaller.
+NAMELESS = 1 << 61
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -139,15 +141,23 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, fp, component_id, the smallest doc_id reachable."""
+    """One row for each row of docs: doc_id, fp, component_id, the smallest doc_id reachable.
+
+    A fingerprint is represented by its smallest doc_id, so that the root of a component
+    is its name already and nothing has to be joined by component.
+    """
     printed = cut(fingerprints(docs))
-    nodes = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(nodes.select("fp")))
-    grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nameless = F.col("fp").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+    nodes = cut(least.select("fp", F.coalesce("least", nameless).alias("id")))
+    ends = links(nodes.select("fp"))
+    for end in ("a", "b"):
+        ends = ends.join(nodes.select(F.col("fp").alias(end), F.col("id").alias(f"{end}_id")), end)
+    roots = connected_components(ends, "a_id", "b_id")
+    root = F.coalesce("root", "id")
+    named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(
+        F.col("fp").alias("of_fp"), F.when(root < NAMELESS, root).alias("component_id")
     )
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select(F.col("fp").alias("of_fp"), "component_id")
     return printed.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 

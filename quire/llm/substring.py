@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, text_or_empty
+from .common import cut, let, stored, text_or_empty
 from .runhash import Powers, word_hashes, words
 
 MIN_LINE = 10
@@ -83,7 +83,9 @@ def units(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id and spans, the merged array<struct<start, end>> to remove, of documents with any."""
     found = stored(units(docs))
-    firsts = (
+    # Written first, so that the join below has an exchange of its own on either side and
+    # Spark can split the partition of a line that a third of the documents hold.
+    firsts = cut(
         found.groupBy("digest")
         .agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "word")).alias("kept"))
         .where("times > 1")

@@ -508,3 +508,20 @@ def test_profiles_do_not_see_held_out_rows(spark, docs):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_telling_words_lose_nothing(seed):
+    """Whatever is cut from or added to a notice, it holds a telling word as long as it matches."""
+    rng = random.Random(seed)
+    pattern = re.compile(licenses.gate(licenses.TEMPLATES, licenses.THRESHOLD))
+    for notice in (n for notices in licenses.TEMPLATES.values() for n in notices):
+        grams = set(licenses.bigrams(notice))
+        for _ in range(40):
+            words = notice.split()
+            for _ in range(rng.randint(0, max(1, len(words) // 6))):
+                at = rng.randrange(len(words) + 1)
+                words[at : at + rng.randint(0, 1)] = rng.choice(([], ["zz"]))
+            own = set(licenses.bigrams(" ".join(words)))
+            if own and 2 * len(own & grams) / (len(own) + len(grams)) >= licenses.THRESHOLD:
+                assert pattern.search(" ".join(words).lower())
