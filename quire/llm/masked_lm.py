@@ -9,7 +9,7 @@ corpus, so that every word has a probability.
 
 Counts cover all documents. Training covers all documents too: in each of ROUNDS rounds
 every partition trains a copy of the network on the masked positions of its own rows
-(one in EVERY, by a hash) and the copies are averaged, weighted by their positions, in a
+(a hash deals every position to one of the rounds) and the copies are averaged, weighted by their positions, in a
 shuffle; only the averaged network, some 20,000 numbers, reaches the driver. Work and
 traffic grow with the input, a task holds one batch of rows and one network.
 
@@ -36,7 +36,6 @@ PAD = CLASSES
 SIDES = (-2, -1, 1, 2)
 WIDTH = 16
 ROUNDS = 2
-EVERY = 16
 SEED = 3
 STEP = 512
 BLOCK = 4096
@@ -194,7 +193,13 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["word"] for r in top], np.int64), np.log(letters / letters.sum())
 
 
-def train_round(docs: DataFrame, coder: tuple, values: np.ndarray, number: int) -> np.ndarray:
+def dealt(ids: np.ndarray, at: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """The positions of at that train in a round; each of them does in exactly one."""
+    mark = (ids[at] + 3 * ids[at - 1] + 7 * ids[at + 1] + 13 * at) * 2654435761 >> 7
+    return at[mark % rounds == number]
+
+
+def train_round(docs: DataFrame, coder: tuple, values: np.ndarray, number: int, rounds: int) -> np.ndarray:
     """The average of the networks that the partitions of docs train from values."""
 
     def run(batches: Iterator):
@@ -205,8 +210,7 @@ def train_round(docs: DataFrame, coder: tuple, values: np.ndarray, number: int)
             ids, at, _, _ = own.joined(batch.column("text"))
             if not len(at):
                 continue
-            mark = (ids[at] + 3 * ids[at - 1] + 7 * ids[at + 1] + 13 * at) * 2654435761 >> 7
-            at = at[mark % EVERY == number]
+            at = dealt(ids, at, number, rounds)
             np.random.default_rng(SEED + number).shuffle(at)
             for i in range(0, len(at), STEP):
                 trainer.step(ids, at[i : i + STEP])
@@ -224,7 +228,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[tuple[np.ndarray, np.n
     coder = vocabulary(docs)
     values = flat(initial()).astype(np.float64)
     for number in range(rounds):
-        values = train_round(docs, coder, values, number)
+        values = train_round(docs, coder, values, number, rounds)
     return coder, values
 
 

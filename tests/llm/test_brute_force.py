@@ -134,6 +134,13 @@ def test_scores_prefer_the_corpus(spark, docs):
     assert all(r.score < 0 and r.score == pytest.approx(r.mean_score * r.n_tokens) for r in found.values())
 
 
+def test_every_position_trains_once():
+    ids = np.concatenate(([masked_lm.PAD] * 2, np.arange(9), [masked_lm.PAD] * 2))
+    at = np.arange(2, 11)
+    seen = [masked_lm.dealt(ids, at, i, masked_lm.ROUNDS) for i in range(masked_lm.ROUNDS)]
+    assert sorted(np.concatenate(seen)) == at.tolist()
+
+
 def test_word_counts(spark, docs):
     words = [w for r in docs.collect() for w in r.text.encode().lower().split()]
     found = {r.word: r.n for r in masked_lm.word_counts(docs).collect()}
