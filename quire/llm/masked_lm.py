@@ -4,14 +4,18 @@ A window network, written in numpy, predicts every token of a document from the
 tokens on either side of it. The sum of the conditional log-probabilities scores the
 document. Tokens are white-space words with A-Z lower-cased. The KNOWN most frequent
 words of the whole corpus are classes of their own; the others share BUCKETS classes by
-their last two bytes, and the letters of such a word are charged by a byte model of the
-corpus, so that every word has a probability.
+their last two bytes. Within such a class the network predicts the word itself by the
+branches of a Huffman tree (hierarchical softmax), whose leaves are the words that occur
+at least LEAST times, so that they grow with the corpus, and one for all rarer words. The
+letters of a rarer word are charged by a byte model of the corpus, so that every word has
+a probability. MOST bounds the leaves: beyond it the least count rises. A branch has
+WIDTH + 1 weights, so the network and its slopes take 18 MB of a worker at most.
 
 Counts cover all documents. Training covers all documents too: in each of ROUNDS rounds
 every partition trains a copy of the network on the masked positions of its own rows
 (a hash deals every position to one of the rounds) and the copies are averaged, weighted by their positions, in a
-shuffle; only the averaged network, some 20,000 numbers, reaches the driver. Work and
-traffic grow with the input, a task holds one batch of rows and one network.
+shuffle; the averaged network and the counts of its words reach the driver. Texts are
+coded once. A task holds one batch of rows and one network.
 
 Defined results: a null or empty text has no tokens, score 0 and mean_score null; tokens
 past either end are a mask of their own; repeated rows get equal scores; extra columns
@@ -20,19 +24,23 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 from .runhash import Powers, word_hashes, words
 
 KNOWN = 128
 BUCKETS = 128
 CLASSES = KNOWN + BUCKETS
 PAD = CLASSES
+#: A word has a leaf of its own from this count on, if there are no more than MOST such words.
+LEAST = 16
+MOST = 1 << 17
 SIDES = (-2, -1, 1, 2)
 WIDTH = 16
 ROUNDS = 2
@@ -80,15 +88,101 @@ def log_probabilities(net: list[np.ndarray], ids: np.ndarray, at: np.ndarray) ->
     return found
 
 
+def tree(kinds: np.ndarray, counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Huffman trees over the leaves of each class: (offsets, nodes, sides) of the way to each leaf, and the branches.
+
+    A branch is WIDTH weights, 0 at first, and a bias, at first the log-odds of its two sides.
+    """
+    n = len(kinds)
+    parent, side, bias = [-1] * n, [0] * n, []
+    order = np.argsort(kinds, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(kinds[order])) + 1):
+        heap = [(int(counts[i]), int(i)) for i in group]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+            node = len(parent)
+            parent.append(-1)
+            side.append(0)
+            parent[left] = parent[right] = node
+            side[right] = 1
+            bias.append(np.log(b / a))
+            heapq.heappush(heap, (a + b, node))
+    parent, side = np.array(parent, np.int64), np.array(side, bool)
+    leaf = at = np.arange(n)
+    steps = []
+    while len(leaf):
+        leaf, at = leaf[parent[at] >= 0], at[parent[at] >= 0]
+        steps.append((leaf, parent[at] - n, side[at]))
+        at = parent[at]
+    leaf, nodes, sides = (np.concatenate(x) for x in zip(*steps, strict=True))
+    order = np.argsort(leaf, kind="stable")
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(leaf, minlength=n))))
+    branches = np.zeros((len(bias), WIDTH + 1), np.float32)
+    branches[:, WIDTH] = bias
+    return (offsets, nodes[order].astype(np.int32), sides[order]), branches
+
+
+def ways(paths: tuple[np.ndarray, ...], leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row in leaves, node and side of every branch on the way to each of leaves."""
+    offsets, nodes, sides = paths
+    first, n = offsets[leaves], offsets[leaves + 1] - offsets[leaves]
+    row = np.repeat(np.arange(len(leaves)), n)
+    step = np.arange(len(row)) + np.repeat(first - (np.cumsum(n) - n), n)
+    return row, nodes[step], sides[step]
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    return np.concatenate((h, np.ones((len(h), 1), np.float32)), axis=1)
+
+
+def word_log_probabilities(
+    net: list[np.ndarray], branches: np.ndarray, paths: tuple, ids: np.ndarray, leaves: np.ndarray, at: np.ndarray
+) -> np.ndarray:
+    """log P(leaves[i] | its class, its window) for the positions at."""
+    found = np.zeros(len(at))
+    for i in range(0, len(at), BLOCK):
+        own = at[i : i + BLOCK]
+        row, node, side = ways(paths, leaves[own])
+        h = with_one(hidden(net, ids[own[:, None] + np.array(SIDES)]))
+        z = np.einsum("ij,ij->i", branches[node], h[row])
+        found[i : i + BLOCK] = -np.bincount(row, np.logaddexp(0, np.where(side, -z, z)), len(own))
+    return found
+
+
 class Trainer:
     """One copy of the network with AdaGrad steps."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, branches: np.ndarray | None = None, paths: tuple | None = None):
+        self.paths = paths
+        if paths:
+            self.branches = branches.astype(np.float32)
+            self.branch_squares = np.full(branches.shape, 1e-2, np.float32)
+            self.visits = np.zeros(len(branches))
         self.net = shaped(values)
         self.squares = [np.full(p.shape, 1e-2, np.float32) for p in self.net]
         self.seen = 0
 
-    def step(self, ids: np.ndarray, at: np.ndarray) -> None:
+    def branch_step(self, h: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Moves the branches on the way to leaves; returns the slopes of h."""
+        row, node, side = ways(self.paths, leaves)
+        if not len(row):
+            return np.zeros_like(h)
+        own, h1 = self.branches[node], with_one(h)[row]
+        g = 1 / (1 + np.exp(-np.einsum("ij,ij->i", own, h1))) - side
+        dh = np.zeros_like(h)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        dh[row[first]] = np.add.reduceat(own[:, :WIDTH] * g[:, None], first)
+        order = np.argsort(node, kind="stable")
+        first = np.flatnonzero(np.diff(node[order], prepend=-1))
+        at, n = node[order[first]], np.diff(first, append=len(order))
+        slope = np.add.reduceat((h1 * g[:, None])[order], first) / n[:, None]
+        self.branch_squares[at] += slope * slope
+        self.branches[at] -= RATE * slope / np.sqrt(self.branch_squares[at])
+        self.visits[at] += n
+        return dh / len(h)
+
+    def step(self, ids: np.ndarray, at: np.ndarray, leaves: np.ndarray | None = None) -> None:
         context, target, n = ids[at[:, None] + np.array(SIDES)], ids[at], len(at)
         h = hidden(self.net, context)
         z = h @ self.net[2] + self.net[3]
@@ -97,7 +191,10 @@ class Trainer:
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(n), target] -= 1  # the gradient of the logits
         z /= n
-        dh = (z @ self.net[2].T) * (1 - h * h)
+        dh = z @ self.net[2].T
+        if self.paths:
+            dh += self.branch_step(h, leaves[at])
+        dh *= 1 - h * h
         cells = np.arange(WIDTH)
         size = (CLASSES + 1) * WIDTH
         embeddings = [
@@ -111,43 +208,44 @@ class Trainer:
         self.seen += n
 
 
+def keys(raw: np.ndarray, first: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hashes of words, whose lowest bits are their bucket."""
+    last = raw[end - 1].astype(np.int64) * 31 + np.where(end - first > 1, raw[np.maximum(end - 2, 0)], 0)
+    return (word_hashes(raw, first, end, powers).view(np.int64) & -BUCKETS) | (last % BUCKETS)
+
+
 class Coder:
-    """Turns texts into class ids with PAD between documents, and charges the letters of unknown words."""
+    """Turns texts into leaves, and charges the letters of words without one of their own."""
 
     def __init__(self, known: np.ndarray, letters: np.ndarray):
         self.known, self.order = np.sort(known), np.argsort(known)
         self.letters, self.powers = letters, Powers()
 
     def code(self, text: str | None) -> tuple[np.ndarray, float]:
-        """The class ids of a text, and the log-probability of the letters of its unknown words."""
+        """The leaves of a text, and the log-probability of the letters of its unknown words."""
         raw, first, end = words(text)
         if not len(first):
-            return np.empty(0, np.int64), 0.0
-        hashes = word_hashes(raw, first, end, self.powers).view(np.int64)
-        last = raw[end - 1].astype(np.int64) * 31 + np.where(end - first > 1, raw[np.maximum(end - 2, 0)], 0)
-        ids = KNOWN + last % BUCKETS
+            return np.empty(0, np.int32), 0.0
+        hashes = keys(raw, first, end, self.powers)
+        leaves = len(self.known) + hashes % BUCKETS
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
             is_known = self.known[at] == hashes
-            ids = np.where(is_known, self.order[at], ids)
+            leaves = np.where(is_known, self.order[at], leaves)
         else:
-            is_known = np.zeros(len(ids), bool)
+            is_known = np.zeros(len(leaves), bool)
         sums = np.concatenate(([0.0], np.cumsum(self.letters[raw])))
         charge = sums[end] - sums[first] + self.letters[256]
-        return ids, float(charge[~is_known].sum())
-
-    def joined(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ids of all texts between PADs, the positions of tokens, their texts' numbers, the texts' charges."""
-        pad = np.full(2, PAD, np.int64)
-        parts, charges, owners = [pad], [], []
-        for i, text in enumerate(texts):
-            ids, charge = self.code(text.as_py())
-            parts += [ids, pad]
-            charges.append(charge)
-            owners.append(np.full(len(ids), i))
-        ids = np.concatenate(parts)
-        at = np.flatnonzero(ids != PAD)
-        return ids, at, np.concatenate(owners) if owners else at, np.array(charges)
+        return leaves.astype(np.int32), float(charge[~is_known].sum())
+
+
+def joined(column, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all coded texts: class ids between PADs, leaves, the positions of tokens, their texts' numbers."""
+    texts = [np.frombuffer(x.as_py(), np.int32) for x in column]
+    pad = np.full(2, -1, np.int32)
+    leaves = np.concatenate([pad] + [part for t in texts for part in (t, pad)])
+    ids = np.where(leaves < 0, PAD, kinds[leaves])
+    return ids, leaves, np.flatnonzero(leaves >= 0), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -169,7 +267,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if len(first):
                     letters[:256] += np.bincount(raw, minlength=256)
                     letters[256] += len(first)
-                    waiting.append(word_hashes(raw, first, end, powers).view(np.int64))
+                    waiting.append(keys(raw, first, end, powers))
                     size += len(first)
                 if size > 8 * FLUSH:
                     yield rows(*np.unique(np.concatenate(waiting), return_counts=True))
@@ -182,15 +280,58 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the KNOWN most frequent words, and the log-probabilities of bytes and of a word's end."""
+def vocabulary(docs: DataFrame) -> tuple[tuple, np.ndarray]:
+    """(words, letters, kinds, paths) and the first branches.
+
+    words are the hashes of the words with leaves, the most frequent first, letters the
+    log-probabilities of bytes and of a word's end, kinds the classes of the leaves.
+    """
     counts = cut(word_counts(docs))
     small = F.col("word").between(-256, 0)
-    top = counts.where(~small).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    own = counts.where(~small)
+    # A row for each count that occurs: fewer than the root of twice the number of tokens.
+    times = own.where(F.col("n") >= LEAST).groupBy("n").agg(F.count("*").alias("words")).collect()
+    least, total = None, 0
+    for row in sorted(times, reverse=True):
+        total += row["words"]
+        if total > MOST:
+            break
+        least = row["n"]
+    found = {r["word"]: r["n"] for r in own.orderBy(F.desc("n"), "word").limit(KNOWN).collect()}
+    if least is not None:
+        more = own.where(F.col("n") >= least).toArrow()  # MOST rows at most
+        found.update(zip(more.column("word").to_pylist(), more.column("n").to_pylist(), strict=True))
+    known = np.array(sorted(found, key=lambda w: (-found[w], w)), np.int64)
+    n = np.array([found[w] for w in known.tolist()], np.int64)
     letters = np.ones(257)
     for row in counts.where(small).collect():  # 257 rows
         letters[-row["word"]] += row["n"]
-    return np.array([r["word"] for r in top], np.int64), np.log(letters / letters.sum())
+    kinds = np.concatenate((KNOWN + known % BUCKETS, KNOWN + np.arange(BUCKETS)))
+    kinds[: min(KNOWN, len(known))] = np.arange(min(KNOWN, len(known)))
+    rest = np.zeros(BUCKETS, np.int64)
+    for row in own.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        rest[row["bucket"]] = row["n"]
+    rest -= np.bincount(known % BUCKETS, n, BUCKETS).astype(np.int64)
+    paths, branches = tree(kinds, np.concatenate((n, np.maximum(rest, 1))))
+    return (known, np.log(letters / letters.sum()), kinds, paths), branches
+
+
+def coded(docs: DataFrame, coder: tuple) -> DataFrame:
+    """doc_id, leaves (int32 as bytes) and charge of every row of docs."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        own = Coder(*coder[:2])
+        for batch in batches:
+            codes = [own.code(t.as_py()) for t in batch.column("text")]
+            columns = [batch.column("doc_id"), pa.array([c.tobytes() for c, _ in codes], pa.binary())]
+            columns.append(pa.array([x for _, x in codes], pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "leaves", "charge"])
+
+    rows = docs.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, leaves binary, charge double")
 
 
 def dealt(ids: np.ndarray, at: np.ndarray, number: int, rounds: int) -> np.ndarray:
@@ -199,50 +340,75 @@ def dealt(ids: np.ndarray, at: np.ndarray, number: int, rounds: int) -> np.ndarr
     return at[mark % rounds == number]
 
 
-def train_round(docs: DataFrame, coder: tuple, values: np.ndarray, number: int, rounds: int) -> np.ndarray:
-    """The average of the networks that the partitions of docs train from values."""
+def train_round(rows: DataFrame, coder: tuple, values: tuple, number: int, rounds: int) -> tuple:
+    """The average of the networks that the partitions of coded rows train from values."""
+    size, across = len(values[0]), WIDTH + 1
+    fill = -size % across
+    wide = (size + fill) // across
+    _, _, kinds, paths = coder
 
     def run(batches: Iterator):
         import pyarrow as pa
 
-        own, trainer = Coder(*coder), Trainer(values)
+        trainer = Trainer(*values, paths)
         for batch in batches:
-            ids, at, _, _ = own.joined(batch.column("text"))
+            ids, leaves, at, _ = joined(batch.column("leaves"), kinds)
             if not len(at):
                 continue
             at = dealt(ids, at, number, rounds)
             np.random.default_rng(SEED + number).shuffle(at)
             for i in range(0, len(at), STEP):
-                trainer.step(ids, at[i : i + STEP])
+                trainer.step(ids, at[i : i + STEP], leaves)
         if trainer.seen:
-            weighted = flat(trainer.net).astype(np.float64) * trainer.seen
-            columns = [np.arange(len(weighted) + 1), np.append(weighted, trainer.seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "value"])
-
-    sums = docs.select("text").mapInArrow(run, "i long, value double").groupBy("i").agg(F.sum("value").alias("value"))
-    rows = sorted((r["i"], r["value"]) for r in sums.collect())  # as many as the network has weights
-    return np.array([v for _, v in rows[:-1]]) / rows[-1][1] if rows else values
+            net = np.append(flat(trainer.net), np.zeros(fill)).reshape(wide, across)
+            seen = np.flatnonzero(trainer.visits)
+            weight = np.concatenate((np.full(wide, float(trainer.seen)), trainer.visits[seen]))
+            cells = np.concatenate((net, trainer.branches[seen])) * weight[:, None]
+            columns = [pa.array(np.concatenate((np.arange(wide), wide + seen))), pa.array(weight)]
+            columns += [pa.array(np.ascontiguousarray(c)) for c in cells.T]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "weight", *names])
+
+    names = [f"c{k}" for k in range(across)]
+    sums = (
+        rows.select("leaves")
+        .mapInArrow(run, "i long, weight double, " + ", ".join(f"{c} double" for c in names))
+        .groupBy("i")
+        .agg(*(F.sum(c).alias(c) for c in ["weight", *names]))
+        .toArrow()  # a row for each branch, MOST at most, and for each WIDTH + 1 other weights
+    )
+    if not sums.num_rows:
+        return values
+    i, weight, *cells = (sums.column(k).to_numpy() for k in range(across + 2))
+    every = np.concatenate((np.append(values[0], np.zeros(fill)).reshape(wide, across), values[1]))
+    every[i] = np.stack(cells, axis=1) / weight[:, None]
+    return every[:wide].ravel()[:size], every[wide:].astype(np.float32)
+
+
+def trained(rows: DataFrame, coder: tuple, branches: np.ndarray, rounds: int = ROUNDS) -> tuple:
+    values = flat(initial()).astype(np.float64), branches
+    for number in range(rounds):
+        values = train_round(rows, coder, values, number, rounds)
+    return values
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    coder = vocabulary(docs)
-    values = flat(initial()).astype(np.float64)
-    for number in range(rounds):
-        values = train_round(docs, coder, values, number, rounds)
-    return coder, values
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[tuple, tuple]:
+    coder, branches = vocabulary(docs)
+    return coder, trained(stored(coded(docs, coder)), coder, branches, rounds)
 
 
-def score(docs: DataFrame, coder: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, score, mean_score."""
+def scored(rows: DataFrame, coder: tuple, values: tuple) -> DataFrame:
+    """doc_id, n_tokens, score, mean_score for each of the coded rows."""
+    _, _, kinds, paths = coder
 
     def run(batches: Iterator):
         import pyarrow as pa
 
-        own, net = Coder(*coder), shaped(values)
+        net, branches = shaped(values[0]), values[1]
         for batch in batches:
-            ids, at, owner, charges = own.joined(batch.column("text"))
-            n = len(charges)
-            total = np.bincount(owner, log_probabilities(net, ids, at), n) + charges
+            ids, leaves, at, owner = joined(batch.column("leaves"), kinds)
+            n = batch.num_rows
+            each = log_probabilities(net, ids, at) + word_log_probabilities(net, branches, paths, ids, leaves, at)
+            total = np.bincount(owner, each, n) + batch.column("charge").to_numpy()
             tokens = np.bincount(owner, minlength=n)
             mean = pa.array(total / np.maximum(tokens, 1), mask=tokens == 0)
             yield pa.RecordBatch.from_arrays(
@@ -250,10 +416,16 @@ def score(docs: DataFrame, coder: tuple[np.ndarray, np.ndarray], values: np.ndar
                 names=["doc_id", "n_tokens", "score", "mean_score"],
             )
 
-    rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, score double, mean_score double")
 
 
+def score(docs: DataFrame, coder: tuple, values: tuple) -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, score, mean_score."""
+    return scored(coded(docs, coder), coder, values)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
-    return score(docs, *train(docs))
+    coder, branches = vocabulary(docs)
+    rows = stored(coded(docs, coder))
+    return scored(rows, coder, trained(rows, coder, branches))

@@ -141,6 +141,27 @@ def test_every_position_trains_once():
     assert sorted(np.concatenate(seen)) == at.tolist()
 
 
+def test_words_follow_the_corpus_and_their_context(spark):
+    # Both words end alike and are as frequent; only the words beside them tell them apart.
+    fill = [" ".join(f"f{i}" for i in range(140))] * 300
+    docs = frame(spark, fill + ["red house stands here", "big mouse runs away"] * 150)
+    coder, values = masked_lm.train(docs)
+    words, _, kinds, paths = coder
+    assert len(words) == 148 and len(paths[0]) == len(kinds) + 1 == 148 + masked_lm.BUCKETS + 1
+    texts = ["red house stands here", "red mouse stands here", "big mouse runs away", "big house runs away"]
+    found = {r.doc_id: r.score for r in masked_lm.score(frame(spark, texts), coder, values).collect()}
+    assert found[0] > found[1] and found[2] > found[3]
+
+
+def test_words_of_a_class_sum_to_one():
+    kinds, counts = np.array([0, 200, 200, 200, 200, 201]), np.array([9, 7, 5, 3, 1, 2])
+    paths, branches = masked_lm.tree(kinds, counts)
+    net = masked_lm.shaped(masked_lm.flat(masked_lm.initial()))
+    ids, at = np.array([masked_lm.PAD] * 2 + [200] + [masked_lm.PAD] * 2), np.array([2])
+    p = [np.exp(masked_lm.word_log_probabilities(net, branches, paths, ids, np.full(5, i), at))[0] for i in range(6)]
+    assert p == pytest.approx([1, 7 / 16, 5 / 16, 3 / 16, 1 / 16, 1])
+
+
 def test_word_counts(spark, docs):
     words = [w for r in docs.collect() for w in r.text.encode().lower().split()]
     found = {r.word: r.n for r in masked_lm.word_counts(docs).collect()}
