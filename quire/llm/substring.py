@@ -1,6 +1,6 @@
 """Substring de-duplication by hashed lines and passages.
 
-Every line of at least MIN_LINE words is a unit. Passages that repeat within longer or
+Every line with a word is a unit, however short (also one of a script without spaces). Passages that repeat within longer or
 differently broken lines are found by further units: of all runs of PASSAGE words, those
 whose hash is the smallest among GUARANTEE neighbouring runs ("winnowing", Schleimer et
 al., 2003), so that a passage of PASSAGE + GUARANTEE - 1 = 35 words or more always holds a
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, let, stored, text_or_empty
 from .runhash import Powers, word_hashes, words
 
-MIN_LINE = 10
+#: Words of the shortest line that is a unit: any line but an empty one.
+MIN_LINE = 1
 PASSAGE = 20
 GUARANTEE = 16
 

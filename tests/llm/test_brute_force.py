@@ -326,6 +326,12 @@ def test_planted_passages(spark):
     assert done[10].n_removed == sum(b - a for a, b in found[10])
 
 
+def test_short_lines(spark):
+    texts = ["a b\nAll rights reserved.\nc", "d\nall  rights reserved.\ne f", "你好世界这是重复的一行。\ng", "h\n你好世界这是重复的一行。"]
+    found = {r.doc_id: r.text for r in substring.deduplicated(frame(spark, texts)).collect()}
+    assert found == {0: texts[0], 1: "d\n\ne f", 2: texts[2], 3: "h\n"}
+
+
 def test_lines_against_plain_grouping(spark, rows):
     """Lines alone: with windows longer than any text, spans are exactly the later equal lines."""
     texts = [t for _, t, _ in rows]
