@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A table is broadcast up to this size; beyond it Spark shuffles.
+BROADCAST_BYTES = 8 << 20
+#: The folders that stored() made inside of scratch(), of each scratch() that is open.
+_scratch: list[list[str]] = []
+
 #: Characters of a word: everything but the space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,15 +49,32 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def row_keys() -> tuple[Column, Column]:
+    """Two hashes, never null, of the doc_id (of any type) and the text of a row.
+
+    They tell rows apart where doc_ids are null or repeated. Rows equal in both columns
+    have equal keys, and whatever depends on id and text alone is the same for them.
+    """
+    doc_id, text = F.col("doc_id"), F.col("text")
+    return F.xxhash64(doc_id.cast("string"), doc_id.isNull()), F.xxhash64(text, text.isNull())
+
+
+def bounded(df: DataFrame, size: Column | int = 64) -> DataFrame:
+    """df marked for broadcast if its rows of so many bytes, added up here, are at most BROADCAST_BYTES."""
+    total = df.agg(F.sum(size if isinstance(size, Column) else F.lit(size)).cast("long")).head()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a temporary folder is used.
+    Only on a single machine, as in tests, a temporary folder does where that is unset.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -94,8 +118,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), but as a Parquet table: smaller on disk, for tables with many rows."""
+def stored(df: DataFrame, kept: bool = False) -> DataFrame:
+    """Like cut(), but as a Parquet table: smaller on disk, for tables with many rows.
+
+    kept saves it from the scratch() that is open.
+    """
     path = f"{checkpoint_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
+    if _scratch and not kept:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what stored() writes inside of it; nothing that reads those tables may be left to run."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _scratch.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decontam import bounded
+from .common import bounded
 
 PROFILE = 400
 MISSING = PROFILE
@@ -91,7 +91,7 @@ def profiles(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> list[tuple[str,
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(SEED)), 11) * F.lit(2.0**-53)
     # Texts are not shuffled by language, which would put most of them into a few tasks.
-    chosen = known.join(bounded(sizes), "lang").where(draw * F.col("n") < per_lang).select("lang", "text")
+    chosen = known.join(bounded(sizes, F.octet_length("lang") + 40), "lang").where(draw * F.col("n") < per_lang).select("lang", "text")
 
     def count(batches):
         import pyarrow as pa

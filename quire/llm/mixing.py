@@ -1,28 +1,27 @@
 """Mixing sources to target weights (DataFrame functions only).
 
 Tokens are summed by source, targets are filled up by weight, and each document is
-emitted floor(rate) times plus one more time if a hash of its id and a seed falls
-below the fraction of the rate. Reruns draw the same copies.
+emitted floor(rate) times plus one more time if a hash of its id, its text and a seed
+falls below the fraction of the rate. Reruns draw the same copies.
 
 Defined results: null and empty texts have size 0; a null source is one source, ranked
-last; a source without words has target 0 and rate 0; rows that share a doc_id share
-the draw; extra columns are kept by mix() and ignored by plan_documents(); an empty
-table gives an empty result.
+last; a source without words has target 0 and rate 0; rows equal in doc_id and text share
+the draw, rows with null or shared doc_ids but different texts do not; extra columns are
+kept by mix() and ignored by plan_documents(), under whatever names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_space_words
+from .common import bounded, cut, n_space_words
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_REPEATS = 2
 SEED = 20250101
-#: Up to so many sources their rates are broadcast, about 10 MB; beyond, Spark's own join is used.
-BROADCAST_SOURCES = 100_000
 RANGES = 64
 
 
@@ -77,30 +76,32 @@ def fill(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats:
     return limited.select("of_source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with of_source, source_size, target, rate and copies."""
-    if rates.count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) * F.lit(2.0**-53)
+def draw(seed: int) -> Column:
+    """A number from 0 to 1, less than 1, from the doc_id and the text of a row."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) * F.lit(2.0**-53)
+
+
+def with_copies(drawn: DataFrame, rates: DataFrame) -> DataFrame:
+    """drawn, which has source and draw, with of_source, source_size, target, rate and copies."""
+    rates = bounded(rates, F.coalesce(F.octet_length("of_source"), F.lit(0)) + 48)
     whole = F.floor("rate")
-    copies = whole + (draw < F.col("rate") - whole).cast("long")
-    return docs.join(rates, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("copies", copies)
+    copies = whole + (F.col("draw") < F.col("rate") - whole).cast("long")
+    return drawn.join(rates, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("copies", copies)
 
 
 def plan_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken, copies."""
     rates = cut(fill(source_sizes(docs), weights, budget))
-    sized = docs.select("doc_id", "source", n_space_words(F.col("text")).alias("size"))
-    return with_copies(sized, rates, seed).select(
+    sized = docs.select("doc_id", "source", n_space_words(F.col("text")).alias("size"), draw(seed).alias("draw"))
+    return with_copies(sized, rates).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it."""
-    rates = cut(fill(source_sizes(docs), weights, budget)).select("of_source", "rate")
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    keyed = kept.select("__row", F.col("__row")["doc_id"].alias("doc_id"), F.col("__row")["source"].alias("source"))
+    rates = cut(fill(source_sizes(docs), weights, budget))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    copied = with_copies(keyed, rates, seed).where("copies > 0").select("__row", each.alias("__copy"))
-    return copied.select("__row.*")
+    copied = with_copies(docs.select(row, "source", draw(seed).alias("draw")), rates).where("copies > 0").select("row", each)
+    return copied.select("row.*")

@@ -3,12 +3,13 @@
 Each document gets counts from its whole text. Failures of the rules are summed by
 host (the source column), the hosts' failure rates are shrunk with a beta prior that
 is itself fitted to all hosts, and the verdict of the host decides how many of the
-soft rules a document may fail. Only narrow columns are shuffled: one row per
-document without its text, pre-aggregated by host.
+soft rules a document may fail. Only counts by host are shuffled, pre-aggregated; texts
+stay with their verdicts and never move.
 
 Defined results: a null or empty text has no words and fails; a null source is a host
-of its own; rows are judged one by one, so repeated rows get equal verdicts; extra
-columns are ignored; an empty table gives an empty result.
+of its own; rows are judged one by one, whatever their doc_ids, so repeated rows get
+equal verdicts and null or shared doc_ids harm no other row; extra columns are ignored by
+judge() and kept by keep_good(), under whatever names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut, let, space_words, text_or_empty
+from .common import SPACE_CLASS, bounded, cut, let, space_words, stored, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50  # in hundredths of the words
 SYMBOLS = r"[#*$%&|<>]"
+#: One graded rule: a document fails it once for each of these symbols per word that it goes beyond, as
+#: with symbols in many words, symbols between the words (tables, menus), symbols everywhere.
+SYMBOL_GRADES = (0.1, 0.3, 1.0)
 #: A host is bad if its shrunken failure rate is above this.
 BAD_HOST_RATE = 0.5
 #: Soft rules that a document of a good and of a bad host may fail.
@@ -61,18 +65,19 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(words, count)).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, host and the counts of each row of docs."""
+def features(docs: DataFrame, *own: Column | str) -> DataFrame:
+    """The columns own (doc_id if none are given), host and the counts of each row of docs."""
+    own = own or ("doc_id",)
     text = text_or_empty(F.col("text"))
     base = docs.select(
-        "doc_id",
+        *own,
         F.col("source").alias("host"),
         space_words(F.col("text")).alias("words"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     return base.select(
-        "doc_id",
+        *base.columns[: len(own)],
         "host",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -84,17 +89,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def rules(counts: DataFrame) -> DataFrame:
-    """Adds base_failed and n_soft, the number of soft rules that fail."""
+    """Adds base_failed and n_soft, how often soft rules fail."""
     n = F.col("n_words")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * n)
-    soft = [
-        10 * F.col("n_symbols") > n,  # symbols in many words
-        10 * F.col("n_symbols") > 3 * n,  # symbols between the words, as in tables and menus
-        F.col("n_symbols") > n,  # symbols everywhere
-        10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),  # boilerplate lines
-        (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),  # not words
-    ]
-    return counts.withColumns({"base_failed": base, "n_soft": sum(x.cast("int") for x in soft)})
+    grade = sum((10 * F.col("n_symbols") > round(10 * g) * n).cast("int") for g in SYMBOL_GRADES)
+    boilerplate = 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")
+    no_words = (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)
+    return counts.withColumns({"base_failed": base, "n_soft": grade + boilerplate.cast("int") + no_words.cast("int")})
 
 
 def host_verdicts(ruled: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFrame:
@@ -124,24 +125,28 @@ def host_verdicts(ruled: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFram
     return joined.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > bad_rate).alias("host_bad"))
 
 
-def judge(docs: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFrame:
-    """One row for each row of docs: doc_id, its counts, base_failed, n_soft, host_rate, host_bad, kept."""
-    ruled = cut(rules(features(docs)))
-    hosts = host_verdicts(ruled, bad_rate).select(
+def _with_verdicts(ruled: DataFrame, bad_rate: float) -> DataFrame:
+    """ruled, which has been written, with host_rate, host_bad and kept."""
+    hosts = cut(host_verdicts(ruled, bad_rate).select(
         F.col("host").alias("of_host"), F.col("rate").alias("host_rate"), "host_bad"
-    )
+    ))
+    hosts = bounded(hosts, F.coalesce(F.octet_length("of_host"), F.lit(0)) + 32)
     allowed = F.when(F.col("host_bad"), ALLOWED_BAD).otherwise(ALLOWED_GOOD)
     joined = ruled.join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
-    return joined.select(
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("n_soft") <= allowed))
+
+
+def judge(docs: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFrame:
+    """One row for each row of docs: doc_id, its counts, base_failed, n_soft, host_rate, host_bad, kept."""
+    return _with_verdicts(cut(rules(features(docs))), bad_rate).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("n_soft") <= allowed)).alias("kept"), "n_soft", "host_rate", "host_bad",
+        "kept", "n_soft", "host_rate", "host_bad",
     )
 
 
 def keep_good(docs: DataFrame, bad_rate: float = BAD_HOST_RATE) -> DataFrame:
-    """The rows of docs, all columns, without the documents that judge() rejects.
-
-    Rows that share a doc_id go together if one of them is rejected.
-    """
-    rejected = judge(docs, bad_rate).where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__rejected")), "left_anti")
+    """The rows of docs, all columns, without those that judge() rejects; each row falls by its own verdict."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ruled = rules(features(docs, row))
+    ruled = stored(ruled.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))))
+    return _with_verdicts(ruled, bad_rate).where("kept").select("row.*")
