@@ -10,28 +10,35 @@ system), so no pair above the minimum is lost. Candidates are pairs of distinct
 fingerprints in a list; their shared positional bytes are tallied, pairs below the
 minimum are dropped, the rest is verified by counting differing bits.
 
-Lists longer than LONG_LIST would give pairs with the square of their length. Their
-fingerprints are linked through midpoints instead: two fingerprints differ in at most
-four bits exactly if some 64-bit value differs from both in at most two, so each of them
-is listed under the 2081 values within two bits, and every list is linked to its
-smallest member. That is exact and linear in the number of fingerprints.
-
-Defined results: null and empty texts have fingerprint 0 and are linked like any
-other; equal fingerprints, hence exact copies, are one node; rows that share a doc_id
-are one node as well as what each of them links; extra columns are ignored, or kept by
-keep_first(); an empty table gives an empty result. Null doc_ids cannot name a
-component: their rows are fingerprinted, get the component of the smallest doc_id that
-is reachable, null if there is none, and are kept by keep_first().
+A list of more than LONG_LIST fingerprints would give pairs with the square of its
+length. Its fingerprints are listed again under keys of four positional bytes, all 70
+fours, of which any pair above the minimum shares one; those lists are shorter by a
+factor of 256 and tallied in the same way. What fills even a list of four bytes, with over
+LONG_LIST distinct fingerprints, is a dense group of near copies; only those are linked
+through midpoints: two fingerprints differ in at most four bits exactly if some 64-bit
+value differs from both in at most two, so each is listed under the 2081 values within two
+bits, and every list is linked to its smallest member. Each step is exact, and the last one
+linear in the fingerprints that reach it.
+
+Defined results: null and empty texts have fingerprint 0 and are linked like any other;
+equal fingerprints, hence exact copies, are one node; doc_ids may be of any type that has
+an order, null or repeated: rows are linked by their fingerprints alone, so a shared doc_id
+links nothing; a component is named by its smallest doc_id, null if it has only null ones;
+keep_first() keeps one row of each component, the one of the smallest doc_id (null comes
+last, then the hash of the text decides, and of rows equal in both any one stays); extra
+columns are ignored by components() and kept by keep_first(); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import bounded, connected_components, cut, row_keys
 
 SHINGLE = 4
 SEED = 42
@@ -40,8 +47,6 @@ MIN_BYTES = 8 - MAX_BITS
 LONG_LIST = 32
 #: Shingles hashed at a time, which bounds the memory that a very long text takes.
 BLOCK = 1 << 15
-#: Ids from here on stand for fingerprints whose rows have no doc_id; doc_ids are smaller.
-NAMELESS = 1 << 61
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -54,6 +59,7 @@ def _triples() -> list[tuple[int, int, int]]:
 
 
 TRIPLES = _triples()
+FOURS = list(combinations(range(8), MIN_BYTES))
 
 
 def fingerprint(text: str | None) -> int:
@@ -76,30 +82,34 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (long) of each row of docs."""
+    """doc_id, k1 and k2 (row_keys) and fp (long) of each row of docs."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            prints = [fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"]
-            )
+            prints = pa.array([fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())
+            own = [batch.column(c) for c in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*own, prints], names=["doc_id", "k1", "k2", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    k1, k2 = row_keys()
+    rows = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, fp long")
 
 
 def _byte(fp: Column, at: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * at).bitwiseAND(F.lit(255))
 
 
-def _list_keys(fp: Column) -> Column:
-    """The keys of the 20 lists that hold fp: the triple's number and its three bytes."""
+def _list_keys(fp: Column, places: Sequence[tuple[int, ...]]) -> Column:
+    """The keys of the lists that hold fp, one for each tuple of places: its number and the bytes there."""
     keys = []
-    for number, (a, b, c) in enumerate(TRIPLES):
-        packed = _byte(fp, a) * 65536 + _byte(fp, b) * 256 + _byte(fp, c)
-        keys.append(F.lit(number << 24).cast("long") + packed)
+    for number, own in enumerate(places):
+        packed = F.lit(number).cast("long")
+        for at in own:
+            packed = packed * 256 + _byte(fp, at)
+        keys.append(packed)
     return F.array(*keys)
 
 
@@ -120,48 +130,78 @@ def _midpoints(fp: Column) -> Column:
     return F.transform(pairs, lambda m: fp.bitwiseXOR(m))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect all of each component.
-
-    Between fingerprints that share a short list every link is returned.
-    """
-    entries = prints.select("fp", F.explode(_list_keys(F.col("fp"))).alias("key"))
+def _tallied(prints: DataFrame, places: Sequence[tuple[int, ...]]) -> tuple[DataFrame, DataFrame]:
+    """The links a, b of pairs that share a short list, and the distinct fp in long lists."""
+    entries = prints.select("fp", F.explode(_list_keys(F.col("fp"), places)).alias("key"))
     lists = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     listed = cut(entries.join(lists, "key"))
     short = listed.where(F.col("n") <= LONG_LIST)
     a, b = F.col("a"), F.col("b")
     pairs = short.select("key", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
     near = pairs.where((shared_bytes(a, b) >= MIN_BYTES) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS))
-    long = listed.where(F.col("n") > LONG_LIST).select("fp").distinct()
-    around = long.select("fp", F.explode(_midpoints(F.col("fp"))).alias("middle"))
+    return near.select("a", "b"), listed.where(F.col("n") > LONG_LIST).select("fp").distinct()
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that connect all of each component.
+
+    Between fingerprints that share a short list every link is returned.
+    """
+    near, long = _tallied(prints, TRIPLES)
+    by_four, dense = _tallied(cut(long), FOURS)
+    dense = cut(dense)
+    around = dense.select("fp", F.explode(_midpoints(F.col("fp"))).alias("middle"))
     least = around.groupBy("middle").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top")
-    # Without the hint Spark takes around for as small as long and broadcasts it.
+    # Without the hint Spark takes around for as small as dense and broadcasts it.
     stars = around.hint("merge").join(least, "middle").where("fp > b").select(F.col("b").alias("a"), F.col("fp").alias("b"))
-    return near.select("a", "b").unionByName(stars).distinct()
+    return near.unionByName(by_four).unionByName(stars).distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, fp, component_id, the smallest doc_id reachable.
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, k1, k2 and fp of each row, and of_fp, component and component_id of each fp.
 
-    A fingerprint is represented by its smallest doc_id, so that the root of a component
-    is its name already and nothing has to be joined by component.
+    component is the smallest fp of the component, which every component has.
     """
     printed = cut(fingerprints(docs))
-    least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nameless = F.col("fp").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
-    nodes = cut(least.select("fp", F.coalesce("least", nameless).alias("id")))
-    ends = links(nodes.select("fp"))
-    for end in ("a", "b"):
-        ends = ends.join(nodes.select(F.col("fp").alias(end), F.col("id").alias(f"{end}_id")), end)
-    roots = connected_components(ends, "a_id", "b_id")
-    root = F.coalesce("root", "id")
-    named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("fp").alias("of_fp"), F.when(root < NAMELESS, root).alias("component_id")
-    )
+    nodes = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = cut(connected_components(links(nodes.select("fp"))))
+    linked = cut(roots.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "least"))
+    # Written, so that the join has an exchange of its own on either side and a large component can be split.
+    names = cut(linked.groupBy("root").agg(F.min("least").alias("name")))
+    named = linked.select("node", "root").join(names, "root")
+    return printed, cut(nodes.join(named, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("of_fp"), F.coalesce("root", "fp").alias("component"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"),
+    ))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, fp, component_id, the smallest doc_id reachable."""
+    printed, named = grouped(docs)
     return printed.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
+def surplus(docs: DataFrame) -> DataFrame:
+    """k1, k2 and again of rows that are not wanted: all rows of those keys, or with again all but one."""
+    printed, named = grouped(docs)
+    rows = printed.join(named, F.col("fp") == F.col("of_fp")).groupBy("component", "k1", "k2").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("n")
+    )
+    rows = cut(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k2", "k1")))
+    first = cut(rows.groupBy("component").agg(F.min("place").alias("first"), F.sum("n").alias("rows")).where("rows > 1"))
+    both = rows.select("component", "k1", "k2", "place", "n").join(first.select("component", "first"), "component")
+    return both.select("k1", "k2", (F.col("place") == F.col("first")).alias("again"), "n").where("n > 1 or not again").drop("n")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those whose component holds a smaller doc_id."""
-    later = components(docs).where("doc_id > component_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("__later"), "left_anti")
+    """One row of each component of docs, with all columns."""
+    marks = cut(surplus(docs))
+    k1, k2 = row_keys()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, k1.alias("k1"), k2.alias("k2"))
+    kept = keyed.join(bounded(marks), ["k1", "k2"], "left_anti").select("row.*")
+    repeated = marks.where("again").select("k1", "k2")
+    if repeated.isEmpty():
+        return kept
+    one = keyed.join(bounded(repeated), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return kept.unionByName(one.select("row.*"))
