@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, secrets
+from . import decontam, licenses, quality, secrets
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -16,8 +16,7 @@ f AS (SELECT k, doc_id, host, len(w) AS n_words, length(array_to_string(w, ''))
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN n USING (k)),
 j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_SHARE} * n_words AS base_failed,
-  CAST(10 * n_symbols > n_words AS INT) + CAST(10 * n_symbols > 3 * n_words AS INT) + CAST(n_symbols > n_words AS INT)
-  + CAST(10 * n_dup_lines > 3 * n_lines AS INT) + CAST(word_chars < 2 * n_words OR word_chars > 15 * n_words AS INT) AS n_soft FROM f),
+  len(list_filter({[round(10 * g) for g in quality.SYMBOL_GRADES]}, lambda g: 10 * n_symbols > g * n_words)) + CAST(10 * n_dup_lines > 3 * n_lines AS INT) + CAST(word_chars < 2 * n_words OR word_chars > 15 * n_words AS INT) AS n_soft FROM f),
 h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(base_failed OR n_soft > 0 AS INT)) AS DOUBLE) AS k FROM j GROUP BY host),
 p AS (SELECT sum(k) / sum(n) AS m, sum(k / n * k) / sum(n) AS s FROM h),
 v AS (SELECT host, CASE WHEN s - m * m < 1e-9 THEN m ELSE (k + m * (m * (1 - m) / (s - m * m) - 1)) / (n + m * (1 - m) / (s - m * m) - 1) END > {quality.BAD_HOST_RATE} AS bad FROM h, p)
@@ -37,10 +36,21 @@ g AS (SELECT k, o, n, array_to_string(w[o + 1:o + n], ' ') AS g
   FROM (SELECT k, w, n, unnest(range(0, len(w) - n + 1)) AS o FROM d, (SELECT DISTINCT n FROM s))),
 m AS (SELECT g.k, g.o, g.n, i.item_id FROM g JOIN i ON g.g = i.g AND g.n = i.n),
 h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(o, o + n)) AS p FROM m) GROUP BY k),
-t AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY k)
+t AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY k),
+x AS (SELECT k, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
+c AS (SELECT term, count(*) AS n_posts FROM x GROUP BY term),
+q AS (SELECT q, item_id, n, o, i, w[o + i + 1] AS term FROM (SELECT *, unnest(range(0, n)) AS i FROM (
+  SELECT *, unnest(range(0, len(w) - n + 1)) AS o FROM (SELECT *, row_number() OVER () AS q FROM s)))),
+a AS (SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY q, o ORDER BY n_posts, i) AS place, count(*) OVER (PARTITION BY q, o) AS have FROM q JOIN c USING (term))
+  WHERE have = n AND place <= {decontam.DEPTH}),
+z AS (SELECT k, item_id, q, o, n, place, pos - o - i AS shift FROM a JOIN x USING (term)),
+y AS (SELECT k, count(DISTINCT item_id) AS n_near_items FROM (
+  SELECT u.k, u.item_id FROM z u JOIN z v ON u.k = v.k AND u.q = v.q AND u.o = v.o AND u.place = 1 AND v.place = 2 AND abs(u.shift - v.shift) <= {decontam.SLOP}
+  UNION ALL SELECT k, item_id FROM z WHERE n = 1) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k) LEFT JOIN y USING (k)"""
 
 
 def _literal(text: str) -> str:
