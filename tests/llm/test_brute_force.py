@@ -182,7 +182,7 @@ def brute_print(text):
 
 
 def test_triples_cover_all_fours():
-    assert len(simhash.TRIPLES) == 20
+    assert len(simhash.TRIPLES) == 20 and len(simhash.FOURS) == 70
     assert all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in itertools.combinations(range(8), 4))
 
 
@@ -202,9 +202,9 @@ def close(prints):
     return [(a, b) for a, b in itertools.combinations(prints, 2) if bin((a ^ b) % 2**64).count("1") <= 4]
 
 
-@pytest.mark.parametrize("limit", [32, 3])
+@pytest.mark.parametrize("limit", [32, 8, 3, 1])
 def test_links(spark, monkeypatch, limit):
-    """Random prints with near ones around a few centres, through short lists and through midpoints."""
+    """Random prints with near ones around a few centres, through short and longer keys and through midpoints."""
     monkeypatch.setattr(simhash, "LONG_LIST", limit)
     rng = random.Random(limit)
     prints = {rng.getrandbits(64) for _ in range(40)}
@@ -235,6 +235,27 @@ def test_components(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components(pairs, range(len(texts))).values()))
 
 
+@pytest.mark.parametrize("kind, ids", [("long", [3 * 10**18, 3 * 10**18 + 1, -5, 2**62, 2**63 - 1, -(2**63)]), ("string", ["b", "a", "é", "", "z", "7"])])
+def test_ids_of_any_kind(spark, kind, ids):
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    texts = [one, one, two, two, "alone stands this one", one]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+    found = {r.doc_id: r.component_id for r in simhash.components(df).collect()}
+    least = {t: min(i for i, x in zip(ids, texts, strict=True) if x == t) for t in texts}
+    assert found == {i: least[t] for i, t in zip(ids, texts, strict=True)}
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted(least.values())
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    one, two = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, one), (None, two), (4, two), (4, one), (4, one), (None, "no other has this"), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.component_id) for r in simhash.components(df).collect()]
+    assert collections.Counter(found) == collections.Counter([(None, 4), (None, 4), (4, 4), (4, 4), (4, 4), (None, None), (9, 9), (None, 9)])
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(df).collect()]
+    assert sorted(kept, key=repr) == sorted([(4, one), (4, two), (None, "no other has this"), (9, None)], key=repr)
+
+
 # 4
 
 
@@ -307,23 +328,27 @@ def test_run_hashes():
     assert len(set(got.tolist())) == len(again)
 
 
+def spans_of(df):
+    pairs = lambda x: [tuple(s) for s in x]
+    return {r.doc_id: (pairs(r.line_spans), pairs(r.passage_spans), r.text, r.n_removed) for r in substring.deduplicated(df).collect()}
+
+
 def test_planted_passages(spark):
+    """Of a passage of 49 words or more every word goes, and no word beside it."""
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     text = lambda n: [word() for _ in range(n)]
-    passage, line = text(55), " ".join(text(12))
-    texts = [" ".join(text(30) + passage + text(30)) for _ in range(4)] + [" ".join(text(100)) for _ in range(4)]
+    passage, line = text(51), " ".join(text(12))
+    texts = [" ".join(text(rng.randint(0, 90)) + passage + text(rng.randint(0, 90))) for _ in range(20)] + [" ".join(text(100)) for _ in range(4)]
     texts += [f"É{word()}\n{line}\n{word()}", f"x {word()}\n{line.upper()}\n", f"{line}\n{line}"]
-    df = frame(spark, texts)
-    found = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeats(df).collect()}
-    assert not {0, 4, 5, 6, 7, 8} & set(found)
-    for i in (1, 2, 3):
-        removed = " ".join(texts[i][a:b] for a, b in found[i])
-        assert len(removed.split()) >= 21 and removed in " ".join(passage)
-    assert [texts[9][a:b] for a, b in found[9]] == [line.upper()]
-    done = {r.doc_id: r for r in substring.deduplicated(df).collect()}
-    assert done[8].text == texts[8] and line not in done[10].text
-    assert done[10].n_removed == sum(b - a for a, b in found[10])
+    found = spans_of(frame(spark, texts))
+    whole = " ".join(passage)
+    for i in range(1, 20):
+        at = texts[i].index(whole)
+        assert found[i][:2] == ([], [(at, at + len(whole))])
+    assert all(found[i] == ([], [], texts[i], 0) for i in (0, 20, 21, 22, 23, 24))
+    assert [texts[25][a:b] for a, b in found[25][0]] == [line.upper()]
+    assert line not in found[26][2] and found[26][3] == 2 * len(line) + 1
 
 
 def test_short_lines(spark):
@@ -332,23 +357,75 @@ def test_short_lines(spark):
     assert found == {0: texts[0], 1: "d\n\ne f", 2: texts[2], 3: "h\n"}
 
 
-def test_lines_against_plain_grouping(spark, rows):
-    """Lines alone: with windows longer than any text, spans are exactly the later equal lines."""
-    texts = [t for _, t, _ in rows]
-    seen, expected = {}, {}
+def brute_lines(texts):
+    """Spans of the lines that an earlier document holds, or an earlier place of the same one."""
+    seen, expected = set(), {}
     for i, t in enumerate(texts):
-        at = 0
-        for raw in t.split("\n"):
-            words = raw.translate(LOWER).split()
-            if len(words) >= substring.MIN_LINE:
-                key = " ".join(words)
-                if key in seen:
-                    expected.setdefault(i, set()).add((at + raw.index(raw.strip()), at + raw.index(raw.strip()) + len(raw.strip())))
-                seen.setdefault(key, i)
+        at, expected[i] = 0, []
+        for raw in (t or "").split("\n"):
+            bare = raw.strip(" \t\v\f\r")
+            key = " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", bare.translate(LOWER)) if x)
+            if key and key in seen:
+                start = at + raw.index(bare)
+                expected[i].append((start, start + len(bare)))
+            seen.add(key)
             at += len(raw) + 1
-    found = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeats(frame(spark, texts)).collect()}
-    for i, spans in expected.items():
-        assert all(any(a <= x and y <= b for a, b in found[i]) for x, y in spans)
+    return expected
+
+
+def brute_passages(texts, least):
+    """Words that lie in a run of least words or more that an earlier document holds too."""
+    seen, covered = set(), {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^ \t-\r]+", (t or "").translate(LOWER))
+        grams = [tuple(w[j : j + least]) for j in range(len(w) - least + 1)]
+        covered[i] = {j + k for j, g in enumerate(grams) if g in seen for k in range(least)}
+        seen |= set(grams)
+    return covered
+
+
+def test_against_plain_grouping(spark, rows):
+    """Lines agree exactly; of passages all are found that must be, and none that no other text holds."""
+    texts = [t for _, t, _ in rows]
+    found = spans_of(frame(spark, texts))
+    lines, certain, possible = brute_lines(texts), brute_passages(texts, 49), brute_passages(texts, substring.PASSAGE)
+    for i, t in enumerate(texts):
+        own, within, text, n = found[i]
+        assert own == lines[i]
+        at = [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", t)]
+        gone = {j for j, (a, b) in enumerate(at) if any(x <= a and b <= y for x, y in within)}
+        inside = {j for j in gone if j not in possible[i]}  # repeats within the text itself
+        own_words = [t[a:b].translate(LOWER) for a, b in at]
+        assert certain[i] <= gone and all(own_words.count(own_words[j]) > 1 for j in inside)
+        every = substring.merged(own + within)
+        assert n == sum(b - a for a, b in every) and len(text) == len(t) - n
+
+
+def test_repeated_words_give_few_units():
+    powers = runhash.Powers()
+    n = len(substring.text_units("de " * 10_000, powers)[0])
+    assert n <= 10_000 / substring.GUARANTEE + 2
+    mixed = "a b " * 2000 + " ".join(f"w{i}" for i in range(3000))
+    assert len(substring.text_units(mixed, powers)[0]) < 3 * 7000 / substring.GUARANTEE
+
+
+def test_extension_is_linear_and_exact():
+    rng = np.random.default_rng(4)
+    kept = rng.integers(0, 50, 3000).astype(np.uint32)
+    own = np.concatenate((rng.integers(50, 60, 100), kept[500:900], rng.integers(50, 60, 7), kept[100:2000])).astype(np.uint32)
+    matches = [(110 + i, 510 + i) for i in range(0, 370, 10)] + [(507 + i, 100 + i) for i in range(0, 1800, 30)]
+    assert substring.extended(own, kept, matches, False) == [(100, 500), (507, 2407)]
+    same = np.tile(np.arange(5, dtype=np.uint32), 40)
+    assert substring.extended(same, same, [(20, 0), (50, 0)], True) == [(20, 200)]
+
+
+def test_documents_that_share_an_id_keep_their_own_spans(spark):
+    line = "this line stands in two documents"
+    rows = [(2, f"{line}\nalpha"), (2, "an unrelated text of another row, which stays"), (None, f"{line}\nbeta"), (None, f"gamma\n{line}"), (2, f"{line}\nalpha")]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        found = collections.Counter(r.text for r in substring.remove(df).collect())
+        assert found == collections.Counter({f"{line}\nalpha": 2, rows[1][1]: 1, "\nbeta": 1, "gamma\n": 1})
 
 
 # 7
@@ -384,10 +461,40 @@ def test_contamination(spark, rows):
 
 
 def test_proximity(spark):
-    bench = spark.createDataFrame([("i", "alpha beta gamma delta")], "item_id string, text string")
-    texts = ["alpha x beta y gamma z delta", "alpha " + "x " * 50 + "beta gamma delta", "alpha beta gamma delta"]
-    near = {r.doc_id for r in decontam.proximity_matches(frame(spark, texts), bench, slop=3).collect()}
-    assert {0, 2} <= near and 1 not in near
+    bench = spark.createDataFrame([("i", "alpha beta gamma delta"), ("j", "omega"), (None, "alpha beta")], "item_id string, text string")
+    texts = ["alpha x beta y gamma z delta", "alpha beta gamma " + "x " * 50 + "delta", "alpha beta gamma delta", "beta alpha omega"]
+    found = {r.doc_id: (r.n_hit, r.near_items) for r in decontam.contamination(frame(spark, texts), bench, slop=3).collect()}
+    assert found == {0: (0, ["i"]), 1: (0, []), 2: (4, ["i"]), 3: (1, ["j"])}
+
+
+def test_proximity_by_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghijklmnop") * rng.randint(1, 2)
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    items = [(str(i), " ".join(word() for _ in range(rng.randint(1, 14)))) for i in range(12)]
+    counts = collections.Counter(w for t in texts for w in t.split())
+    expected = collections.defaultdict(set)
+    for name, item in items:
+        w = item.split()
+        for o in range(max(0, len(w) - 10) + 1):
+            own = w[o : o + 10]
+            best = sorted((counts[x], i, x) for i, x in enumerate(own))[:2]
+            if all(counts[x] for x in own):
+                for d, t in enumerate(texts):
+                    shifts = [[p - i for p, x in enumerate(t.split()) if x == term] for _, i, term in best]
+                    if any(all(any(abs(s - z) <= 2 for z in other) for other in shifts[1:]) for s in shifts[0]):
+                        expected[d].add(name)
+    found = decontam.contamination(frame(spark, texts), spark.createDataFrame(items, "item_id string, text string"), slop=2).collect()
+    assert {r.doc_id: set(r.near_items) for r in found} == {d: expected[d] for d in range(40)}
+
+
+def test_a_very_long_item(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    bench = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    _, texts = decontam.items_of(bench)
+    assert decontam.windows(texts).count() == 10 * (20_000 - 9)
+    found = decontam.contamination(frame(spark, [" ".join(words), " ".join(["x"] + words[7:19_000]), " ".join(words[::2])]), bench).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {0: 20_000, 1: 18_993, 2: 0}
 
 
 # 8
