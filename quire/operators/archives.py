@@ -1,8 +1,9 @@
 """ZIP, TAR and GZIP as relations of entries.
 
 Entries have archive_id, ord, name and content. Packing works entry by entry: each is
-compressed and framed in its own row, offsets are running sums of sizes, and only
-gather() brings the frames of one archive together, which is the file it writes.
+compressed and framed in its own row, offsets are running sums of sizes, and only the last
+step brings the frames of one archive together, since they are the file it writes. A ZIP
+archive beyond what its fields can hold is an error, not a file.
 """
 
 from __future__ import annotations
@@ -18,41 +19,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import gzip_name, mime_type, safe_basename
+from .lineage import cut
 
 LEVEL = 6
 BLOCK = 512
-#: What the formats allow: entries of an archive, bytes of an offset in a ZIP file.
-MAX_ENTRIES = 65_535
+# What the formats hold.
+MAX_ENTRIES = 65_535  # entries of a ZIP archive
+MAX_BYTES = 2**32 - 1  # bytes of a ZIP entry, and before one
+NAME_BYTES, PREFIX_BYTES = 100, 155  # bytes of a TAR name and of the folders before it
+#: An archive of more bytes is no value of a row.
+MAX_FILE = 2**31 - 1
 BEFORE = lambda: Window.partitionBy("archive_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def unique(name: str, used: set[str], style: str = "-{}") -> str:
-    """name, or the first of name-2, name-3, ... that is not used; the suffix goes before the extension."""
-    if name in used:
-        dot = name.rfind(".")
-        stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-        n = 2
-        while stem + style.format(n) + ext in used:
-            n += 1
-        name = stem + style.format(n) + ext
-    used.add(name)
-    return name
-
-
 def unique_names(entries: DataFrame, style: str = "-{}") -> DataFrame:
     """archive_id, ord and name, made unique within the archive in the order of ord.
 
-    Whether a name is free depends on all earlier ones, so the names of an archive, not
-    its contents, meet in one group; a ZIP file has at most 65,535.
+    The n-th entry of a name tries the name itself (n = 1) or the name with n before its
+    extension. Where that meets the name of an earlier entry, it and all later entries of
+    its name move on by one; each round of that is a join-free count by name, and there are
+    as many rounds as such meetings follow one another, none for most archives.
     """
-
-    def rename(group):
-        used: set[str] = set()
-        group = group.sort_values("ord")
-        return group.assign(name=[unique(x, used, style) for x in group["name"]])
-
-    narrow = entries.select("archive_id", "ord", "name")
-    return narrow.groupBy("archive_id").applyInPandas(rename, narrow.schema)
+    dotted = F.col("name").rlike(r"(?s)^.+\.[^.]*\z")
+    stem = F.when(dotted, F.regexp_extract("name", r"(?s)^(.+)(\.[^.]*)\z", 1)).otherwise(F.col("name"))
+    before, after = style.split("{}")
+    n = F.col("n").cast("string")
+    numbered = F.concat(stem, F.lit(before), n, F.lit(after), F.substring("name", F.length(stem) + 1, F.length("name")))
+    tried = F.when(F.col("n") == 1, F.col("name")).otherwise(numbered)
+    alike = Window.partitionBy("archive_id", "name").orderBy("ord")
+    rows = entries.select("archive_id", "ord", "name", F.row_number().over(alike).alias("place"))
+    rows = cut(rows.withColumn("n", F.col("place")).withColumn("tried", tried))
+    while True:
+        same = Window.partitionBy("archive_id", "tried")
+        late = F.col("ord") > F.min("ord").over(same)
+        met = cut(rows.withColumn("late", late))
+        if met.where("late").isEmpty():
+            return rows.select("archive_id", "ord", F.col("tried").alias("name"))
+        moved = F.max(F.col("n") + F.col("late").cast("int") - F.col("place")).over(alike)  # the farthest of those so far
+        rows = cut(met.withColumn("n", F.col("place") + moved).drop("late").withColumn("tried", tried))
 
 
 def _named(entries: DataFrame) -> DataFrame:
@@ -82,36 +86,58 @@ def _deflate(entries: DataFrame) -> DataFrame:
 
 
 def _little(value: Column, n: int) -> Column:
-    """n bytes, the lowest first."""
+    """The hex of n bytes, the lowest first; null for a number that they do not hold."""
     digits = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
-    return F.array_join(F.array(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))]), "")
+    text = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
+    return F.when(value.between(0, 256**n - 1), text)
+
+
+def _bytes(*parts: Column | str) -> Column:
+    return F.unhex(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
 
 def zip_frames(entries: DataFrame) -> DataFrame:
-    """archive_id, section, ord and frame: local entries (section 0), directory (1) and end record (2)."""
+    """archive_id, ord, local and entry: the frame of each entry and its entry in the directory.
+
+    entry is null where a size or an offset is beyond MAX_BYTES.
+    """
     packed = _deflate(_named(entries))
-    raw = F.hex(F.to_binary("name", F.lit("utf-8")))
-    shared = F.concat(
-        F.lit("0008" + "0800" + "00002100"), _little(F.col("crc"), 4), _little(F.octet_length("packed"), 4),
-        _little(F.col("size"), 4), _little(F.octet_length("name"), 2), F.lit("0000"),
+    name = F.to_binary("name", F.lit("utf-8"))
+    shared = _bytes(
+        "0008" + "0800" + "00002100", _little(F.col("crc"), 4), _little(F.octet_length("packed"), 4),
+        _little(F.col("size"), 4), _little(F.octet_length("name"), 2), "0000",
     )
-    local = F.concat(F.lit("504B03041400"), shared, raw, F.hex("packed"))
-    sized = packed.select("archive_id", "ord", shared.alias("shared"), raw.alias("raw"), F.unhex(local).alias("local"))
-    placed = sized.withColumn("offset", F.coalesce(F.sum(F.octet_length("local")).over(BEFORE()), F.lit(0)))
-    entry = F.concat(F.lit("504B010214001400"), F.col("shared"), F.lit("0000" + "0000" + "0000" + "00000000"), _little(F.col("offset"), 4), F.col("raw"))
-    framed = placed.select("archive_id", "ord", "local", F.unhex(entry).alias("entry"))
-    ends = framed.groupBy("archive_id").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("local")).alias("at"), F.sum(F.octet_length("entry")).alias("size")
-    )
-    end = F.concat(
-        F.lit("504B0506" + "00000000"), _little(F.col("n"), 2), _little(F.col("n"), 2),
-        _little(F.col("size"), 4), _little(F.col("at"), 4), F.lit("0000"),
+    head = lambda signature: F.to_binary(F.lit(signature), F.lit("hex"))
+    local = F.concat(head("504B03041400"), "shared", name, "packed")
+    sized = packed.withColumn("shared", shared).withColumn("local", local)
+    offset = F.coalesce(F.sum(F.octet_length("local").cast("long")).over(BEFORE()), F.lit(0))
+    placed = sized.select("archive_id", "ord", "name", "shared", "local", offset.alias("offset"))
+    tail = _bytes("0000" + "0000" + "0000" + "00000000", _little(F.col("offset"), 4))
+    entry = F.concat(head("504B010214001400"), "shared", tail, name)
+    return placed.select("archive_id", "ord", "local", entry.alias("entry"))
+
+
+def zip_archives(entries: DataFrame) -> DataFrame:
+    """archive_id, content and error, UNSUPPORTED_INPUT for an archive that the format or a row cannot hold.
+
+    Frames of an archive meet once, in order, as bytes.
+    """
+    frames = zip_frames(entries)
+    small = lambda column: f"listagg({column}) WITHIN GROUP (ORDER BY ord)"
+    room = frames.groupBy("archive_id").agg(
+        F.count("*").alias("n"), F.count("entry").alias("whole"),
+        F.sum(F.octet_length("local").cast("long") + F.octet_length("entry")).alias("bytes"),
     )
-    return (
-        framed.select("archive_id", F.lit(0).alias("section"), "ord", F.col("local").alias("frame"))
-        .unionByName(framed.select("archive_id", F.lit(1).alias("section"), "ord", F.col("entry").alias("frame")))
-        .unionByName(ends.select("archive_id", F.lit(2).alias("section"), F.lit(0).alias("ord"), F.unhex(end).alias("frame")))
-    )
+    fits = (F.col("n") <= MAX_ENTRIES) & (F.col("whole") == F.col("n")) & (F.col("bytes") < MAX_FILE)
+    checked = cut(room.select("archive_id", fits.alias("fits")))
+    wrong = checked.where("not fits").select("archive_id", F.lit(None).cast("binary").alias("content"), F.lit("UNSUPPORTED_INPUT").alias("error"))
+    whole = frames if wrong.isEmpty() else frames.join(wrong.select("archive_id"), "archive_id", "left_anti")
+    joined = whole.groupBy("archive_id").agg(F.expr(small("local")).alias("locals"), F.expr(small("entry")).alias("directory"), F.count("*").alias("n"))
+    end = _bytes(
+        "504B0506" + "00000000", _little(F.col("n"), 2), _little(F.col("n"), 2),
+        _little(F.octet_length("directory"), 4), _little(F.octet_length("locals"), 4), "0000",
+    )
+    return joined.select("archive_id", F.concat("locals", "directory", end).alias("content"), F.lit(None).cast("string").alias("error")).unionByName(wrong)
 
 
 def padded(size: Column) -> Column:
@@ -129,14 +155,17 @@ def tar_offsets(entries: DataFrame) -> DataFrame:
 
 
 def tar_name(name: str) -> tuple[str, str] | None:
-    """(name, prefix) as the header holds them, split at the last slash that fits; None if none does."""
-    size = lambda text: len(text.encode())
-    if size(name) <= 100:
+    """(name, prefix) as the header holds them; None if they do not fit.
+
+    A prefix ends before a slash. Of the slashes that leave at most PREFIX_BYTES before and
+    at most NAME_BYTES, but some, after them, the last counts.
+    """
+    raw = name.encode()
+    if len(raw) <= NAME_BYTES:
         return name, ""
-    for i in range(len(name) - 1, 0, -1):
-        if name[i] == "/" and 0 < size(name[i + 1 :]) <= 100 and size(name[:i]) <= 155:
-            return name[i + 1 :], name[:i]
-    return None
+    low, high = max(1, len(raw) - NAME_BYTES - 1), min(PREFIX_BYTES, len(raw) - 2)
+    slash = raw.rfind(b"/", low, high + 1)
+    return None if slash < 0 else (raw[slash + 1 :].decode(), raw[:slash].decode())
 
 
 def tar_header(name: str, prefix: str, size: int, mtime: int) -> bytes:
@@ -149,7 +178,7 @@ def tar_header(name: str, prefix: str, size: int, mtime: int) -> bytes:
 
 
 def tar_frames(entries: DataFrame, mtime: int = 0) -> DataFrame:
-    """archive_id, section, ord and frame: a header with content for each entry, then the closing blocks."""
+    """archive_id, ord and frame, a header with content, of each entry whose name fits."""
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -163,26 +192,31 @@ def tar_frames(entries: DataFrame, mtime: int = 0) -> DataFrame:
 
     rows = entries.select("archive_id", "ord", "name", "content")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    framed = rows.mapInArrow(run, f"archive_id {kinds['archive_id']}, ord {kinds['ord']}, frame binary").where("frame is not null")
-    end = framed.select("archive_id").distinct()
-    return framed.select("archive_id", F.lit(0).alias("section"), "ord", "frame").unionByName(
-        end.select("archive_id", F.lit(1).alias("section"), F.lit(0).alias("ord"), F.to_binary(F.lit("00" * 2 * BLOCK), F.lit("hex")).alias("frame"))
-    )
-
+    return rows.mapInArrow(run, f"archive_id {kinds['archive_id']}, ord {kinds['ord']}, frame binary").where("frame is not null")
 
-def gather(frames: DataFrame) -> DataFrame:
-    """archive_id and content: the frames of each archive, in order, as one file."""
-    parts = F.sort_array(F.collect_list(F.struct("section", "ord", F.hex("frame").alias("frame"))))
-    joined = F.unhex(F.array_join(F.transform(parts, lambda p: p["frame"]), ""))
-    return frames.groupBy("archive_id").agg(joined.alias("content"))
 
+def tar_parts(entries: DataFrame, mtime: int = 0, most: int = MAX_FILE // 2) -> DataFrame:
+    """archive_id, part and content: each archive in parts of at most about so many bytes, to be written one after the other.
 
-def zip_archives(entries: DataFrame) -> DataFrame:
-    return gather(zip_frames(entries))
+    No task holds more than a part of an archive, however large it is.
+    """
+    framed = tar_frames(entries, mtime).withColumn("bytes", F.octet_length("frame").cast("long"))
+    placed = framed.withColumn("part", F.floor(F.coalesce(F.sum("bytes").over(BEFORE()), F.lit(0)) / most))
+    last = F.col("part") == F.max("part").over(Window.partitionBy("archive_id"))
+    parts = placed.withColumn("last", last).groupBy("archive_id", "part", "last").agg(
+        F.expr("listagg(frame) WITHIN GROUP (ORDER BY ord)").alias("content")
+    )
+    closing = F.to_binary(F.lit("00" * 2 * BLOCK), F.lit("hex"))
+    return parts.select("archive_id", "part", F.when(F.col("last"), F.concat("content", closing)).otherwise(F.col("content")).alias("content"))
 
 
 def tar_archives(entries: DataFrame, mtime: int = 0) -> DataFrame:
-    return gather(tar_frames(entries, mtime))
+    """archive_id, content and error, UNSUPPORTED_INPUT for an archive that is no value of a row: tar_parts() makes those."""
+    parts = tar_parts(entries, mtime)
+    return parts.groupBy("archive_id").agg(F.count("*").alias("n"), F.first("content").alias("content")).select(
+        "archive_id", F.when(F.col("n") == 1, F.col("content")).alias("content"),
+        F.when(F.col("n") > 1, "UNSUPPORTED_INPUT").alias("error"),
+    )
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:
@@ -235,3 +269,22 @@ def gzip_files(files: DataFrame) -> DataFrame:
     return files.withColumns({
         "name": gzip_name(F.col("name")), "content": packed(F.col("content")), "error": F.when(empty, "UNSUPPORTED_INPUT"),
     })
+
+
+def gunzip_files(files: DataFrame) -> DataFrame:
+    """files (content) with content decompressed; error where it is no whole gzip file."""
+
+    @F.arrow_udf("binary")
+    def unpacked(content):
+        import pyarrow as pa
+
+        def one(data):
+            try:
+                return gzip_codec.decompress(data)
+            except (OSError, EOFError, zlib.error, TypeError):
+                return None
+
+        return pa.array([one(x.as_py()) for x in content], pa.binary())
+
+    found = files.withColumn("content", unpacked(F.col("content")))
+    return found.withColumn("error", F.when(F.col("content").isNull(), "DECODE_FAILED"))
