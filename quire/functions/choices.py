@@ -91,3 +91,43 @@ def svg_path(points: Column, page_w: Column, page_h: Column) -> Column:
     return F.when(F.size(points) < 2, "").otherwise(F.concat(F.lit("M "), F.array_join(text, " L ")))
 
 
+def opacity_alpha(percent: Column) -> Column:
+    return percent / 100
+
+
+def jpeg_options(quality: Column, progressive: Column, chroma: Column, grayscale: Column) -> Column:
+    """struct of a JPEG encoder: chroma "4:4:4" keeps all colour samples; colour space 1 is grey, 3 is YCbCr."""
+    return F.struct(
+        quality.alias("quality"), F.lit(False).alias("baseline"), F.coalesce(progressive, F.lit(False)).alias("progressive"),
+        F.lit(False).alias("auto_subsample"), F.when(chroma == "4:4:4", 1).otherwise(2).alias("chroma_subsample"),
+        F.when(F.coalesce(grayscale, F.lit(False)), 1).otherwise(3).alias("color_space"),
+    )
+
+
+# Options of tracing as (default, whether zero counts).
+TRACE_OPTIONS = {
+    "filterSpeckle": (4, True), "cornerThreshold": (60, True), "lengthThreshold": (4, False),
+    "maxIterations": (10, False), "spliceThreshold": (45, True), "pathPrecision": (8, True),
+}
+TRACE_MODES = ["polygon", "spline", "none"]
+
+
+def trace_options(mode: Column, numbers: dict[str, Column]) -> Column:
+    """struct of a tracer's options from columns of numbers; what is missing or too small takes its default."""
+    chosen = F.when(mode.isin(TRACE_MODES), mode).otherwise("spline")
+    each = []
+    for name, (default, zero) in TRACE_OPTIONS.items():
+        value = numbers.get(name, F.lit(None)).cast("double")
+        each.append(F.when(value >= 0 if zero else value > 0, value).otherwise(float(default)).alias(name))
+    return F.struct(chosen.alias("mode"), *each)
+
+
+def archive_metadata(name: Column, title: Column, created: Column, now: Column, creator: str) -> Column:
+    """struct of what an archival PDF states of itself: a missing title is the file's stem, a missing date is now."""
+    stem = F.regexp_replace(name, r"(?s)^(.+)\.[^.]*\z", "$1")
+    return F.struct(
+        F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(stem).alias("title"), F.lit(creator).alias("creator"),
+        F.coalesce(created, now).alias("created"), now.alias("modified"),
+        F.lit("GTS_PDFA1").alias("output_intent"), F.lit("sRGB IEC61966-2.1").alias("profile"),
+        F.lit(1).alias("part"), F.lit("B").alias("conformance"), F.lit(False).alias("object_streams"),
+    )

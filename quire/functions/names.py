@@ -124,3 +124,22 @@ def accepts(mime: Column, name: Column, types: list[str], extensions: list[str]
     typed = F.coalesce(mime.isin(*types), F.lit(False))
     blank = F.coalesce(mime, F.lit("")) == ""
     return typed | (blank & extension(name).isin(*extensions)) if extensions else typed
+
+
+# Types that are HEIC, and image types that no extension makes HEIC.
+HEIC_TYPES = ["image/heic", "image/heif", "image/heic-sequence", "image/heif-sequence"]
+OTHER_IMAGES = ["image/jpeg", "image/png", "image/webp", "image/gif", "image/bmp", "image/tiff", "image/svg+xml", "image/avif"]
+
+
+def accepts_heic(mime: Column, name: Column) -> Column:
+    """Whether a file is taken for HEIC: by its type, or by its extension unless the type is another image's."""
+    given = F.lower(F.coalesce(mime, F.lit("")))
+    by_name = F.lower(F.substring_index(name, ".", -1)).isin("heic", "heif")
+    return given.isin(HEIC_TYPES) | (~given.isin(OTHER_IMAGES) & by_name)
+
+
+def accepts_table(mime: Column, name: Column, kind: str) -> Column:
+    """Whether a file is taken for "csv" (a type that says csv) or "json": untyped ones are, others by their extension."""
+    given = F.coalesce(mime, F.lit(""))
+    typed = given.contains("csv") if kind == "csv" else given == "application/json"
+    return typed | (given == "") | F.coalesce(name.endswith(f".{kind}"), F.lit(False))

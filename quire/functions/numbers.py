@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 #: White space that trimming removes, spelled out because \s is ASCII only.
 BLANK = r"[\x09-\x0D\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
@@ -21,16 +24,16 @@ def half_up(x: Column) -> Column:
 
 def as_number(value: Column) -> Column:
     """A string as a double: blank is 0, decimals and exponents count, anything else is null."""
-    text = trim_all(value.cast("string"))
-    number = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
-    return F.when(text == "", 0.0).when(text.rlike(number), text.try_cast("double"))
+    text = value.cast("string")
+    bare = let(trim_all(text), lambda t: F.when(t == "", 0.0).when(t.rlike(NUMBER), t.try_cast("double")))
+    return F.when(text.rlike(NUMBER), text.try_cast("double")).otherwise(bare)  # most need no trimming
 
 
 def clamp_int(value: Column, low: int, high: int, default: int) -> Column:
     """The value rounded and limited to [low, high]; default if it is no number. A null counts as 0."""
+    limited = lambda n: F.least(F.lit(high), F.greatest(F.lit(low), half_up(n)))
     number = as_number(F.coalesce(value.cast("string"), F.lit("0")))
-    bounded = F.least(F.lit(high), F.greatest(F.lit(low), half_up(number)))
-    return F.when(number.isNull(), default).otherwise(bounded).cast("int")
+    return let(number, lambda n: F.when(n.isNull(), default).otherwise(limited(n)).cast("int"))
 
 
 def clamp_quality(value: Column) -> Column:
@@ -46,8 +49,7 @@ def read_bool(value: Column) -> Column:
 
 
 def non_negative(value: Column, default: float = 0.0) -> Column:
-    number = as_number(value)
-    return F.when(number >= 0, number).otherwise(default)
+    return let(as_number(value), lambda n: F.when(n >= 0, n).otherwise(default))
 
 
 def plain(x: Column, digits: int) -> Column:
@@ -63,7 +65,7 @@ def volume_factor(percent: Column) -> Column:
 def snap_half(value: Column, default: float = 2.0) -> Column:
     """A scale in steps of one half; 1.5 to 4, else default."""
     snapped = F.floor(value.cast("double") * 2 + 0.5) / 2
-    return F.when(snapped.between(1.5, 4.0), snapped).otherwise(default)
+    return let(snapped, lambda x: F.when(x.between(1.5, 4.0), x).otherwise(default))
 
 
 def quarter_turns(degrees: Column) -> Column:
@@ -74,8 +76,12 @@ def quarter_turns(degrees: Column) -> Column:
 def timecode_seconds(text: Column) -> Column:
     """Seconds of S, S.f, M:S or H:M:S; null if it is none of them or a smaller unit reaches 60."""
     pattern = r"^(?:(?:(\d+):)?(\d+):)?(\d+(?:\.\d+)?)\z"
-    part = lambda i: F.regexp_extract(trim_all(text), pattern, i)
-    number = lambda i: F.coalesce(part(i).try_cast("double"), F.lit(0.0))
-    larger = part(2) != ""
-    fits = trim_all(text).rlike(pattern) & (~larger | ((number(3) < 60) & (number(2) < 60)))
-    return F.when(fits, number(1) * 3600 + number(2) * 60 + number(3))
+
+    def seconds(bare: Column) -> Column:
+        parts = F.array(*[F.regexp_extract(bare, pattern, i) for i in (1, 2, 3)])
+        whole = let(parts, lambda p: F.struct(F.transform(p, lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))).alias("n"), (F.get(p, 1) != "").alias("larger")))
+        return let(whole, lambda w: F.when(
+            ~w["larger"] | ((w["n"][2] < 60) & (w["n"][1] < 60)), w["n"][0] * 3600 + w["n"][1] * 60 + w["n"][2]
+        ))
+
+    return let(trim_all(text), lambda bare: F.when(bare.rlike(pattern), seconds(bare)))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, running_sum
 from .numbers import BLANK, trim_all
 
 # Typographic characters and their plain forms.
@@ -63,11 +64,27 @@ def document_text(pages: Column, separator: str = "\n\n") -> Column:
     return F.when(F.size(kept) == 0, "").otherwise(F.concat(F.array_join(kept, separator), F.lit("\n")))
 
 
+def compared_page(runs: Column) -> Column:
+    """Runs of a page, array<struct<str, ends_line>>, as one text: a line end after those that end a line, else a space."""
+    kept = F.filter(runs, lambda r: r["str"].isNotNull())
+    after = lambda r: F.when(F.coalesce(r["ends_line"], F.lit(False)), F.lit("\n")).otherwise(F.lit(" "))
+    return F.array_join(F.transform(kept, lambda r: F.concat(r["str"], after(r))), "")
+
+
+def compared_document(pages: Column) -> Column:
+    """Pages with an empty line between, without blanks at line ends, trimmed: what a comparison by lines takes."""
+    return trim_all(F.regexp_replace(F.array_join(pages, "\n\n"), r"[ \t]+\n", "\n"))
+
+
 def has_email(text: Column) -> Column:
     """Whether text holds an address. A cheap test goes first: the pattern backtracks on texts without "@"."""
     return text.contains("@") & text.rlike(PII_PATTERNS["email"])
 
 
+#: A line without any of these holds no match of a preset: each needs an "@" or digits.
+MAY_MATCH = "[@0-9]"
+
+
 def pii_flags(text: Column) -> dict[str, Column]:
     return {
         "email": has_email(text),
@@ -77,18 +94,16 @@ def pii_flags(text: Column) -> dict[str, Column]:
 
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end>> of all matches, in code points: lengths of the pieces between them add up."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+    def spans(v: Column) -> Column:
+        lengths = F.transform(v["found"], F.length)
+        ends = running_sum(F.zip_with(F.slice(v["pieces"], F.lit(1), F.size(v["found"])), lengths, lambda p, n: F.length(p) + n))
+        return F.zip_with(ends, lengths, lambda end, n: F.struct((end - n).cast("int").alias("start"), end.cast("int").alias("end")))
 
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(~text.rlike(pattern), none).otherwise(F.aggregate(pairs, state, step, lambda s: s["out"]))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    whole = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(text.rlike(pattern), let(whole, spans)).otherwise(none)
 
 
 def literal_pattern(term: str) -> str:

@@ -9,7 +9,12 @@ from ..functions.names import resolve_path
 from ..functions.text import normalize_typography
 from .html import html_blocks
 
-MAX_CHARS = 5_000_000
+# Fixed values of the layout, in points: sizes of body and headings, line height, margins and gaps.
+BODY_SIZE = 11.0
+HEADING_SIZES = {1: 20.0, 2: 16.0, 3: 14.0, 4: 12.0, 5: 11.0, 6: 11.0}
+LINE_HEIGHT = 1.45
+MARGIN = 56.0
+PARAGRAPH_GAP = 6.0
 
 
 def _text(content: Column) -> Column:
@@ -69,8 +74,52 @@ def blocks(entries: DataFrame) -> DataFrame:
     return found.select("at.archive_id", "at.chapter", "block", "kind", "level", normalize_typography(F.col("text")).alias("text"), href.alias("href"))
 
 
-def within_budget(found: DataFrame, doc: str, order: list[str], text: str, budget: int = MAX_CHARS) -> DataFrame:
-    """The rows of each document up to the one with which its characters pass the budget."""
+def within_budget(found: DataFrame, doc: str, order: list[str], text: str, budget: int) -> DataFrame:
+    """The rows of each document up to the one with which its characters pass the budget.
+
+    A limit that the caller sets: nothing else in this module leaves anything out.
+    """
     before = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.coalesce(F.length(text), F.lit(0))).over(before), F.lit(0))
     return found.withColumn("__used", used).where(F.col("__used") < budget).drop("__used")
+
+
+def within_count(found: DataFrame, doc: str, order: list[str], kind: str, most: int) -> DataFrame:
+    """The rows of each document without those of a kind beyond the first so many, such as images."""
+    place = F.row_number().over(Window.partitionBy(doc, "kind").orderBy(*order))
+    return found.withColumn("__n", place).where((F.col("kind") != kind) | (F.col("__n") <= most)).drop("__n")
+
+
+def lay_out(found: DataFrame, page_height: float = 841.89, most_pages: int | None = None) -> DataFrame:
+    """doc_id, ord, page0, y and n_shown of blocks (doc_id, ord, kind, level, n_lines) set one below the other.
+
+    page0 and y are those of the first line. A line that no page has room for begins a new
+    one; headings keep half a line of air above, but not at the top. Beyond most_pages,
+    if it is given, lines are left out: n_shown says how many stand. A document is folded in
+    its own group, in order, since each line depends on the one before.
+    """
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def fold(group):
+        import pandas as pd
+
+        rows, page, y, full = [], 0, MARGIN, False
+        for block in group.sort_values("ord").itertuples(index=False):
+            heading = block.kind == "heading"
+            size = HEADING_SIZES.get(int(block.level), 14.0) if heading and block.level == block.level and block.level else 16.0 if heading else BODY_SIZE
+            gap, shown, first = size * LINE_HEIGHT, 0, (None, None)
+            y += size * 0.5 if heading and y > MARGIN and not full else 0.0
+            for _ in range(int(block.n_lines)):
+                if y + gap > page_height - MARGIN:
+                    full = full or (most_pages is not None and page + 1 >= most_pages)
+                    if full:
+                        break
+                    page, y = page + 1, MARGIN
+                first = first if shown else (page, y)
+                shown, y = shown + 1, y + gap
+            y += PARAGRAPH_GAP
+            rows.append((block.doc_id, block.ord, *first, shown))
+        return pd.DataFrame(rows, columns=["doc_id", "ord", "page0", "y", "n_shown"])
+
+    narrow = found.select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", F.col("level").cast("double").alias("level"), "n_lines")
+    return narrow.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, ord int, page0 int, y double, n_shown int")

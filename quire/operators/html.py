@@ -14,14 +14,17 @@ from ..functions.text import escape_html
 SKIPPED = frozenset("script style head title noscript".split())
 BLOCKS = frozenset("p div section article blockquote pre figcaption td th".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
-MAX_BLOCK_CHARS = 200_000
 
 
 class _Blocks(HTMLParser):
-    """Collects (kind, level, text, href); text between block borders is one block."""
+    """Collects (kind, level, text, href, cut); text between block borders is one block.
 
-    def __init__(self) -> None:
+    Runs of text longer than most, if it is given, are cut, and their block says so.
+    """
+
+    def __init__(self, most: int | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.most, self.cut = most, False
         self.found: list[tuple] = []
         self.buffer: list[str] = []
         self.skipping = 0
@@ -30,7 +33,8 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
         if text:
-            self.found.append((kind, level, text, None))
+            self.found.append((kind, level, text, None, self.cut))
+        self.cut = False
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in SKIPPED:
@@ -44,7 +48,7 @@ class _Blocks(HTMLParser):
             named = dict(attrs)
             source = named.get("src") or named.get("xlink:href") or named.get("href")
             if source:
-                self.found.append(("image", None, None, source))
+                self.found.append(("image", None, None, source, False))
         elif tag in BLOCKS or tag in HEADINGS or tag == "li":
             self.flush()
 
@@ -66,29 +70,34 @@ class _Blocks(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skipping:
-            self.buffer.append(data[:MAX_BLOCK_CHARS])
+            self.buffer.append(data[: self.most])
+            self.cut |= self.most is not None and len(data) > self.most
 
 
-def blocks_of(page: str | None) -> list[tuple]:
-    parser = _Blocks()
+def blocks_of(page: str | None, most: int | None = None) -> list[tuple]:
+    parser = _Blocks(most)
     parser.feed(page or "")
     parser.close()
     parser.flush()
     return parser.found
 
 
-def html_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, block, kind (heading, paragraph, listitem, image), level, text and href of every block of every page."""
+def html_blocks(pages: DataFrame, key: str, html: str = "html", most: int | None = None) -> DataFrame:
+    """key, block, kind (heading, paragraph, listitem, image), level, text, href and cut of every block of every page.
+
+    cut tells of blocks that lost text because most, a limit to the characters of a run of
+    text, is given; without it nothing is cut.
+    """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator):
         import pyarrow as pa
 
-        schema = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("href", pa.string())])
+        schema = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("href", pa.string()), ("cut", pa.bool_())])
         for batch in batches:
             rows, owners = [], []
             for i, page in enumerate(batch.column("html")):
-                own = blocks_of(page.as_py())
+                own = blocks_of(page.as_py(), most)
                 rows += [(b, *x) for b, x in enumerate(own)]
                 owners += [i] * len(own)
             if rows:
@@ -96,40 +105,61 @@ def html_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owners)), *columns], names=["key", *schema.names])
 
     found = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(
-        run, f"key {kind}, block int, kind string, level int, text string, href string"
+        run, f"key {kind}, block int, kind string, level int, text string, href string, cut boolean"
     )
     return found.withColumnRenamed("key", key)
 
 
-def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """(op, line) of a shortest edit script, op one of " ", "-" and "+" (Myers, 1986)."""
-    reach, trace = {1: 0}, []
-    for d in range(len(a) + len(b) + 1):
-        trace.append(dict(reach))
+def _meeting(a: list, b: list) -> tuple[int, int, int, int, int]:
+    """A run of equal lines in the middle of a shortest edit script (x, y, its end) and the script's length.
+
+    Searches from both ends at once keep only how far each diagonal has been reached.
+    """
+    n, m = len(a), len(b)
+    delta = n - m
+    ahead, back = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
         for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
+            x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+            start = x
+            while x < n and x - k < m and a[x] == b[x - k]:
                 x += 1
-            reach[k] = x
-            if x >= len(a) and x - k >= len(b):
-                break
-        else:
+            ahead[k] = x
+            if delta % 2 and -d < delta - k < d and x + back[delta - k] >= n:
+                return start, start - k, x, x - k, 2 * d - 1
+        for k in range(-d, d + 1, 2):
+            x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            start = x
+            while x < n and x - k < m and a[n - 1 - x] == b[m - 1 - x + k]:
+                x += 1
+            back[k] = x
+            if delta % 2 == 0 and -d <= delta - k <= d and x + ahead[delta - k] >= n:
+                return n - x, m - x + k, n - start, m - start + k, 2 * d
+    raise AssertionError("searches from both ends meet")
+
+
+def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """(op, line) of a shortest edit script, op one of " ", "-" and "+" (Myers, 1986, in linear space)."""
+    script: list[tuple[str, str]] = []
+    waiting = [(a, b)]
+    while waiting:
+        a, b = waiting.pop()
+        same = 0
+        while same < min(len(a), len(b)) and a[same] == b[same]:
+            same += 1
+        script += [(" ", x) for x in a[:same]]
+        a, b = a[same:], b[same:]
+        if not a or not b:
+            script += [("-", x) for x in a] + [("+", x) for x in b]
             continue
-        break
-    script, x, y = [], len(a), len(b)
-    for d in range(len(trace) - 1, 0, -1):
-        before, k = trace[d], x - y
-        down = k == -d or (k != d and before[k - 1] < before[k + 1])
-        start = before[k + 1] if down else before[k - 1]
-        from_x, from_y = start, start - (k + 1 if down else k - 1)
-        while x > from_x + (not down) and y > from_y + down:
-            x, y = x - 1, y - 1
-            script.append((" ", a[x]))
-        script.append(("+", b[from_y]) if down else ("-", a[from_x]))
-        x, y = from_x, from_y
-    script += [(" ", a[i]) for i in range(x - 1, -1, -1)]
-    return script[::-1]
+        x, y, u, v, length = _meeting(a, b)
+        if length > 1:
+            waiting += [(a[u:], b[v:]), (a[x:u], b[y:v]), (a[:x], b[:y])]
+        else:  # one line more on one side, after the common ones
+            longer = len(a) > len(b)
+            script.append(("-", a[0]) if longer else ("+", b[0]))
+            waiting.append((a[longer:], b[not longer :]))
+    return script
 
 
 def lines_of(text: str) -> list[str]:

@@ -6,13 +6,14 @@ one row; results keep that form until png() encodes them.
 
 from __future__ import annotations
 
+import bisect
 import math
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ICO_SIZES = (16, 32, 48, 64, 128, 256)
@@ -139,6 +140,70 @@ def unpack_bits(data: bytes, width: int, height: int) -> np.ndarray | None:
     return (bits * 255)[:, :, None]
 
 
+def unpack(data: bytes, width: int, height: int, channels: int) -> np.ndarray | None:
+    """Three or four bytes a pixel as R, G, B, A, opaque without A; null if there are too few or there is no pixel."""
+    size = width * height * channels
+    if channels not in (3, 4) or size <= 0 or len(data) < size:
+        return None
+    p = np.frombuffer(data, np.uint8)[:size].reshape(height, width, channels)
+    return p if channels == 4 else np.concatenate([p, np.full((height, width, 1), 255, np.uint8)], axis=2)
+
+
+def orientation(content: bytes | None) -> int:
+    """The Exif orientation of a JPEG file, 1 to 8; 1 if it states none."""
+    data, at = content or b"", 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if kind == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            tiff = data[at + 10 : at + 2 + size]
+            order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+            if order is None:
+                return 1
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)
+            first = number(4, 4)
+            for entry in range(first + 2, first + 2 + 12 * number(first, 2), 12):
+                if number(entry, 2) == 0x0112:
+                    found = number(entry + 8, 2)
+                    return found if 1 <= found <= 8 else 1
+            return 1
+        at += 2 + max(2, size)
+    return 1
+
+
+def upright(p: np.ndarray, code: int) -> np.ndarray:
+    """An image as it is meant to be seen, by its Exif orientation."""
+    turns, mirrored = {1: (0, False), 2: (0, True), 3: (2, False), 4: (2, True), 5: (3, True), 6: (3, False), 7: (1, True), 8: (1, False)}[code]
+    turned = np.rot90(p, turns)
+    return np.ascontiguousarray(turned[:, ::-1] if mirrored else turned)
+
+
+def orientations(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with orientation, 1 to 8."""
+
+    @F.arrow_udf("int")
+    def found(values):
+        import pyarrow as pa
+
+        return pa.array([orientation(x.as_py()) for x in values], pa.int32())
+
+    return files.withColumn("orientation", found(F.col(content)))
+
+
+def distinct_images(paints: DataFrame) -> DataFrame:
+    """paints (doc_id, page0, ord, object_id, width, height, kind), the first of each image, with index from 1.
+
+    An image object counts once in a document, an inline image (object_id null) once for
+    its size and kind. Objects of a page come before its inline images.
+    """
+    inline = F.col("object_id").isNull()
+    size = F.concat_ws(":", F.concat_ws("x", "width", "height"), F.coalesce(F.col("kind").cast("string"), F.lit("?")))
+    keyed = paints.withColumn("__key", F.when(inline, F.concat(F.lit("inline:"), size)).otherwise(F.concat(F.lit("object:"), "object_id")))
+    order = F.struct("page0", inline.alias("inline"), "ord")
+    first = keyed.withColumn("__place", order).groupBy("doc_id", "__key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in paints.columns]), "__place").alias("row"), F.min("__place").alias("__place"))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("__place"))
+    return first.select("row.*", index.alias("index"))
+
+
 def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
@@ -207,18 +272,23 @@ def encoded(images: DataFrame, encoder: Callable[[np.ndarray], bytes] = png_byte
     return images.withColumn("content", encode(F.col(column)))
 
 
-def best_quality(encode: Callable[[float], bytes], target: int, low: float = 0.1, high: float = 1.0, tries: int = 7) -> bytes:
-    """The largest file of at most target bytes that bisecting the quality finds, or the last one tried above it."""
-    best = last = encode(low)
-    fits = len(best) <= target
-    for _ in range(tries):
-        middle = (low + high) / 2
-        last = encode(middle)
-        if len(last) <= target:
-            best, fits, low = last, True, middle
-        else:
-            high = middle
-    return best if fits else last
+#: Qualities of a lossy encoder among which best_quality() searches.
+QUALITIES = tuple(round(0.1 + 0.9 * i / 127, 4) for i in range(128))
+
+
+def best_quality(encode: Callable[[float], bytes], target: int, qualities: Sequence[float] = QUALITIES) -> bytes:
+    """The file of the highest of the rising qualities that makes at most target bytes, else that of the lowest.
+
+    Sizes rise with the quality, so a search by halves encodes a few times only.
+    """
+    files: dict[float, bytes] = {}
+
+    def size(quality: float) -> int:
+        return len(files.setdefault(quality, files.get(quality) or encode(quality)))
+
+    n = bisect.bisect_right(qualities, target, key=size)
+    best = qualities[max(0, n - 1)]
+    return files.get(best) or encode(best)
 
 
 def with_matte(p: np.ndarray, matte: np.ndarray) -> np.ndarray:

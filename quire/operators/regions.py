@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, text_region
-from ..functions.text import PII_PATTERNS, literal_pattern, match_spans
+from ..functions.text import MAY_MATCH, PII_PATTERNS, literal_pattern, match_spans
 
 
 def items_of_text(documents: DataFrame, page_w: float = 612.0, line_h: float = 12.0) -> DataFrame:
@@ -28,6 +28,8 @@ def find_spans(items: DataFrame, presets: list[str] = tuple(PII_PATTERNS), term:
     patterns = {k: PII_PATTERNS[k] for k in presets}
     if term.strip():
         patterns["search"] = literal_pattern(term)
+    else:
+        items = items.where(F.col("str").rlike(MAY_MATCH))
 
     def named(preset: str, pattern: str) -> Column:
         one = lambda s: F.struct(F.lit(preset).alias("preset"), s["start"].alias("start"), s["end"].alias("end"))

@@ -72,6 +72,17 @@ def ranges(pages: DataFrame, wanted: list[tuple[float, float]]) -> DataFrame:
     return _numbered(found.withColumn("part", part).drop("__range"))
 
 
+def resolve_destinations(outline: DataFrame, destinations: DataFrame) -> DataFrame:
+    """outline (doc_id, ord, title, name, page0) with page0 found: its own, or that of its named destination.
+
+    destinations has doc_id, name and page0. What leads nowhere keeps a null page0, which
+    outline_ranges() passes over; of a name given twice the first page counts.
+    """
+    named = destinations.groupBy(F.col("doc_id").alias("__doc"), F.col("name").alias("__name")).agg(F.min("page0").alias("__page0"))
+    joined = outline.join(named, (F.col("doc_id") == F.col("__doc")) & (F.col("name") == F.col("__name")), "left")
+    return joined.withColumn("page0", F.coalesce("page0", "__page0")).drop("__doc", "__name", "__page0")
+
+
 def outline_ranges(outline: DataFrame, documents: DataFrame) -> DataFrame:
     """doc_id, part, start0, end0 and title of the chapters of an outline (doc_id, ord, title, page0).
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.numbers import (
     as_number, clamp_int, half_up, non_negative, plain, read_bool, read_enum, timecode_seconds, volume_factor,
 )
@@ -44,12 +45,16 @@ MAX_CROP = 8192
 
 def argv(*parts: str | Column | list) -> Column:
     """array<string> of the parts in order; null parts drop out, lists stand for a flag and its value."""
+    def flagged(flags: list, value: Column) -> Column:
+        none = F.expr("cast(array() as array<string>)")
+        return let(value.cast("string"), lambda v: F.when(v.isNotNull(), F.array(*map(F.lit, flags), v)).otherwise(none))
+
     arrays = []
     for part in parts:
-        if isinstance(part, list):
-            value = part[-1]
-            flags = F.array(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in part])
-            arrays.append(flags if isinstance(value, str) else F.when(value.isNotNull(), flags).otherwise(F.expr("cast(array() as array<string>)")))
+        if isinstance(part, list) and not isinstance(part[-1], str):
+            arrays.append(flagged(part[:-1], part[-1]))
+        elif isinstance(part, list):
+            arrays.append(F.array(*map(F.lit, part)))
         else:
             arrays.append(F.array(F.lit(part) if isinstance(part, str) else part.cast("string")))
     return F.filter(F.concat(*arrays), lambda x: x.isNotNull())
@@ -60,7 +65,7 @@ def _option(options: Options, name: str) -> Column:
 
 
 def _unless(value: Column, default: str) -> Column:
-    return F.when(value != default, value)
+    return let(value, lambda v: F.when(v != default, v))
 
 
 def _enum(options: Options, name: str, allowed: list[str], default: str) -> Column:
@@ -69,8 +74,7 @@ def _enum(options: Options, name: str, allowed: list[str], default: str) -> Colu
 
 def _joined(separator: str, *parts: Column) -> Column:
     """The parts that are not null, joined; null if none is left."""
-    text = F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), separator)
-    return F.when(text != "", text)
+    return let(F.concat_ws(separator, *parts), lambda text: F.when(text != "", text))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -80,14 +84,14 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 def _fades(options: Options) -> tuple[Column, Column]:
     length = lambda name: clamp_int(F.coalesce(_option(options, name), F.lit("0")), 0, 60, 0)
     fade = lambda n: F.concat(F.lit("afade=t=in:st=0:d="), n.cast("string"))
-    fade_in, fade_out = length("fadeIn"), length("fadeOut")
     reverse = F.lit("areverse")
-    return F.when(fade_in > 0, fade(fade_in)), F.when(fade_out > 0, F.concat_ws(",", reverse, fade(fade_out), reverse))
+    fade_in = let(length("fadeIn"), lambda n: F.when(n > 0, fade(n)))
+    return fade_in, let(length("fadeOut"), lambda n: F.when(n > 0, F.concat_ws(",", reverse, fade(n), reverse)))
 
 
 def _volume(options: Options) -> Column:
     percent = clamp_int(F.coalesce(_option(options, "volume"), F.lit("100")), 50, 200, 100)
-    return F.when(percent != 100, F.concat(F.lit("volume="), volume_factor(percent)))
+    return let(percent, lambda p: F.when(p != 100, F.concat(F.lit("volume="), volume_factor(p))))
 
 
 def seconds_text(x: Column) -> Column:
@@ -171,7 +175,8 @@ def gif_filter(options: Options | None = None) -> Column:
 def _trim(options: Options) -> tuple[Column, Column]:
     """Start and end of a trim in seconds, null where unset; an end not after the start is no end."""
     start, end = non_negative(_option(options, "trimStart")), non_negative(_option(options, "trimEnd"))
-    return F.when(start > 0, seconds_text(start)), F.when(end > start, seconds_text(end))
+    later = let(F.struct(start.alias("start"), end.alias("end")), lambda t: F.when(t["end"] > t["start"], seconds_text(t["end"])))
+    return let(start, lambda s: F.when(s > 0, seconds_text(s))), later
 
 
 def mp4_to_gif(options: Options | None = None) -> Column:

@@ -17,7 +17,7 @@ def run_plans(plans: DataFrame, tool: str, timeout: int = 3600) -> DataFrame:
     """file_id, content and error from plans (file_id, argv, input_name, output_name, content).
 
     Each row runs in a scratch folder of its task, which is gone afterwards. Errors:
-    ENGINE_LOAD_FAILED if the tool is missing, DECODE_FAILED if it fails or writes nothing.
+    TOOL_MISSING if the tool is missing, DECODE_FAILED if it fails or writes nothing.
     """
 
     def run(batches: Iterator):
@@ -29,7 +29,7 @@ def run_plans(plans: DataFrame, tool: str, timeout: int = 3600) -> DataFrame:
             for row in batch.to_pylist():
                 content, error = None, None
                 if program is None:
-                    error = "ENGINE_LOAD_FAILED"
+                    error = "TOOL_MISSING"
                 else:
                     with tempfile.TemporaryDirectory() as folder:
                         with open(os.path.join(folder, row["input_name"]), "wb") as f:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import choices, geometry, names, numbers, ranges, text
-from .operators import archives, epub, html, pages, regions, split, tabular, timeline
+from .operators import archives, epub, html, images, pages, regions, split, tabular, timeline
 from .plans import catalog, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,13 +265,46 @@ def pii_flags(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in flags.items()])
 
 
-@query()
+def _marked_spans() -> str:
+    """SQL for doc_id, item, preset, s and e of the presets, in lines where runs of digits stand between two marks.
+
+    With the marks no pattern has to look at the characters around it.
+    """
+    joint = r"(?:›[\s-]‹)?"
+    dotted = r"(?:›[\s.-]‹)?"
+    patterns = {
+        "email": text.PII_PATTERNS["email"].replace("[A-Za-z0-9", "[A-Za-z0-9‹›").replace(r"[^\s@]", r"[^\s@]"),
+        "phone": rf"(?:\+?‹1(?:›[\s.-]?\(‹\d{{3}}›\)[\s.-]?‹|{dotted}\d{{3}}{dotted})|\(‹\d{{3}}›\)[\s.-]?‹|‹\d{{3}}{dotted})\d{{3}}{dotted}\d{{4}}›",
+        "creditCard": rf"‹\d(?:{joint}\d){{12,15}}›",
+        "ssn": rf"‹\d{{3}}{joint}\d{{2}}{joint}\d{{4}}›",
+    }
+    bare = lambda x: f"length(translate({x}, '‹›', ''))"
+    each = []
+    for name, pattern in patterns.items():
+        gone = f"list_sum(list_transform(p[1:j], lambda y: {bare('y')})) + coalesce(list_sum(list_transform(f[1:j - 1], lambda y: {bare('y')})), 0)"
+        each.append(
+            f"SELECT doc_id, item, '{name}' AS preset, CAST({gone} AS INT) AS s, CAST({gone} + {bare('f[j]')} AS INT) AS e FROM "
+            f"(SELECT *, unnest(range(1, len(f) + 1)) AS j FROM (SELECT doc_id, item, regexp_split_to_array(l, '{pattern}') AS p, regexp_extract_all(l, '{pattern}') AS f FROM l))"
+        )
+    return (
+        "WITH l AS (SELECT doc_id, CAST(i - 1 AS INT) AS item, n, regexp_replace(x[i], '([0-9]+)', '‹\\1›', 'g') AS l FROM (SELECT *, length(x[i]) AS n FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i "
+        "FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))), m AS (" + " UNION ALL ".join(each) + ")"
+    )
+
+
+@query(_marked_spans() + ' SELECT doc_id, item, preset, s AS start, e AS "end" FROM m')
 def pii_line_spans(spark, sf_dir):
     items = regions.items_of_text(_read(spark, sf_dir, "documents"))
     return regions.find_spans(items).select("doc_id", "item", "preset", "start", "end")
 
 
-@query()
+@query(_marked_spans() + """,
+t AS (SELECT doc_id, item, n, s, e FROM m JOIN l USING (doc_id, item) UNION ALL
+  SELECT doc_id, item, n, CAST(q - 1 AS INT), CAST(q + 6 AS INT) FROM (SELECT doc_id, item, n, unnest(list_filter(range(1, n + 1), lambda i: substr(lower(translate(l, '‹›', '')), i, 7) = 'license')) AS q FROM l)),
+b AS (SELECT DISTINCT doc_id, 0 AS page0, s / n::DOUBLE AS x, 0.0::DOUBLE AS y, e / n::DOUBLE - s / n::DOUBLE AS w, ((item + 1) * 12.0::DOUBLE - item * 12.0::DOUBLE) / ((item + 1) * 12.0::DOUBLE) AS h FROM t)
+SELECT doc_id, page0, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM b a
+WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = a.doc_id AND (o.x, o.y, o.w, o.h) <> (a.x, a.y, a.w, a.h)
+  AND o.x <= a.x + 1e-12 AND o.y <= a.y + 1e-12 AND o.x + o.w >= a.x + a.w - 1e-12 AND o.y + o.h >= a.y + a.h - 1e-12)""")
 def redaction_regions(spark, sf_dir):
     items = regions.items_of_text(_read(spark, sf_dir, "documents"))
     found = regions.detect(items, term="license")
@@ -367,7 +400,15 @@ def html_blocks(spark, sf_dir):
     return html.html_blocks(_read(spark, sf_dir, "pages"), "page_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT doc_id, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS x FROM documents),
+p AS (SELECT a.doc_id, a.x AS a, b.x AS b FROM t a JOIN t b ON b.doc_id = a.doc_id + 1),
+m AS (SELECT i.doc_id, i.i, j.j FROM (SELECT doc_id, a[i] AS v, i FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM p)) i
+  JOIN (SELECT doc_id, b[j] AS v, j FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS j FROM p)) j ON i.doc_id = j.doc_id AND i.v = j.v),
+c AS (SELECT doc_id, i, j, 1 AS n FROM m UNION SELECT c.doc_id, m.i, m.j, c.n + 1 FROM c JOIN m ON c.doc_id = m.doc_id AND m.i > c.i AND m.j > c.j
+  AND NOT EXISTS (SELECT 1 FROM m k WHERE k.doc_id = m.doc_id AND k.i > c.i AND k.j > c.j AND k.i < m.i AND k.j < m.j)),
+k AS (SELECT doc_id, max(n) AS n FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(b) - coalesce(n, 0) AS BIGINT) AS added, CAST(len(a) - coalesce(n, 0) AS BIGINT) AS removed FROM p LEFT JOIN k USING (doc_id)""")
 def line_diff_counts(spark, sf_dir):
     found = _read(spark, sf_dir, "documents").select("doc_id", "text")
     other = found.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
@@ -416,6 +457,17 @@ def json_shape_guard(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", tabular.json_problem(doc).alias("problem"))
 
 
+@query("""
+SELECT c_custkey, c_custkey % 5 IN (0, 1, 4) AS csv, c_custkey % 5 IN (1, 2, 3) AS json FROM customer""")
+def table_gates(spark, sf_dir):
+    kind = F.col("c_custkey") % 5
+    mime = F.get(F.array(*map(F.lit, ("text/csv", "", "application/json", "text/plain", "application/vnd.ms-excel"))), kind.cast("int"))
+    name = F.get(F.array(*map(F.lit, ("a", "b", "c.txt", "d.json", "e.csv"))), kind.cast("int"))
+    return _read(spark, sf_dir, "customer").select(
+        "c_custkey", names.accepts_table(mime, name, "csv").alias("csv"), names.accepts_table(mime, name, "json").alias("json")
+    )
+
+
 # Geometry
 
 
@@ -580,6 +632,27 @@ def audio_argv(spark, sf_dir):
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(plan, " ").alias("argv"))
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, '-i in.mp4 -vn -c:a aac' || CASE WHEN f <> '' THEN ' -filter:a ' || f ELSE '' END
+  || CASE n WHEN 1 THEN ' -b:a 320k' WHEN 2 THEN ' -q:a 1.1' ELSE '' END || CASE WHEN n % 2 = 0 THEN ' -ar 44100' ELSE '' END || CASE n WHEN 1 THEN ' -ac 2' ELSE '' END || ' out.m4a' AS argv
+FROM (SELECT *, concat_ws(',', CASE WHEN n > 0 THEN 'atrim=' || CASE n WHEN 1 THEN 'start=90.5' WHEN 2 THEN 'end=3600' ELSE 'start=5:end=65' END || ',asetpts=N/SR/TB' END,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'areverse' END, CASE WHEN q <> 100 THEN 'volume=' || CASE WHEN q = 200 THEN '2' ELSE CAST(q / 100.0 AS VARCHAR) END END,
+  CASE WHEN fi > 0 THEN 'afade=t=in:st=0:d=' || CAST(fi AS VARCHAR) END, CASE WHEN fo > 0 THEN 'areverse,afade=t=in:st=0:d=' || CAST(fo AS VARCHAR) || ',areverse' END) AS f
+  FROM (SELECT *, l_linenumber % 4 AS n, CASE l_linenumber % 3 WHEN 0 THEN 50 WHEN 1 THEN 100 ELSE 200 END AS q, CAST(least(60, l_quantity) AS INT) - 10 AS fi, CAST(l_quantity AS INT) % 5 AS fo FROM lineitem))""".replace("CAST(q / 100.0 AS VARCHAR)", "'0.5'"))
+def audio_options_argv(spark, sf_dir):
+    n, line = F.col("l_linenumber") % 4, F.col("l_linenumber")
+    pick = lambda i, *values: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    options = {
+        "trimStart": pick(n, None, "1:30.5", "x", " 5 "), "trimEnd": pick(n, "", "1:75", "1:00:00", "65"),
+        "reverse": (line % 2 == 0).cast("string"), "volume": pick(line % 3, "1", "loud", "1e3"),
+        "fadeIn": (F.col("l_quantity") - 10).cast("string"), "fadeOut": (F.col("l_quantity").cast("int") % 5).cast("string"),
+        "bitrate": pick(n, "auto", "320k", "128k", "999k"), "vbr": (n >= 2).cast("string"), "sampleRate": pick(n, "44100", "8000", "44100", "auto"),
+        "channels": pick(n, "auto", "2", "6", "auto"),
+    }
+    plan = media.audio(F.lit("in.mp4"), F.lit("out.m4a"), "m4a", options, drop_video=True)
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(plan, " ").alias("argv"))
+
+
 @query("""
 SELECT p_partkey, 'fps=' || CAST(least(30, greatest(5, p_size)) AS VARCHAR) || ',scale=480:-1:flags=lanczos,split[s0][s1];[s0]palettegen=max_colors='
   || CAST(least(256, greatest(32, p_size * 8)) AS VARCHAR) || '[p];[s1][p]paletteuse=dither=bayer' AS graph FROM part""")
@@ -622,7 +695,14 @@ def mime_gate(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", names.accepts(mime, name, ["application/pdf"], ["pdf"]).alias("accepted"))
 
 
-@query()
+def _listed(values) -> str:
+    return "CAST([" + ", ".join(f"'{v}'" for v in values) + "] AS VARCHAR[])"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(
+    f"('{name}', CAST({least} AS INT), {each}, {many}, {_listed(accepts)}, '{extension}', {_listed(options)})"
+    for name, least, each, many, accepts, extension, options in catalog.CATALOG
+) + ") t(id, least_inputs, per_file, many_outputs, accepts, extension, options)")
 def operator_catalog(spark, sf_dir):
     return catalog.operators(spark)
 
@@ -642,10 +722,16 @@ def zip_pack(spark, sf_dir):
     return entries.select("archive_id", "ord", "name", F.md5("content").alias("digest"))
 
 
-@query("SELECT conv_id AS archive_id, CAST(sum(512 + ceil(octet_length(encode(text)) / 512.0) * 512) + 1024 AS INT) AS size FROM conversations GROUP BY conv_id")
+@query("""
+WITH e AS (SELECT conv_id, turn, 'turns/' || role || '.txt' AS name, text, octet_length(encode(text)) AS size FROM conversations),
+h AS (SELECT *, rpad(name, 100, chr(0)) || '0000644' || chr(0) || '0000000' || chr(0) || '0000000' || chr(0) || lpad(printf('%o', size), 11, '0') || chr(0) || '00000000000' || chr(0) AS a,
+  '0' || repeat(chr(0), 100) || 'ustar' || chr(0) || '00' || repeat(chr(0), 247) AS b FROM e),
+f AS (SELECT *, a || lpad(printf('%o', CAST(list_sum(list_transform(string_split(a || b, ''), lambda c: ascii(c))) + 256 AS BIGINT)), 6, '0') || chr(0) || ' ' || b AS head FROM h)
+SELECT conv_id AS archive_id, CAST(sum(512 + ceil(size / 512.0) * 512) + 1024 AS INT) AS size,
+  md5(string_agg(head || text || repeat(chr(0), CAST((512 - size % 512) % 512 AS INT)), '' ORDER BY turn) || repeat(chr(0), 1024)) AS digest FROM f GROUP BY conv_id""")
 def tar_pack(spark, sf_dir):
     packed = archives.tar_archives(_entries(spark, sf_dir))
-    return packed.select("archive_id", F.octet_length("content").alias("size"))
+    return packed.select("archive_id", F.octet_length("content").alias("size"), F.md5("content").alias("digest"))
 
 
 @query()
@@ -704,6 +790,107 @@ def compressed_types(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", mime.alias("mime"), page.alias("page0"))
 
 
+@query("SELECT p_partkey, p_size % 6 IN (0, 1, 4) AS accepted FROM part")
+def heic_gate(spark, sf_dir):
+    kind = F.col("p_size") % 6
+    mime = F.get(F.array(*map(F.lit, ("image/HEIC", "", "image/png", "", "application/octet-stream", "image/avif"))), kind)
+    name = F.get(F.array(*map(F.lit, ("a.jpg", "b.HEIF", "c.heic", "d.jpg", "e.x.heic", "f.heif"))), kind)
+    return _read(spark, sf_dir, "part").select("p_partkey", names.accepts_heic(mime, name).alias("accepted"))
+
+
+@query(f"""
+SELECT p_partkey, CAST(floor(841.89::DOUBLE * 0 + h * (595.28::DOUBLE / w) * 1000 + 0.5) AS BIGINT) AS page_h,
+  greatest(1, CAST(floor(w * s + 0.5) AS INT)) AS width, CASE WHEN p_size > 40 THEN 4.0::DOUBLE WHEN p_size % 10 = 0 THEN 2.0::DOUBLE ELSE greatest(1.0::DOUBLE, least(4.0::DOUBLE, p_size / 10.0::DOUBLE)) END AS scale
+FROM (SELECT *, least(150::DOUBLE / 72, 4000::DOUBLE / greatest(w, h)) AS s FROM {_SIZES})""")
+def page_snapshots(spark, sf_dir):
+    w, h, size = F.col("w"), F.col("h"), F.col("p_size")
+    scale = geometry.drawing_scale(F.when((size % 10 == 0) & (size <= 40), "x").otherwise((size / 10).cast("string")))
+    return _parts(spark, sf_dir).select(
+        "p_partkey", F.floor(geometry.snapshot_page(w, h)["height"] * 1000 + 0.5).alias("page_h"),
+        geometry.redaction_scale(w, h)["width"].alias("width"), scale.alias("scale"),
+    )
+
+
+@query("""
+SELECT p_partkey, p_size / 100.0::DOUBLE AS alpha, p_size % 2 = 0 AS progressive, CAST(CASE WHEN p_size % 3 = 0 THEN 1 ELSE 2 END AS INT) AS chroma,
+  CAST(CASE WHEN p_size % 5 = 0 THEN 1 ELSE 3 END AS INT) AS space, CASE p_size % 4 WHEN 0 THEN 'polygon' WHEN 1 THEN 'none' ELSE 'spline' END AS mode,
+  CASE WHEN p_size % 7 < 3 THEN 4.0::DOUBLE ELSE (p_size % 7 - 3)::DOUBLE END AS speckle, CASE WHEN p_size % 7 < 4 THEN 10.0::DOUBLE ELSE (p_size % 7 - 3)::DOUBLE END AS iterations,
+  CASE WHEN p_size % 2 = 0 THEN 'report.v2' ELSE p_name END AS title FROM part""")
+def encoder_options(spark, sf_dir):
+    size = F.col("p_size")
+    jpeg = choices.jpeg_options(F.lit(80), size % 2 == 0, F.when(size % 3 == 0, "4:4:4").otherwise("4:2:0"), size % 5 == 0)
+    mode = F.get(F.array(*map(F.lit, ("polygon", "none", "other", "spline"))), size % 4)
+    trace = choices.trace_options(mode, {"filterSpeckle": size % 7 - 3, "maxIterations": size % 7 - 3})
+    title = F.when(size % 2 == 1, F.col("p_name")).otherwise("")
+    stated = choices.archive_metadata(F.lit("report.v2.pdf"), title, F.lit(None).cast("timestamp"), F.current_timestamp(), "quire")
+    return _read(spark, sf_dir, "part").select(
+        "p_partkey", choices.opacity_alpha(size).alias("alpha"), jpeg["progressive"].alias("progressive"),
+        jpeg["chroma_subsample"].alias("chroma"), jpeg["color_space"].alias("space"), trace["mode"].alias("mode"),
+        trace["filterSpeckle"].alias("speckle"), trace["maxIterations"].alias("iterations"), stated["title"].alias("title"),
+    )
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS doc_id, CAST(o_orderkey % 4 AS INT) AS page0, o_orderkey AS ord, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 5 AS VARCHAR) END AS object_id, o_orderkey % 2 AS width FROM orders),
+k AS (SELECT *, CASE WHEN object_id IS NULL THEN 'i' || CAST(width AS VARCHAR) ELSE 'o' || object_id END AS key FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY page0, object_id IS NULL, ord) AS r FROM k)
+SELECT doc_id, page0, object_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page0, object_id IS NULL, ord) AS INT) AS "index" FROM f WHERE r = 1""")
+def distinct_images(spark, sf_dir):
+    key = F.col("o_orderkey")
+    paints = _read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), (key % 4).cast("int").alias("page0"), key.alias("ord"),
+        F.when(key % 3 != 0, (key % 5).cast("string")).alias("object_id"),
+        (key % 2).alias("width"), F.lit(1).alias("height"), F.lit(1).alias("kind"),
+    )
+    return images.distinct_images(paints).select("doc_id", "page0", "object_id", "index")
+
+
+@query("""
+SELECT conv_id AS doc_id, md5(trim(regexp_replace(string_agg(p, chr(10) || chr(10) ORDER BY turn), '[ \\t]+\\n', chr(10), 'g'), chr(10) || ' ' || chr(9))) AS digest
+FROM (SELECT conv_id, turn, string_agg(w || CASE WHEN i % 5 = 0 THEN chr(10) ELSE ' ' END, '' ORDER BY i) AS p
+  FROM (SELECT conv_id, turn, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)) GROUP BY ALL) GROUP BY conv_id""")
+def compared_text(spark, sf_dir):
+    runs = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("str"), (i % 5 == 0).alias("ends_line")))
+    ordered = F.sort_array(F.collect_list(F.struct("page0", text.compared_page(runs).alias("page"))))
+    grouped = _pages(spark, sf_dir).groupBy("doc_id").agg(F.transform(ordered, lambda p: p["page"]).alias("pages"))
+    return grouped.select("doc_id", F.md5(text.compared_document(F.col("pages"))).alias("digest"))
+
+
+@query(f"""
+WITH p AS ({_OLD}), o AS (SELECT doc_id, page0 AS ord, CASE WHEN page0 % 3 = 0 THEN page0 ELSE NULL END AS own, role || CAST(page0 AS VARCHAR) AS name FROM p),
+d AS (SELECT doc_id, role || CAST(page0 AS VARCHAR) AS name, least(page0, 2) AS page0 FROM p WHERE role = 'user')
+SELECT o.doc_id, o.ord, CAST(coalesce(o.own, d.page0) AS INT) AS page0 FROM o LEFT JOIN d ON o.doc_id = d.doc_id AND o.name = d.name""")
+def outline_destinations(spark, sf_dir):
+    found = _pages(spark, sf_dir)
+    name = F.concat("role", F.col("page0").cast("string")).alias("name")
+    outline = found.select("doc_id", F.col("page0").alias("ord"), F.lit("t").alias("title"), name, F.when(F.col("page0") % 3 == 0, F.col("page0")).alias("page0"))
+    named = found.where("role = 'user'").select("doc_id", name, F.least(F.col("page0"), F.lit(2)).alias("page0"))
+    return split.resolve_destinations(outline, named).select("doc_id", "ord", "page0")
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT conv_id AS doc_id, CAST(turn AS INT) AS ord, role = 'user' AS heading, 1 + length(text) // 40 AS n FROM conversations),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, i) AS r, CASE WHEN heading THEN 16.0::DOUBLE ELSE 11.0::DOUBLE END AS size FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM b)),
+g AS (SELECT *, size * 1.45::DOUBLE AS gap FROM l),
+s AS (SELECT doc_id, 0::BIGINT AS r, 0 AS ord, 0::BIGINT AS i, 0 AS page0, 0.0::DOUBLE AS top, 56.0::DOUBLE AS y FROM (SELECT DISTINCT doc_id FROM b)
+  UNION ALL SELECT doc_id, r, ord, i, CASE WHEN broken THEN page0 + 1 ELSE page0 END, CASE WHEN broken THEN 56.0::DOUBLE ELSE a END, CASE WHEN broken THEN 56.0::DOUBLE ELSE a END + gap + CASE WHEN i = n THEN 6.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM (SELECT *, a + gap > 300.0::DOUBLE - 56.0::DOUBLE AS broken FROM (SELECT g.doc_id, g.r, g.ord, g.i, g.n, g.gap, s.page0, s.y + CASE WHEN g.heading AND g.i = 1 AND s.y > 56.0::DOUBLE THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END AS a
+    FROM s JOIN g ON g.doc_id = s.doc_id AND g.r = s.r + 1)))
+SELECT doc_id, ord, page0, CAST(floor(top * 100 + 0.5) AS BIGINT) AS y FROM s WHERE i = 1""")
+def page_layout(spark, sf_dir):
+    found = _pages(spark, sf_dir).select(
+        "doc_id", F.col("page0").alias("ord"), F.when(F.col("role") == "user", "heading").otherwise("paragraph").alias("kind"),
+        F.when(F.col("role") == "user", 2).alias("level"), (F.floor(F.length("text") / 40) + 1).alias("n_lines"),
+    )
+    return epub.lay_out(found, 300.0).select("doc_id", "ord", "page0", F.floor(F.col("y") * 100 + 0.5).alias("y"))
+
+
+@query("SELECT conv_id AS archive_id, CAST(turn AS INT) AS ord, md5(text) AS digest FROM conversations")
+def gzip_round_trip(spark, sf_dir):
+    packed = archives.gzip_files(_entries(spark, sf_dir).select("archive_id", "ord", "name", "content"))
+    return archives.gunzip_files(packed.where("error is null")).select("archive_id", "ord", F.md5("content").alias("digest"))
+
+
 # Samples and time lines
 
 

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -5,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.functions import geometry, names, numbers, ranges, text
+from quire.functions import arrays, geometry, names, numbers, ranges, text
 from quire.plans import media
 
 
@@ -170,3 +171,16 @@ def test_plans(spark):
     assert plan(media.unlock_pdf(F.lit("i"), F.lit("o"), F.lit("p"))) == "--password=p --decrypt i o"
     assert one(spark, media.source_bitrate(F.lit(100), F.lit(0))) == 4_000_000
     assert one(spark, media.tempo_chain(F.lit(0.3))) == "atempo=0.5,atempo=0.6"
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 500])
+def test_running_sum(spark, n):
+    values = [(i * 7) % 11 for i in range(n)]
+    found = one(spark, arrays.running_sum(F.array(*map(F.lit, values)) if n else F.expr("cast(array() as array<int>)")))
+    assert found == list(itertools.accumulate(values))
+
+
+def test_many_matches(spark):
+    line = "é 123-45-6789, " * 300
+    found = one(spark, text.match_spans(F.lit(line), text.PII_PATTERNS["ssn"]))
+    assert [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer(r"\d{3}-\d{2}-\d{4}", line)]

@@ -1,5 +1,6 @@
 import gzip
 import io
+import random
 import struct
 import tarfile
 import zipfile
@@ -121,7 +122,7 @@ def test_archives(spark):
             assert z.testzip() is None
             if r.archive_id == 1:
                 assert {n: z.read(n) for n in z.namelist()} == {"x.txt": b"one", "x-2.txt": b"two" * 500, "x-2-2.txt": b""}
-    back = archives.zip_entries(packed.unionByName(spark.createDataFrame([(9, b"junk")], packed.schema)))
+    back = archives.zip_entries(packed.unionByName(spark.createDataFrame([(9, b"junk", None)], packed.schema)))
     assert {(r.archive_id, r.name, r.mime, r.error) for r in back.where("archive_id <> 1").collect()} == {
         (2, ".env", "application/octet-stream", None), (9, None, None, "DECODE_FAILED")
     }
@@ -142,10 +143,50 @@ def test_zip_traversal(spark):
     assert sorted(r.name for r in found.collect()) == ["a (2).png", "a.png", "b.txt", "passwd"]
 
 
+def test_unique_names(spark):
+    """Against naming one after the other, with names that meet numbered ones."""
+    rng = random.Random(3)
+    rows = [(a, i, rng.choice(["x.txt", "x.txt", "x-2.txt", "x-2-2.txt", "x-3.txt", ".env", ".env-2", "a.", "b"])) for a in range(12) for i in range(rng.randint(1, 14))]
+    expected = {}
+    for a in range(12):
+        used = set()
+        for _, i, name in (r for r in rows if r[0] == a):
+            stem, dot, rest = name.rpartition(".") if name.rfind(".") > 0 else (name, "", "")
+            tries = [name] + [f"{stem}-{n}{dot}{rest}" for n in range(2, 40)]
+            used.add(expected.setdefault((a, i), next(t for t in tries if t not in used)))
+    found = archives.unique_names(spark.createDataFrame(rows, "archive_id long, ord int, name string").repartition(3)).collect()
+    assert {(r.archive_id, r.ord): r.name for r in found} == expected
+
+
+def test_archives_beyond_the_format(spark):
+    tiny = lambda n: spark.range(n).select(F.lit(n).alias("archive_id"), F.col("id").cast("int").alias("ord"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.lit(b"x").alias("content"))
+    found = {r.archive_id: r for r in archives.zip_archives(tiny(65_536).unionByName(tiny(3)).unionByName(tiny(65_535))).collect()}
+    assert (found[65_536].content, found[65_536].error) == (None, "UNSUPPORTED_INPUT")
+    for n in (3, 65_535):
+        with zipfile.ZipFile(io.BytesIO(bytes(found[n].content))) as z:
+            assert len(z.namelist()) == n and z.read("f1") == b"x" and found[n].error is None
+    little = spark.range(1).select(*[archives._little(F.lit(v), n) for v, n in ((70_000, 2), (5 * 2**30, 4), (65_535, 2), (258, 4))]).head()
+    assert tuple(little) == (None, None, "FFFF", "02010000")
+
+
+def test_tar_in_parts(spark):
+    rows = [(1, i, f"f{i}", bytes([i]) * 700) for i in range(20)] + [(2, 0, "one", b"")]
+    entries = spark.createDataFrame(rows, "archive_id long, ord int, name string, content binary")
+    parts = archives.tar_parts(entries, 0, 5000).collect()
+    whole = {r.archive_id: bytes(r.content) for r in archives.tar_archives(entries).collect()}
+    for a in (1, 2):
+        own = sorted((r.part, bytes(r.content)) for r in parts if r.archive_id == a)
+        assert b"".join(c for _, c in own) == whole[a] and all(len(c) < 5000 + 3000 for _, c in own)
+    assert len(parts) > 6
+
+
 def test_tar_names():
     assert archives.tar_name("a" * 100) == ("a" * 100, "")
     assert archives.tar_name("d" * 90 + "/" + "f" * 50) == ("f" * 50, "d" * 90)
     assert archives.tar_name("x" * 101) is None
+    assert archives.tar_name("é" * 40 + "/" + "a/" + "ü" * 49) == ("ü" * 49, "é" * 40 + "/a")
+    assert archives.tar_name("a" * 120 + "/") is None and archives.tar_name("/" + "b" * 100) is None
+    assert archives.tar_name("p" * 156 + "/x") is None
 
 
 def test_diff(spark):
@@ -180,6 +221,61 @@ def decode_png(data):
     return np.frombuffer(zlib.decompress(chunks[b"IDAT"]), np.uint8).reshape(h, w * n + 1)[:, 1:].reshape(h, w, n), chunks
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_edit_scripts_are_shortest(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 25))] for _ in "ab")
+        script = html.edit_script(a, b)
+        assert [x for op, x in script if op != "+"] == a and [x for op, x in script if op != "-"] == b
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert sum(op == " " for op, _ in script) == best[-1][-1]
+
+
+def test_blocks_are_cut_only_on_demand(spark):
+    pages = spark.createDataFrame([(1, "<p>" + "x" * 300_000 + "</p><p>short</p>")], "id long, html string")
+    whole = html.html_blocks(pages, "id").orderBy("block").collect()
+    assert [(len(r.text), r.cut) for r in whole] == [(300_000, False), (5, False)]
+    assert [(len(r.text), r.cut) for r in html.html_blocks(pages, "id", most=100).orderBy("block").collect()] == [(100, True), (5, False)]
+
+
+def exif(order, code):
+    number = lambda v, n: v.to_bytes(n, {"II": "little", "MM": "big"}[order])
+    tiff = order.encode() + number(42, 2) + number(8, 4) + number(1, 2) + number(0x0112, 2) + number(3, 2) + number(1, 4) + number(code, 2) + b"\0\0" + number(0, 4)
+    body = b"Exif\0\0" + tiff
+    return b"\xff\xd8\xff\xe0\0\x04ab\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body + b"\xff\xda\0\x02\xff\xd9"
+
+
+def test_orientation(spark):
+    rows = [exif("II", 6), exif("MM", 8), exif("II", 9), b"\xff\xd8\xff\xda", b"", None, exif("MM", 3)[:20]]
+    found = images.orientations(spark.createDataFrame(list(enumerate(rows)), "id int, content binary")).orderBy("id").collect()
+    assert [r.orientation for r in found] == [6, 8, 1, 1, 1, 1, 1]
+    p = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    seen = {c: images.upright(p, c)[:, :, 0].tolist() for c in range(1, 9)}
+    assert seen[1] == [[0, 1, 2], [3, 4, 5]] and seen[2] == [[2, 1, 0], [5, 4, 3]] and seen[3] == [[5, 4, 3], [2, 1, 0]]
+    assert seen[4] == [[3, 4, 5], [0, 1, 2]] and seen[5] == [[0, 3], [1, 4], [2, 5]] and seen[6] == [[3, 0], [4, 1], [5, 2]]
+    assert seen[7] == [[5, 2], [4, 1], [3, 0]] and seen[8] == [[2, 5], [1, 4], [0, 3]]
+
+
+def test_unpacking():
+    assert images.unpack(bytes(range(12)), 2, 2, 3).tolist() == [[[0, 1, 2, 255], [3, 4, 5, 255]], [[6, 7, 8, 255], [9, 10, 11, 255]]]
+    assert images.unpack(bytes(range(8)) + b"more", 1, 2, 4).tolist() == [[[0, 1, 2, 3]], [[4, 5, 6, 7]]]
+    assert images.unpack(b"123", 2, 1, 3) is None and images.unpack(b"", 0, 1, 3) is None and images.unpack(b"1234", 1, 1, 2) is None
+
+
+def test_layout_with_a_limit_of_pages(spark):
+    rows = [(1, 0, "heading", 1, 1), (1, 1, "paragraph", None, 9), (1, 2, "paragraph", None, 2)]
+    blocks = spark.createDataFrame(rows, "doc_id long, ord int, kind string, level int, n_lines int")
+    found = [(r.ord, r.page0, r.n_shown) for r in epub.lay_out(blocks, 250.0, 1).orderBy("ord").collect()]
+    assert found == [(0, 0, 1), (1, 0, 6), (2, None, 0)]
+    assert [r.n_shown for r in epub.lay_out(blocks, 250.0).orderBy("ord").collect()] == [1, 9, 2]
+    three = spark.createDataFrame([(1, i, "image" if i % 2 else "paragraph") for i in range(6)], "doc_id long, ord int, kind string")
+    assert sorted(r.ord for r in epub.within_count(three, "doc_id", ["ord"], "image", 2).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_images(spark, tmp_path):
     p = np.random.default_rng(0).integers(0, 256, (5, 7, 3), dtype=np.uint8)
     (tmp_path / "a.png").write_bytes(images.png_bytes(p))
@@ -242,7 +338,7 @@ def test_stream_windows(spark, tmp_path):
 
 def test_plans_without_the_tool(spark):
     df = spark.createDataFrame([("f", ["x"], "in", "out", b"1")], "file_id string, argv array<string>, input_name string, output_name string, content binary")
-    assert run_plans(df, "no-such-tool-here").head()["error"] == "ENGINE_LOAD_FAILED"
+    assert run_plans(df, "no-such-tool-here").head()["error"] == "TOOL_MISSING"
     assert bytes(run_plans(df.withColumn("argv", F.array(F.lit("in"), F.lit("out"))), "cp").head()["content"]) == b"1"
     assert run_plans(df, "false").head()["error"] == "DECODE_FAILED"
 
