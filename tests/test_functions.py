@@ -178,6 +178,8 @@ def test_running_sum(spark, n):
     values = [(i * 7) % 11 for i in range(n)]
     found = one(spark, arrays.running_sum(F.array(*map(F.lit, values)) if n else F.expr("cast(array() as array<int>)")))
     assert found == list(itertools.accumulate(values))
+    found = one(spark, arrays.running_max(F.array(*map(F.lit, values)) if n else F.expr("cast(array() as array<int>)")))
+    assert found == list(itertools.accumulate(values, max))
 
 
 def test_many_matches(spark):
