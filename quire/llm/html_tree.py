@@ -10,8 +10,9 @@ likelihood, whose expectations come from the same messages, on labelled pages ma
 labelled_pages(); their number, TRAIN_PAGES, bounds the work and the model.
 
 Defined results: a null or empty html has no text; unclosed and stray tags are
-tolerated; a page is one row and is parsed whole; repeated rows get equal results; extra
-columns are ignored; an empty table gives an empty result.
+tolerated, and scripts, styles and form controls that are never closed end at the next
+border of a block; formulas and drawn texts are text of their block; a page is one row and is parsed whole; repeated rows get equal results; extra
+columns are ignored, under whatever names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,18 +37,34 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
-RAW = frozenset("script style textarea title noscript iframe template svg select option object math xmp".split())
+#: Elements whose content is code, form controls, or no part of the text that is shown.
+RAW = frozenset("script style textarea title iframe template select option datalist annotation annotation-xml desc metadata".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var".split()
+    "strike strong sub sup time tt u var "
+    "object svg g text tspan textpath math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder "
+    "munderover mtable mtr mtd mstyle mspace semantics mpadded menclose mphantom mfenced".split()
 )
+#: Where an element of RAW that is never closed ends: at the next border of a block.
+BORDER = r"(?=</?(?:html|body|main|article|section|aside|nav|header|footer|div|p|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|form|figure)\b)"
 #: Start tags that end an open element of the same group.
 ENDS = {"p": "p", "li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 SCOPE = frozenset("ul ol dl table tbody body article section div main aside nav blockquote form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def raw_end(tag: str, page: str, at: int) -> int:
+    """Where the content of an element of RAW that begins at at is over."""
+    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    if tag in ("select", "option", "datalist"):  # hold no blocks, and are often left open
+        other = r"|(?=<option\b|</select\b|</datalist\b|</optgroup\b)" if tag == "option" else ""
+        border = re.compile(BORDER + other, re.I).search(page, at)
+        return min((m.end() for m in (close, border) if m), default=len(page))
+    close = close or re.compile(BORDER, re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
 class Node:
     """An element, or a run of text if text is not None."""
 
@@ -102,6 +119,9 @@ def parse(page: str | None) -> list[Node]:
             elif tag != "wbr":
                 run.append(" ")
             continue
+        if tag in RAW:  # stands within its block and does not divide it
+            at = at if closing or attributes.endswith("/") else raw_end(tag, page, at)
+            continue
         flush()
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -124,10 +144,6 @@ def parse(page: str | None) -> list[Node]:
         if attributes:
             words = [x for a in ATTRIBUTE.findall(attributes) for x in NAME_WORD.findall("".join(a[1:]).lower())]
             names = tuple(dict.fromkeys(words))
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else (at if attributes.endswith("/") else end)
-            continue
         nodes.append(Node(tag, names, stack[-1]))
         stack.append(len(nodes) - 1)
     flush()
@@ -270,6 +286,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, st
             rng.choice((f'<div class="comment"><p>{prose(rng.randint(1, 4))}</p></div>', f"<p>{word()}: {prose(rng.randint(1, 3))}</p>")) for _ in range(rng.randint(1, 4)))),
         lambda: any_tag("div", "share social tags tag-list pagination pager", "".join(link(1, 1) for _ in range(rng.randint(2, 5)))),
         lambda: f"<script>var x = {rng.random()};</script>",
+        lambda: f"<noscript>{prose(1)}</noscript>",
         lambda: f"<!-- {words(2, 5)} -->",
     ]
 
@@ -281,7 +298,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, st
             if rng.random() < 0.25:
                 one = text.split(" ")
                 at = rng.randrange(len(one))
-                one[at] = rng.choice(('<a href="/x">{}</a>', "<b>{}</b>", "<em>{}</em>", "<span>{}</span>")).format(one[at])
+                one[at] = rng.choice(('<a href="/x">{}</a>', "<b>{}</b>", "<em>{}</em>", "<span>{}</span>", "<math><mi>{}</mi></math>")).format(one[at])
                 shown = " ".join(one)
             if rng.random() < 0.1:
                 return f"<p><b>{shown}<br>", [text]
