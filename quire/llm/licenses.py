@@ -28,7 +28,8 @@ from .common import let, text_or_empty
 THRESHOLD = 0.8
 SENTENCE_END = r"[.!?]+\s+"
 
-# The notices that are looked for, by SPDX identifier.
+# The notices that are looked for, by SPDX identifier. Of long licences these are the notices that
+# stand in files, of short ones the paragraphs that tell them from others; whole texts are found by their paragraphs.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
@@ -40,10 +41,16 @@ TEMPLATES = {
         "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions:",
     ],
+    "Apache-1.1": [
+        "The end-user documentation included with the redistribution, if any, must include the following acknowledgment: "
+        "This product includes software developed by the Apache Software Foundation (http://www.apache.org/).",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
         "compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+        "on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -51,20 +58,181 @@ TEMPLATES = {
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License version 2 as published by the Free Software Foundation.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ],
+    "GFDL-1.3": [
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free "
+        "Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no "
+        "Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution.",
+    ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission.",
+    ],
+    "BSD-4-Clause": [
+        "All advertising materials mentioning features or use of this software must display the following "
+        "acknowledgement: This product includes software developed by the organization.",
+    ],
+    "0BSD": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "MIT-0": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so.",
+    ],
+    "X11": [
+        "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise "
+        "to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "WTFPL": [
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing "
+        "it is allowed as long as the name is changed.",
+    ],
+    "Zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but "
+        "is not required.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+        "to whom the Software is furnished to do so, all subject to the following:",
+    ],
+    "BUSL-1.1": [
+        "Use of this software is governed by the Business Source License included in the LICENSE file.",
+    ],
+    "NCSA": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal with the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "PostgreSQL": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, "
+        "and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph "
+        "and the following two paragraphs appear in all copies.",
+    ],
+    "Artistic-2.0": [
+        "Licensed under the Artistic License 2.0.",
+        "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    ],
+    "EPL-1.0": [
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "CDDL-1.0": [
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). "
+        "You may not use this file except in compliance with the License.",
+    ],
+    "EUPL-1.2": [
+        "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission, subsequent versions "
+        "of the EUPL (the Licence); You may not use this work except in compliance with the Licence.",
+    ],
+    "MPL-1.1": [
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this "
+        "file except in compliance with the License.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "MS-PL": ["This source code is subject to the terms and conditions of the Microsoft Public License (Ms-PL)."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "Python-2.0": [
+        "Subject to the terms and conditions of this License Agreement, PSF hereby grants Licensee a nonexclusive, "
+        "royalty-free, world-wide license to reproduce, analyze, test, perform and/or display publicly, prepare derivative "
+        "works, distribute, and otherwise use Python alone or in any derivative version.",
+    ],
+    "OpenSSL": [
+        "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit.",
+    ],
+    "PHP-3.01": [
+        "This source file is subject to version 3.01 of the PHP license, that is bundled with this package in the file LICENSE, "
+        "and is available through the world-wide-web at the following url:",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-NC-ND-4.0": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-SA-3.0": [
+        "Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
+    ],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright to this work.", "Licensed under CC0 1.0 Universal."],
+    "ODbL-1.0": ["This database is made available under the Open Database License.", "Licensed under the Open Data Commons Open Database License v1.0."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
 

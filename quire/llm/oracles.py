@@ -76,8 +76,8 @@ b AS (SELECT k, unit, list_distinct(list_transform(range(1, len(w)), lambda j: w
 c AS (SELECT k, unit, i, id, 2.0::DOUBLE * len(list_intersect(t.g, b.g)) / (len(t.g) + len(b.g)) AS dice FROM b, t),
 m AS (SELECT k, unit, dice, id FROM c WHERE dice >= {t} QUALIFY row_number() OVER (PARTITION BY k, unit ORDER BY dice DESC, i) = 1),
 z AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY dice DESC, id DESC, unit DESC) AS r FROM m)
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, id AS license_id, dice, unit AS matched_text
-FROM d LEFT JOIN (SELECT * FROM z WHERE r = 1) USING (k)"""
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, id AS license_id, dice, unit AS matched_text, coalesce(ids, '') AS licenses
+FROM d LEFT JOIN (SELECT k, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM m GROUP BY k) USING (k) LEFT JOIN (SELECT * FROM z WHERE r = 1) USING (k)"""
 
 
 def _spans(kind: int, pattern: str, keep: str) -> str:

@@ -41,6 +41,7 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.size("matches").cast("long").alias("n_matches"), best["id"].alias("license_id"),
         best["dice"].alias("dice"), best["unit"].alias("matched_text"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["id"]))), ",").alias("licenses"),
     )
 
 
