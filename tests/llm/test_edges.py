@@ -103,6 +103,7 @@ def test_rows_stand_for_themselves(spark):
 def test_pages(spark):
     rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", "<p>" * 5000 + "x", 0), (3, "u", "<article><p>One sentence is here." * 3, 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    pages = pages.withColumns({c: F.lit("clash") for c in ("n_chars", "key", "block", "nodes", *CLASHING)})
     found = {r.page_id: r.text for r in html_tree.extract(pages).collect()}
     assert found[1] == found[2] == "" and len(found) == 4
     assert html_tree.extract(pages.where("false")).count() == 0
