@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import subprocess
@@ -10,14 +11,35 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+#: How often a tool that cannot be started is tried.
+STARTS = 2
 RESULT = "file_id string, content binary, error string"
 
 
+def _end_with_parent() -> None:
+    """Has the system stop the tool when the task's process ends, as it does when the task is cancelled."""
+    die_with_parent, kill = 1, 9  # PR_SET_PDEATHSIG, SIGKILL
+    ctypes.CDLL(None).prctl(die_with_parent, kill)
+
+
+def _started(command: list[str], folder: str, timeout: int) -> int | None:
+    """The tool's exit code; None if it could not be started, -1 if it took too long and was stopped."""
+    for _ in range(STARTS):
+        try:
+            return subprocess.run(command, cwd=folder, capture_output=True, timeout=timeout, preexec_fn=_end_with_parent).returncode  # noqa: PLW1509
+        except subprocess.TimeoutExpired:
+            return -1
+        except OSError:
+            continue
+    return None
+
+
 def run_plans(plans: DataFrame, tool: str, timeout: int = 3600) -> DataFrame:
     """file_id, content and error from plans (file_id, argv, input_name, output_name, content).
 
-    Each row runs in a scratch folder of its task, which is gone afterwards. Errors:
-    TOOL_MISSING if the tool is missing, DECODE_FAILED if it fails or writes nothing.
+    Each row runs in a scratch folder of its task, which is gone afterwards, and ends with its
+    task. Errors: TOOL_MISSING if the tool is missing or cannot be started, also when tried
+    again, DECODE_FAILED if it fails or writes nothing.
     """
 
     def run(batches: Iterator):
@@ -34,15 +56,12 @@ def run_plans(plans: DataFrame, tool: str, timeout: int = 3600) -> DataFrame:
                     with tempfile.TemporaryDirectory() as folder:
                         with open(os.path.join(folder, row["input_name"]), "wb") as f:
                             f.write(row["content"] or b"")
-                        try:
-                            done = subprocess.run([program, *row["argv"]], cwd=folder, capture_output=True, timeout=timeout)
-                            target = os.path.join(folder, row["output_name"])
-                            if done.returncode == 0 and os.path.exists(target) and os.path.getsize(target):
-                                with open(target, "rb") as f:
-                                    content = f.read()
-                        except subprocess.TimeoutExpired:
-                            pass
-                    error = None if content else "DECODE_FAILED"
+                        code = _started([program, *row["argv"]], folder, timeout)
+                        target = os.path.join(folder, row["output_name"])
+                        if code == 0 and os.path.exists(target) and os.path.getsize(target):
+                            with open(target, "rb") as f:
+                                content = f.read()
+                    error = None if content else "TOOL_MISSING" if code is None else "DECODE_FAILED"
                 rows.append((row["file_id"], content, error))
             names = ["file_id", "content", "error"]
             kinds = [pa.string(), pa.binary(), pa.string()]

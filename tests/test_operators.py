@@ -343,6 +343,20 @@ def test_plans_without_the_tool(spark):
     assert run_plans(df, "false").head()["error"] == "DECODE_FAILED"
 
 
+def test_plans_with_a_tool(spark, tmp_path):
+    """A tool that copies, one that fails, one that takes too long, and one that is no program."""
+    tool, broken = tmp_path / "tool", tmp_path / "broken"
+    tool.write_text("#!/bin/sh\ncase $1 in copy) cat in > out;; slow) sleep 60;; *) exit 3;; esac\n")
+    broken.write_text("#!/no/such/program\n")
+    tool.chmod(0o755)
+    broken.chmod(0o755)
+    rows = [("a", ["copy"], b"bytes"), ("b", ["fail"], b""), ("c", ["slow"], b"")]
+    plans = spark.createDataFrame([(i, a, "in", "out", c) for i, a, c in rows], "file_id string, argv array<string>, input_name string, output_name string, content binary")
+    found = {r.file_id: (None if r.content is None else bytes(r.content), r.error) for r in run_plans(plans, str(tool), 2).collect()}
+    assert found == {"a": (b"bytes", None), "b": (None, "DECODE_FAILED"), "c": (None, "DECODE_FAILED")}
+    assert {r.error for r in run_plans(plans, str(broken)).collect()} == {"TOOL_MISSING"}
+
+
 def test_catalog(spark):
     found = catalog.operators(spark)
     assert found.count() == 70 and found.select("id").distinct().count() == 70
