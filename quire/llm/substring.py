@@ -57,22 +57,21 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
 
 
 def text_units(text: str | None, powers: Powers) -> tuple[np.ndarray, ...]:
-    """digest, word position, start, end, number of words and "is a line" of the units of a text."""
+    """digest, word position and number of words of the units of a text; the number is negative for passages."""
     raw, first, end = words(text)
-    none = np.empty(0, np.int64)
     if not len(first):
-        return none.astype(np.uint64), none, none, none, none, none.astype(bool)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     each = word_hashes(raw, first, end, powers)
-    start, stop = word_offsets(raw, first, end)
     line = np.searchsorted(np.flatnonzero(raw == 10), first)
     a = np.flatnonzero(np.diff(line, prepend=-1))  # first word of each line
     b = np.concatenate((a[1:], [len(first)]))
-    n_lines, n = len(a), len(first) - PASSAGE + 1
+    sign, n = np.ones(len(a), np.int64), len(first) - PASSAGE + 1
     if n > 0:
         p = np.arange(n)
         p = winnowed(powers.runs(each, p, p + PASSAGE))
         a, b = np.concatenate((a, p)), np.concatenate((b, p + PASSAGE))
-    return powers.runs(each, a, b), a, start[a], stop[b - 1], b - a, np.arange(len(a)) < n_lines
+        sign = np.concatenate((sign, np.full(len(p), -1)))
+    return powers.runs(each, a, b), a, sign * (b - a)
 
 
 def _doc_columns(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -82,24 +81,23 @@ def _doc_columns(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, k2, word, start, end, n (words) and line of every unit of docs."""
+    """digest, doc_id, k2, word and n (words, negative for passages) of every unit of docs."""
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         powers = Powers()
-        names = ["word", "start", "end", "n"]
         for batch in batches:
             parts = [text_units(t.as_py(), powers) for t in batch.column("text")]
             row = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
             if len(row):
-                digest, *rest, line = (np.concatenate([p[i] for p in parts]) for i in range(6))
+                digest, word, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
                 own = [batch.column(c).take(row) for c in ("doc_id", "k2")]
-                columns = [pa.array(digest.view(np.int64)), *own, *(pa.array(x.astype(np.int32)) for x in rest), pa.array(line)]
-                yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "k2", *names, "line"])
+                columns = [pa.array(digest.view(np.int64)), *own, pa.array(word.astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "k2", "word", "n"])
 
     rows, kind = _doc_columns(docs)
-    return rows.mapInArrow(run, f"digest long, doc_id {kind}, k2 long, word int, start int, end int, n int, line boolean")
+    return rows.mapInArrow(run, f"digest long, doc_id {kind}, k2 long, word int, n int")
 
 
 def shared_after(a: np.ndarray, b: np.ndarray) -> int:
@@ -195,7 +193,7 @@ def passages(docs: DataFrame, later: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, k2, lines (spans in code points) and passages (spans in words) to remove, of documents with any."""
+    """doc_id, k2, lines and passages, array<struct<start, end>> in words, to remove, of documents with any."""
     found = stored(units(docs))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k2", "word")
     # Written first, so that the join below has an exchange of its own on either side and
@@ -205,12 +203,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         .where("times > 1").select("digest", "kept")
     )
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("k2") == F.col("kept.k2"))
-    later = found.join(firsts, "digest").where(~same | (F.col("word") >= F.col("kept.word") + F.col("n")))
-    later = stored(later.select("doc_id", "k2", "word", "start", "end", "line", "kept"))
-    lines = later.where("line").select("doc_id", "k2", "start", "end").distinct().groupBy("doc_id", "k2").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("lines")
+    later = found.join(firsts, "digest").where(~same | (F.col("word") >= F.col("kept.word") + F.abs("n")))
+    later = stored(later.select("doc_id", "k2", "word", "n", "kept"))
+    lines = later.where("n > 0").select("doc_id", "k2", "word", "n").distinct().groupBy("doc_id", "k2").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("word").alias("start"), (F.col("word") + F.col("n")).alias("end")))).alias("lines")
     )
-    within = passages(docs, later.where("not line").select("doc_id", "k2", "word", "kept").distinct())
+    within = passages(docs, later.where("n < 0").select("doc_id", "k2", "word", "kept").distinct())
     within = within.select(F.col("doc_id").alias("i"), F.col("k2").alias("k"), "passages")
     both = lines.join(within, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k2") == F.col("k")), "full")
     # Where k is null the row is of lines alone; a doc_id may be null itself.
@@ -231,25 +229,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found
 
 
-def without(text: str, lines: list[tuple[int, int]], within: list[tuple[int, int]]) -> tuple[str, list, list]:
-    """text less its spans, the spans of its passages in code points, and all spans merged."""
-    if within:
-        raw, first, end = words(text)
-        start, stop = word_offsets(raw, first, end)
-        within = merged([(int(start[a]), int(stop[b - 1])) for a, b in within])
+def without(text: str, lines: list[tuple[int, int]], within: list[tuple[int, int]]) -> tuple[str, list, list, list]:
+    """text less its spans, given in words, and in code points those of its lines, of its passages, and all merged."""
+    if not lines and not within:
+        return text, [], [], []
+    raw, first, end = words(text)
+    start, stop = word_offsets(raw, first, end)
+    lines, within = ([(int(start[a]), int(stop[b - 1])) for a, b in spans] for spans in (lines, within))
+    within = merged(within)
     every = merged(lines + within)
     ends = [0, *(end for _, end in every)]
     starts = [*(start for start, _ in every), len(text)]
-    return "".join(text[a:b] for a, b in zip(ends, starts, strict=True)), within, every
+    return "".join(text[a:b] for a, b in zip(ends, starts, strict=True)), lines, within, every
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), text less the spans, n_removed, line_spans and passage_spans of each row."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    size = 8 * (F.coalesce(F.size("lines"), F.lit(0)) + F.coalesce(F.size("passages"), F.lit(0))) + 64
     found = repeats(docs).select(F.col("doc_id").alias("i"), F.col("k2").alias("k"), "lines", "passages")
     keyed = docs.select(row, "doc_id", row_keys()[1].alias("k2"), "text")
-    joined = keyed.join(bounded(found, size), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k2") == F.col("k")), "left")
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k2") == F.col("k")), "left")
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -259,8 +258,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, removed, spans = [], [], ([], [])
             for text, lines, within in zip(*(batch.column(c) for c in ("text", "lines", "passages")), strict=True):
-                text, lines = text.as_py(), pairs(lines)
-                own, within, every = without(text or "", lines, pairs(within))
+                text = text.as_py()
+                own, lines, within, every = without(text or "", pairs(lines), pairs(within))
                 texts.append(text if text is None else own)
                 removed.append(sum(b - a for a, b in every))
                 for out, found in zip(spans, (lines, within), strict=True):
