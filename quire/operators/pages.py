@@ -102,9 +102,18 @@ def interleave(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def merge(pages: DataFrame, group: str, order: str) -> DataFrame:
-    """The documents of each group as one, in the order of a column: adds merged_page0."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order, "page0")) - 1
-    return pages.withColumn("merged_page0", place.cast("int"))
+    """The documents of each group as one, in the order of a column, which tells them apart: adds merged_page0.
+
+    Pages are numbered within their own document; only the sizes of documents are summed
+    over a group, so that a group of many pages is no task of its own.
+    """
+    sizes = pages.groupBy(F.col(group).alias("__group"), F.col(order).alias("__order")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__group").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    same = F.col(group).eqNullSafe(F.col("__group")) & F.col(order).eqNullSafe(F.col("__order"))
+    own = F.row_number().over(Window.partitionBy(group, order).orderBy("page0")) - 1
+    joined = pages.withColumn("__own", own).join(placed, same)
+    return joined.withColumn("merged_page0", (F.col("__first") + F.col("__own")).cast("int")).drop("__group", "__order", "__first", "__own")
 
 
 def mergeable(files: DataFrame, group: str, least: int = 2) -> DataFrame:
