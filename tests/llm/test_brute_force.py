@@ -780,16 +780,20 @@ def test_languages(spark, docs):
 
 
 def test_out_of_place_distance(spark, docs):
+    """Every document's nearest profile and score, n-gram by n-gram."""
     learned = langid.profiles(docs)
-    text = docs.head().text
-    own = [g for g, _ in sorted(brute_profile([text]).items(), key=lambda x: (-x[1], [ord(c) for c in x[0].rjust(3, "\0")]))][: langid.PROFILE]
-    best = None
-    for lang, grams in learned:
-        rank = {unpack(g): i for i, g in enumerate(grams)}
-        apart = sum(abs(i - rank[g]) if g in rank else langid.MISSING for i, g in enumerate(own))
-        best = min(best or (apart, lang), (apart, lang))
-    got = langid.predict(docs.limit(1), learned).head()
-    assert (got.lang_pred, got.score) == (best[1], pytest.approx(1 - best[0] / (langid.MISSING * len(own))))
+    found = {r.doc_id: r for r in langid.predict(docs, learned).collect()}
+    ranks = [(lang, {unpack(g): i for i, g in enumerate(grams)}) for lang, grams in learned]
+    for r in docs.collect():
+        grams = sorted(brute_profile([r.text]).items(), key=lambda x: (-x[1], [ord(c) for c in x[0].rjust(3, "\0")]))
+        own = [g for g, _ in grams][: langid.PROFILE]
+        got = found[r.doc_id]
+        if not own:
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        apart = [(sum(abs(i - rank[g]) if g in rank else langid.MISSING for i, g in enumerate(own)), lang) for lang, rank in ranks]
+        best = min(apart)
+        assert (got.lang_pred, got.score) == (best[1], pytest.approx(1 - best[0] / (langid.MISSING * len(own))))
 
 
 def test_profiles_do_not_see_held_out_rows(spark, docs):

@@ -6,6 +6,8 @@ import re
 from test_brute_force import brute_contamination, brute_print, brute_quality, brute_spans, components
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from quire.llm import mixing
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +73,29 @@ def test_pipeline(spark):
     plan = {r.doc_id: r.copies for r in mixing.plan_documents(found).collect()}
     mixed = collections.Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
     assert mixed == collections.Counter({d: c for d, c in plan.items() if c})
+
+
+def test_null_and_shared_ids_with_clashing_columns(spark):
+    """Each stage judges rows one by one, whatever their ids, and keeps columns of any name."""
+    prose = lambda k: " ".join(f"w{(i * 7919 + k * 104729) % 100003}" for i in range(90))
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 12)
+    key = "token = abcdef123456"
+    rows = [
+        (None, prose(1), "s"), (None, prose(2), None), (None, "too short", "s"), (7, prose(3), "s"), (7, "short too", "s"), (7, f"{prose(4)} {key}", None),
+        (9, prose(1), "t"), (None, f"{prose(5)} {item} {prose(6)}", "s"), (7, f"{prose(7)} {item}", "s"), (3, None, "s"), (4, "", None), (5, prose(8), "t"), (5, prose(8), "t"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("row", "k1", "k2", "host", "kept", "words", "of_host", "again", "draw", "copies", "rate", "n_soft", "found")})
+    left = [(None, prose(2)), (5, prose(8)), (7, prose(3)), (7, f"{prose(4)} {key}"), (9, prose(1))]
+    dropped = [(None, rows[7][1]), (7, rows[8][1])]
+    twice = [(5, prose(8)), (None, prose(1))]
+    expected = [left + dropped + twice, left + dropped, left, [(i, t.replace(key, "[REDACTED]")) for i, t in left]]
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], expected, strict=True):
+        docs = stage(spark, docs, SF)
+        got = [(r.doc_id, r.text) for r in docs.collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr), name
+        assert len(docs.columns) == 18 and docs.where("row <> 'clash' or k1 <> 'clash' or kept <> 'clash'").count() == 0
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    plan = collections.Counter({(r.doc_id, r.size): r.copies for r in mixing.plan_documents(docs).collect() if r.copies})
+    assert mixed.columns == docs.columns and sum(plan.values()) == mixed.count() and {r.text for r in mixed.collect()} <= {t for _, t in expected[-1]}
+    assert all(stage(spark, docs.where("false"), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
