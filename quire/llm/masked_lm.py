@@ -151,12 +151,11 @@ def hidden(net: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 
 def class_weights(net: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the logits of the classes, less the largest, and their sums."""
-    z = h[:, :WIDTH] @ net[2]
-    z += net[3]
-    z -= z.max(axis=1, keepdims=True)
+    """exp of the logits of the classes, and their sums."""
+    z = h @ np.concatenate((net[2], net[3][None, :]))
+    np.minimum(z, 80, out=z)  # exp of more is no 32-bit number
     np.exp(z, out=z)
-    return z, z.sum(axis=1)
+    return z, z @ np.ones(CLASSES, np.float32)
 
 
 class Ways:
@@ -227,7 +226,7 @@ class Trainer:
         size = len(SIDES) * (INPUTS + 1)
         below = rows.ravel()
         embeddings = np.stack([np.bincount(below, np.tile(d, len(SIDES)), size) for d in dh.T], axis=1)
-        slopes = (embeddings.astype(np.float32).reshape(SHAPES[0]), dh.sum(axis=0), own.T @ z / n, z.sum(axis=0) / n)
+        slopes = (embeddings.astype(np.float32).reshape(SHAPES[0]), dh.sum(axis=0), own.T @ z / n, np.ones(n, np.float32) @ z / n)
         for p, g, s in zip(self.net, slopes, self.squares, strict=True):
             s += g * g
             p -= RATE * g / np.sqrt(s)
