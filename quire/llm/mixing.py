@@ -23,6 +23,8 @@ BUDGET = 1.5
 MAX_REPEATS = 2
 SEED = 20250101
 RANGES = 64
+#: Shares that fair_share() tries at a time.
+POINTS = 16
 
 
 def source_sizes(docs: DataFrame) -> DataFrame:
@@ -48,29 +50,43 @@ def source_sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def fill(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """sizes with target and rate: budget times all sizes, shared by weight, each up to max_repeats its size.
+def fair_share(limited: DataFrame, total: float) -> float:
+    """What a unit of weight gets so that sum(min(weight * share, cap)) is total, over sources with a cap.
 
-    The share of a unit of weight grows until no further source reaches its limit;
-    every round sums the sources once and brings three numbers to the driver.
+    Each round tries POINTS shares between two that are too small and too large, in one
+    aggregation; it ends when no source reaches its cap between neighbours. Shares lie within
+    a factor of 2**64, say, so a few rounds do for any number of sources.
     """
+    ratio = F.col("cap") / F.col("weight")
+    caps, weights, low, high = limited.agg(F.sum("cap"), F.sum("weight"), F.min(ratio), F.max(ratio)).head()
+    if caps is None or total >= caps:
+        return high or 0.0  # every source is full
+    if total <= low * weights:
+        return total / weights  # none is
+    while True:
+        points = [low * (high / low) ** (i / POINTS) for i in range(POINTS)] + [high]
+        tried = limited.agg(*[
+            F.struct(
+                F.count(F.when(ratio <= p, 1)).alias("n"), F.coalesce(F.sum(F.when(ratio <= p, F.col("cap"))), F.lit(0.0)).alias("full"),
+                F.coalesce(F.sum(F.when(ratio > p, F.col("weight"))), F.lit(0.0)).alias("open"),
+            ) for p in points
+        ]).head()
+        at = max(i for i, x in enumerate(tried[:POINTS]) if i == 0 or x["full"] + points[i] * x["open"] <= total)
+        if tried[at]["n"] == tried[at + 1]["n"] or (points[at], points[at + 1]) == (low, high):
+            return (total - tried[at]["full"]) / tried[at]["open"]
+        low, high = points[at], points[at + 1]
+
+
+def fill(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """sizes with target and rate: budget times all sizes, shared by weight, each up to max_repeats its size."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     limited = cut(sizes.select(
         "of_source", "source_size",
         F.get(cycle, (F.col("rank") % len(weights)).cast("int")).alias("weight"),
         (F.lit(float(max_repeats)) * F.col("source_size")).alias("cap"),
     ))
-    first = limited.agg(F.sum("source_size"), F.sum("weight")).head()
-    total = budget * (first[0] or 0)
-    share, capped = (total / first[1] if first[1] else 0.0), -1
-    while True:
-        over = F.col("weight") * F.lit(share) > F.col("cap")
-        n, taken, weight = limited.agg(
-            F.count(F.when(over, 1)), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))
-        ).head()
-        if n == capped or not weight:
-            break
-        share, capped = (total - (taken or 0.0)) / weight, n
+    total = budget * (limited.agg(F.sum("source_size")).head()[0] or 0)
+    share = fair_share(limited.where("cap > 0"), total)
     target = F.least(F.col("weight") * F.lit(share), F.col("cap"))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0)
     return limited.select("of_source", "source_size", target.alias("target"), rate.alias("rate"))

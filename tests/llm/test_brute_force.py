@@ -738,6 +738,27 @@ def test_targets_and_copies(spark, docs, rows):
     assert copies == {d: r.copies for d, r in found.items() if r.copies}
 
 
+@pytest.mark.parametrize("sizes", [[3**i for i in range(30)], [1] * 7, [5, 0, 0, 2**40, 1, 1], [0, 0], [10], list(range(1, 200))])
+@pytest.mark.parametrize("budget", [0.001, 1.5, 1.999, 2.5])
+def test_targets_of_many_sizes(spark, sizes, budget):
+    """Filling up by the definition, one source after another."""
+    rows = [(f"{i:04d}", s, i) for i, s in enumerate(sizes)]
+    found = {r.of_source: r.target for r in mixing.fill(spark.createDataFrame(rows, "of_source string, source_size long, rank long"), budget=budget).collect()}
+    weight = {n: (5, 2, 1)[i % 3] for n, _, i in rows}
+    target, left, open_ = {}, budget * sum(sizes), {n for n, _, _ in rows}
+    size = {n: s for n, s, _ in rows}
+    while open_:
+        share = left / sum(weight[n] for n in open_)
+        full = {n for n in open_ if weight[n] * share > 2 * size[n]}
+        if not full:
+            break
+        target |= {n: 2.0 * size[n] for n in full}
+        left -= sum(2.0 * size[n] for n in full)
+        open_ -= full
+    target |= {n: weight[n] * share for n in open_}
+    assert found == {n: pytest.approx(t, rel=1e-9) for n, t in target.items()}
+
+
 def test_ranks_over_many_sources(spark):
     names = [f"s{i:04d}" for i in range(500)] + ["é", "Z", None, ""]
     df = spark.createDataFrame([(i, "a b", s) for i, s in enumerate(names)], "doc_id long, text string, source string")
