@@ -352,8 +352,10 @@ def vocabulary(docs: DataFrame) -> tuple[Words, np.ndarray, int]:
     counts = cut(word_counts(docs))
     small = F.col("word").between(-256, 0)
     own = counts.where(~small)
-    # A row for each count that occurs: fewer than the root of twice the number of tokens.
-    times = own.where(F.col("n") >= LEAST).groupBy("n").agg(F.count("*").alias("words")).collect()
+    # A row for each count that occurs; counts of 2**16 and more by their first 11 bits. That is 2**17 rows at most.
+    step = F.pow(F.lit(2.0), F.floor(F.log2("n")) - 10)
+    level = F.when(F.col("n") < 1 << 16, F.col("n")).otherwise((F.floor(F.col("n") / step) * step).cast("long")).alias("n")
+    times = own.where(F.col("n") >= LEAST).groupBy(level).agg(F.count("*").alias("words")).collect()
     least, total = None, 0
     for row in sorted(times, reverse=True):
         total += row["words"]

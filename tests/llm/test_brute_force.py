@@ -241,6 +241,18 @@ def test_words_follow_the_corpus_and_their_context(spark):
     assert found[0] > found[1] and found[2] > found[3]
 
 
+@pytest.mark.parametrize("most", [1 << 17, 40, 33])
+def test_vocabulary_holds_the_most_frequent_words(spark, monkeypatch, most):
+    """All words of LEAST occurrences or more, or as many of the most frequent as fit, without a part of equal ones."""
+    monkeypatch.setattr(masked_lm, "MOST", most)
+    counts = {f"word{i}": 16 + i // 4 for i in range(60)} | {"often": 70_000, "rare": 15}
+    words, _, tokens = masked_lm.vocabulary(frame(spark, [" ".join([w] * n) for w, n in counts.items()]))
+    ordered = sorted(counts.values(), reverse=True)
+    least = next(n for n in sorted(set(ordered)) if n >= 16 and sum(c >= n for c in ordered) <= most)
+    expected = max(masked_lm.KNOWN, sum(c >= least for c in ordered))
+    assert len(words.known) == expected and tokens == sum(ordered)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     kinds = np.concatenate((np.arange(masked_lm.KNOWN), masked_lm.KNOWN + rng.integers(0, masked_lm.BUCKETS, 60), masked_lm.KNOWN + np.arange(masked_lm.BUCKETS)))
