@@ -189,6 +189,32 @@ def orientations(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("orientation", found(F.col(content)))
 
 
+def straightened(images: DataFrame, files: DataFrame, column: str = "image") -> DataFrame:
+    """images as they are meant to be seen; files has file_id (the path) and content of the files that they were read from.
+
+    Only the head of a file goes along, since that is where its orientation stands.
+    """
+    path = lambda text: F.regexp_replace(text, r"^([A-Za-z0-9]+):/+", "$1:/")
+    heads = files.select(path(F.col("file_id")).alias("__path"), F.substring("content", 1, 1 << 17).alias("content"))
+    stated = orientations(heads).where("orientation > 1").select("__path", "orientation")
+    joined = images.join(stated, path(F.col(column)["origin"]) == F.col("__path"), "left").select(*images.columns, "orientation")
+    index = images.columns.index(column)
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            image, codes = batch.column(index), batch.column("orientation").to_pylist()
+            done = [
+                x if x is None or not code or not x["data"] else as_image(upright(pixels(x), code), x["origin"])
+                for x, code in zip(image.to_pylist(), codes, strict=True)
+            ]
+            columns = [pa.array(done, image.type) if i == index else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, images.schema)
+
+
 def distinct_images(paints: DataFrame) -> DataFrame:
     """paints (doc_id, page0, ord, object_id, width, height, kind), the first of each image, with index from 1.
 

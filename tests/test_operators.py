@@ -260,6 +260,25 @@ def test_orientation(spark):
     assert seen[7] == [[5, 2], [4, 1], [3, 0]] and seen[8] == [[2, 5], [1, 4], [0, 3]]
 
 
+def test_straightened_images(spark, tmp_path):
+    """A JPEG file that states a quarter turn comes upright, one without a statement and a PNG file as they are."""
+    jvm, p = spark.sparkContext._jvm, np.zeros((8, 16, 3), np.uint8)
+    p[:, 8:] = 255  # dark on the left, bright on the right
+    picture = jvm.java.awt.image.BufferedImage(16, 8, 1)
+    for y in range(8):
+        for x in range(16):
+            picture.setRGB(x, y, 0xFFFFFF if x >= 8 else 0)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / "plain.jpg")))
+    plain = (tmp_path / "plain.jpg").read_bytes()
+    (tmp_path / "turned.jpg").write_bytes(exif("MM", 6)[:-6].replace(b"\xff\xe0\0\x04ab", b"") + plain[2:])
+    (tmp_path / "b.png").write_bytes(images.png_bytes(p))
+    done = images.straightened(files.read_images(spark, str(tmp_path)), files.read_files(spark, str(tmp_path))).collect()
+    found = {r.image.origin.rsplit("/", 1)[1]: images.pixels(r.image.asDict()) for r in done}
+    assert found["plain.jpg"].shape == (8, 16, 3) and np.array_equal(found["b.png"], p)
+    turned = found["turned.jpg"]
+    assert turned.shape == (16, 8, 3) and turned[:6].max() < 60 and turned[10:].min() > 200
+
+
 def test_unpacking():
     assert images.unpack(bytes(range(12)), 2, 2, 3).tolist() == [[[0, 1, 2, 255], [3, 4, 5, 255]], [[6, 7, 8, 255], [9, 10, 11, 255]]]
     assert images.unpack(bytes(range(8)) + b"more", 1, 2, 4).tolist() == [[[0, 1, 2, 3]], [[4, 5, 6, 7]]]
