@@ -395,7 +395,14 @@ def line_explode(spark, sf_dir):
     return items.select("doc_id", "item", F.md5("str").alias("line"))
 
 
-@query()
+@query(r"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>|<script>.*?</script>|<!--.*?-->', '', 'g'), '<br>', ' ', 'g'),
+  '(?i)<(/?(?:p|div|section|article|blockquote|pre|figcaption|td|th|h[1-6]|li))(?:\s[^>]*)?>', '§\1§', 'g') AS t FROM pages),
+s AS (SELECT page_id, string_split(regexp_replace(t, '<[^>]*>', '', 'g') || '§§', '§') AS x FROM b),
+f AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x[2 * i - 1], '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text, x[2 * i] AS tag
+  FROM (SELECT *, unnest(range(1, len(x) // 2 + 1)) AS i FROM s))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS block, CASE WHEN tag LIKE '/h_' THEN 'heading' WHEN tag = '/li' THEN 'listitem' ELSE 'paragraph' END AS kind,
+  CASE WHEN tag LIKE '/h_' THEN CAST(tag[3:] AS INT) END AS level, text, CAST(NULL AS VARCHAR) AS href, false AS cut FROM f WHERE text <> ''""")
 def html_blocks(spark, sf_dir):
     return html.html_blocks(_read(spark, sf_dir, "pages"), "page_id")
 
