@@ -244,8 +244,8 @@ def without(text: str, lines: list[tuple[int, int]], within: list[tuple[int, int
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs), text less the spans, n_removed, line_spans and passage_spans of each row."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    """row (the columns of docs but text), text less the spans, n_removed, line_spans and passage_spans of each row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     found = repeats(docs).select(F.col("doc_id").alias("i"), F.col("k2").alias("k"), "lines", "passages")
     keyed = docs.select(row, "doc_id", row_keys()[1].alias("k2"), "text")
     joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k2") == F.col("k")), "left")
