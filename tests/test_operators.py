@@ -89,6 +89,22 @@ def test_regions_form_an_antichain(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+@pytest.mark.parametrize("many", [512, 5])
+@pytest.mark.parametrize("whole", [True, False])
+def test_regions_by_place(spark, monkeypatch, many, whole):
+    """Against all pairs, with boxes of many sizes, in whole numbers and in fractions, empty ones too."""
+    monkeypatch.setattr(regions, "MANY", many)
+    rng = random.Random(many + whole)
+    size = lambda: rng.randint(0, 2 ** rng.randint(0, 6)) if whole else rng.random() ** 3
+    place = lambda: rng.randint(-10, 60) if whole else rng.random()
+    rows = [(d, 0, (float(place()), float(place()), float(size()), float(size()))) for d in (1, 2, 3) for _ in range(60 * (d > 1) + 3)]
+    found = regions.drop_contained(spark.createDataFrame(rows, "doc_id long, page0 int, region struct<x: double, y: double, w: double, h: double>"), ["doc_id", "page0"])
+    inside = lambda b, o: o != b and o[0] <= b[0] + 1e-12 and o[1] <= b[1] + 1e-12 and b[0] + b[2] <= o[0] + o[2] + 1e-12 and b[1] + b[3] <= o[1] + o[3] + 1e-12
+    expected = {(d, b) for d, _, b in rows if not any(e == d and inside(b, o) for e, _, o in rows)}
+    got = [(r.doc_id, tuple(r.region)) for r in found.collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
 def test_detect(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or\ncall 555-123-4567"), (2, "nothing")], "doc_id long, text string")
     found = regions.find_spans(regions.items_of_text(docs), term="CALL")
