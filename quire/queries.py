@@ -898,6 +898,36 @@ def gzip_round_trip(spark, sf_dir):
     return archives.gunzip_files(packed.where("error is null")).select("archive_id", "ord", F.md5("content").alias("digest"))
 
 
+@query(r"""
+WITH t AS (SELECT conv_id AS book, turn, count(*) OVER (PARTITION BY conv_id) - 1 - turn AS chapter, role,
+  trim(regexp_replace(regexp_replace(replace(replace(replace(translate(text, '‘’“”–•', '''''""-·'), '…', '...'), '—', '--'), '·', '* '), '[^\x{09}\x{0A}\x{20}-\x{FF}]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT book, CAST(chapter AS INT) AS chapter, 0 AS block, 'heading' AS kind, md5(role) AS digest FROM t UNION ALL
+SELECT book, CAST(chapter AS INT), 1, 'paragraph', md5(text) FROM t WHERE text <> '' UNION ALL
+SELECT book, CAST(chapter AS INT), CASE WHEN text <> '' THEN 2 ELSE 1 END, 'image', md5('OEBPS/img/' || CAST(turn AS VARCHAR) || '.png') FROM t""")
+def epub_round_trip(spark, sf_dir):
+    # Books made of conversations, the last turn first, are packed and read again as chapters and blocks.
+    found = _read(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    page = F.concat(
+        F.lit("<html><head><title>t</title></head><body><h2>"), "role", F.lit("</h2><p>"), text.escape_html(F.col("text")),
+        F.lit("</p><img src='../img/"), turn, F.lit(".png'/></body></html>"),
+    )
+    item = F.concat(F.lit("<item id='c"), turn, F.lit("' href='text/ch%20"), turn, F.lit(".xhtml'/>"))
+    reference = F.struct("turn", F.concat(F.lit("<itemref idref='c"), turn, F.lit("'/>")).alias("ref"))
+    listed = found.groupBy(F.col("conv_id").alias("book")).agg(
+        F.array_join(F.collect_list(item), "").alias("items"),
+        F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(reference))), lambda x: x["ref"]), "").alias("refs"),
+    )
+    opf = F.concat(F.lit("<package><manifest>"), "items", F.lit("</manifest><spine>"), "refs", F.lit("<itemref idref='none'/></spine></package>"))
+    container = F.lit("<container><rootfiles><rootfile full-path='OEBPS/book.opf'/></rootfiles></container>")
+    files = found.select(F.col("conv_id").alias("book"), F.concat(F.lit("OEBPS/text/Ch "), turn, F.lit(".xhtml")).alias("path"), page.alias("xml"))
+    for path, xml in (("META-INF/container.xml", container), ("OEBPS/book.opf", opf)):
+        files = files.unionByName(listed.select("book", F.lit(path).alias("path"), xml.alias("xml")))
+    entries = files.select(F.col("book").alias("archive_id"), "path", F.to_binary("xml", F.lit("utf-8")).alias("content"))
+    blocks = epub.blocks(entries)
+    return blocks.select(F.col("archive_id").alias("book"), "chapter", "block", "kind", F.md5(F.coalesce("text", "href")).alias("digest"))
+
+
 # Samples and time lines
 
 
