@@ -36,6 +36,11 @@ def clamp_int(value: Column, low: int, high: int, default: int) -> Column:
     return let(number, lambda n: F.when(n.isNull(), default).otherwise(limited(n)).cast("int"))
 
 
+def read_int(value: Column, default: int, low: int, high: int) -> Column:
+    """Like clamp_int(), for options that may be missing: a null is the default."""
+    return F.when(value.isNull(), default).otherwise(clamp_int(value, low, high, default))
+
+
 def clamp_quality(value: Column) -> Column:
     return clamp_int(value, 10, 100, 92)
 

@@ -242,6 +242,35 @@ def png_bytes(p: np.ndarray, dpi: int = 0) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + density + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
 
 
+def palette(p: np.ndarray, colors: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A table of at most so many colours, 2 to 256, and each pixel's place in it.
+
+    An image of no more colours keeps them all; of others, colours that agree in their
+    highest bits become their mean, with as many bits as the table allows.
+    """
+    colors = min(256, max(2, colors))
+    flat = p.reshape(-1, p.shape[2]).astype(np.int64)
+    for bits in range(8, -1, -1):
+        _, at, n = np.unique(flat >> (8 - bits), axis=0, return_inverse=True, return_counts=True)
+        if len(n) <= colors:
+            at = at.ravel()
+            sums = np.stack([np.bincount(at, c, len(n)) for c in flat.T], axis=1)
+            return np.floor(sums / n[:, None] + 0.5).astype(np.uint8), at.astype(np.uint8).reshape(p.shape[:2])
+    raise AssertionError("no bits leave one colour")
+
+
+def palette_png(p: np.ndarray, colors: int = 256) -> bytes:
+    """A PNG file of at most so many colours, alpha included."""
+    p = np.repeat(p, 3, axis=2) if p.shape[2] == 1 else p
+    table, at = palette(p, colors)
+    h, w = at.shape
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), at], axis=1).tobytes()
+    parts = [chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 3, 0, 0, 0)), chunk(b"PLTE", table[:, :3].tobytes())]
+    if p.shape[2] == 4:
+        parts.append(chunk(b"tRNS", table[:, 3].tobytes()))
+    return b"\x89PNG\r\n\x1a\n" + b"".join([*parts, chunk(b"IDAT", zlib.compress(rows, 9)), chunk(b"IEND", b"")])
+
+
 def set_png_density(data: bytes, dpi: int) -> bytes:
     """A PNG file with its density; other data, and a density of 0, stay as they are."""
     if not dpi or data[:8] != b"\x89PNG\r\n\x1a\n" or data[12:16] != b"IHDR":

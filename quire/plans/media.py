@@ -322,5 +322,10 @@ def repair_pdf(source: Column, target: Column, linearize: Column) -> Column:
     return argv(F.when(linearize, "--linearize"), source, target)
 
 
+def flatten_pdf(source: Column, target: Column) -> Column:
+    """Form fields and annotations become part of their pages."""
+    return argv("--generate-appearances", "--flatten-annotations=all", source, target)
+
+
 def repack_pdf(source: Column, target: Column) -> Column:
     return argv("--object-streams=generate", "--linearize", source, target)

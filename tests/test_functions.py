@@ -186,3 +186,8 @@ def test_many_matches(spark):
     line = "é 123-45-6789, " * 300
     found = one(spark, text.match_spans(F.lit(line), text.PII_PATTERNS["ssn"]))
     assert [(s["start"], s["end"]) for s in found] == [m.span() for m in re.finditer(r"\d{3}-\d{2}-\d{4}", line)]
+
+
+def test_read_int(spark):
+    values = value(spark, numbers.read_int(F.col("x"), 30, 5, 100), rows=((None,), ("7.5",), ("",), ("x",), ("1e9",), ("-3",)))
+    assert values == [30, 8, 5, 30, 100, 5]

@@ -295,6 +295,20 @@ def test_straightened_images(spark, tmp_path):
     assert turned.shape == (16, 8, 3) and turned[:6].max() < 60 and turned[10:].min() > 200
 
 
+def test_palettes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    few = rng.integers(0, 4, (9, 7, 1), dtype=np.uint8) * np.array([80, 40, 60], np.uint8)
+    many = rng.integers(0, 256, (40, 30, 4), dtype=np.uint8)
+    for name, p in (("few", few), ("grey", few[:, :, :1])):
+        (tmp_path / f"{name}.png").write_bytes(images.palette_png(p, 16))
+    found = {r.image.origin.rsplit("/", 1)[1]: images.pixels(r.image.asDict()) for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert np.array_equal(found["few.png"], few) and np.array_equal(found["grey.png"], np.repeat(few[:, :, :1], 3, axis=2))
+    table, at = images.palette(many, 64)
+    assert 2 <= len(table) <= 64 and np.abs(table[at].astype(int) - many).max() <= 255 and np.abs(table[at].astype(int) - many).mean() < 70
+    assert len(images.palette(many, 1)[0]) <= 2
+    assert np.array_equal(*(x[0][x[1]] for x in (images.palette(few, 256), images.palette(few, 64))))
+
+
 def test_unpacking():
     assert images.unpack(bytes(range(12)), 2, 2, 3).tolist() == [[[0, 1, 2, 255], [3, 4, 5, 255]], [[6, 7, 8, 255], [9, 10, 11, 255]]]
     assert images.unpack(bytes(range(8)) + b"more", 1, 2, 4).tolist() == [[[0, 1, 2, 3]], [[4, 5, 6, 7]]]
