@@ -451,6 +451,8 @@ def train_round(rows: DataFrame, words: Words, values: tuple, number: int, round
     deal = F.col("deal")
     own = rows.where((F.pmod(deal, F.lit(rounds)) == number) & (F.octet_length("leaves") > 0))
     dealt = own.select(F.pmod(F.shiftright(deal, 8), F.lit(shards)).cast("int").alias("shard"), "deal", "leaves")
+    if shards > 1:  # by ranges, as a hash of so few numbers would give some tasks several shards and others none
+        dealt = dealt.repartitionByRange(shards, "shard")
     nets = dealt.groupBy("shard").applyInArrow(run, "block int, shard int, data binary")
     means = nets.groupBy("block").applyInArrow(average, "block int, data binary").toArrow()  # n_blocks + 1 rows
     net, branches = net.copy(), branches.copy()
