@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, quality, secrets
+from . import balltree, decontam, lexical, licenses, quality, secrets, topk
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -107,10 +107,67 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
 FROM d LEFT JOIN s USING (k) LEFT JOIN f USING (k)"""
 
 
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_DOT = "coalesce(list_sum(list_transform({}, lambda i: {})), 0)"
+
+
+def _integers(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def clustering_sql() -> str:
+    """A round after the other, each with its assignment and its centroids."""
+    rank, dims = f"sha256('{balltree.SALT}:' || vec_id)", balltree.DIMS
+    parts = [
+        f"v AS MATERIALIZED (SELECT vec_id, {_integers(balltree.SCALE)} AS v FROM embeddings WHERE len(embedding) = {dims} AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {rank}) - 1 AS j, v AS c FROM v ORDER BY {rank} LIMIT {balltree.CENTROIDS})",
+    ]
+    apart = _DOT.format(f"range(1, {dims + 1})", "(v[i] - c[i]) * (v[i] - c[i])")
+    for r in range(balltree.ROUNDS + 1):
+        parts.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, v, j, d FROM (SELECT vec_id, v, j, CAST({apart} AS BIGINT) AS d FROM v, c{r}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)"
+        )
+        if r < balltree.ROUNDS:
+            parts.append(
+                f"m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, unnest(range({dims})) AS i FROM a{r}) GROUP BY j, i) GROUP BY j)"
+            )
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))")
+    last = balltree.ROUNDS
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(j AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} USING (j)"""
+
+
+TOP_K = f"""
+WITH v AS (SELECT vec_id, {_integers(topk.SCALE)} AS v FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST({_DOT.format("range(1, least(len(q.v), len(c.v)) + 1)", "q.v[i] * c.v[i]")} AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {topk.EVERY} = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {topk.K}"""
+
+_TERMS = r"list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+t AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY k, term),
+g AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), t),
+m AS (SELECT k, doc_id, 75 + (25 * len(w) * docs) // terms AS m FROM d, t WHERE len(w) > 0),
+i AS (SELECT b, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS b, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY b, item_id, term),
+s AS (SELECT b, item_id, k, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM i JOIN g USING (term) JOIN p USING (term) JOIN m USING (k) GROUP BY b, item_id, k),
+r AS (SELECT b, item_id, doc_id, score, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (k) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= {lexical.K}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scans": secrets_sql(),
         "op4_quality_rules": QUALITY,
         "op5_license_scans": licenses_sql(),
         "op7_benchmark_decontamination": DECONTAMINATION,
+        "op11_centroid_clustering": clustering_sql(),
+        "op12_exact_top_k": TOP_K,
+        "op13_lexical_search": LEXICAL,
     }

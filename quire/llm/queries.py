@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_tree, langid, licenses, masked_lm, mixing, oracles, quality, secrets, simhash, substring
+from . import balltree, decontam, html_tree, langid, lexical, licenses, masked_lm, mixing, oracles, quality, secrets, simhash, substring, topk
 from .common import table
 
 
@@ -73,10 +73,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_secret_scans, op2_lm_scoring, op3_simhash_near_dedup, op4_quality_rules, op5_license_scans,
         op6_substring_dedup, op7_benchmark_decontamination, op8_html_extraction, op9_mixing, op10_language_id,
+        op11_centroid_clustering, op12_exact_top_k, op13_lexical_search,
     )}
 
 
