@@ -1,9 +1,11 @@
 """ZIP, TAR and GZIP as relations of entries.
 
-Entries have archive_id, ord, name and content. Packing works entry by entry: each is
-compressed and framed in its own row, offsets are running sums of sizes, and only the last
-step brings the frames of one archive together, since they are the file it writes. A ZIP
-archive beyond what its fields can hold is an error, not a file.
+Entries have archive_id, ord, name and content; archive_id and ord tell them apart. Packing
+works entry by entry: each is compressed and framed in its own row. Offsets are running sums
+over sizes alone, in slices, so an archive may hold any number of entries; contents are
+joined to them afterwards. zip_archives() and tar_archives() bring the frames of an archive
+together as one value; zip_files() and tar_files() write files of any size, every task at
+its own offsets. An archive that its format cannot hold is an error, not a file.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import gzip_name, mime_type, safe_basename
-from .lineage import cut
+from ..sources.placed import write_placed
+from .lineage import bounded, cut
+from .prefix import sums_before, with_sums_before
 
 LEVEL = 6
 BLOCK = 512
@@ -29,7 +33,7 @@ MAX_BYTES = 2**32 - 1  # bytes of a ZIP entry, and before one
 NAME_BYTES, PREFIX_BYTES = 100, 155  # bytes of a TAR name and of the folders before it
 #: An archive of more bytes is no value of a row.
 MAX_FILE = 2**31 - 1
-BEFORE = lambda: Window.partitionBy("archive_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+BY = ["archive_id"], ["ord"]
 
 
 def unique_names(entries: DataFrame, style: str = "-{}") -> DataFrame:
@@ -89,32 +93,42 @@ def _little(value: Column, n: int) -> Column:
     """The hex of n bytes, the lowest first; null for a number that they do not hold."""
     digits = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
     text = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
-    return F.when(value.between(0, 256**n - 1), text)
+    return F.when(value.between(0, min(256**n, 2**63) - 1), text)
 
 
 def _bytes(*parts: Column | str) -> Column:
     return F.unhex(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
 
+def _shared() -> Column:
+    """What an entry's frame and its entry in the directory have in common."""
+    return _bytes(
+        "0008" + "0800" + "00002100", _little(F.col("crc"), 4), _little(F.octet_length("packed"), 4),
+        _little(F.col("size"), 4), _little(F.octet_length("name"), 2),
+    )
+
+
+LOCAL_BYTES, ENTRY_BYTES = 30, 46  # before the name, in a frame and in the directory
+
+
+def _local() -> Column:
+    return F.concat(_bytes("504B03041400"), _shared(), _bytes("0000"), F.to_binary("name", F.lit("utf-8")), F.col("packed"))
+
+
 def zip_frames(entries: DataFrame) -> DataFrame:
     """archive_id, ord, local and entry: the frame of each entry and its entry in the directory.
 
     entry is null where a size or an offset is beyond MAX_BYTES.
     """
-    packed = _deflate(_named(entries))
-    name = F.to_binary("name", F.lit("utf-8"))
-    shared = _bytes(
-        "0008" + "0800" + "00002100", _little(F.col("crc"), 4), _little(F.octet_length("packed"), 4),
-        _little(F.col("size"), 4), _little(F.octet_length("name"), 2), "0000",
-    )
-    head = lambda signature: F.to_binary(F.lit(signature), F.lit("hex"))
-    local = F.concat(head("504B03041400"), "shared", name, "packed")
-    sized = packed.withColumn("shared", shared).withColumn("local", local)
-    offset = F.coalesce(F.sum(F.octet_length("local").cast("long")).over(BEFORE()), F.lit(0))
-    placed = sized.select("archive_id", "ord", "name", "shared", "local", offset.alias("offset"))
-    tail = _bytes("0000" + "0000" + "0000" + "00000000", _little(F.col("offset"), 4))
-    entry = F.concat(head("504B010214001400"), "shared", tail, name)
-    return placed.select("archive_id", "ord", "local", entry.alias("entry"))
+    packed = cut(_deflate(_named(entries)))
+    placed = with_sums_before(packed, *BY, {"offset": _local_bytes()})
+    tail = _bytes("0000" + "0000" + "0000" + "0000" + "00000000", _little(F.col("offset"), 4))
+    entry = F.concat(_bytes("504B010214001400"), _shared(), tail, F.to_binary("name", F.lit("utf-8")))
+    return placed.select("archive_id", "ord", _local().alias("local"), entry.alias("entry"))
+
+
+def _local_bytes() -> Column:
+    return (F.octet_length("name") + F.octet_length("packed") + LOCAL_BYTES).cast("long")
 
 
 def zip_archives(entries: DataFrame) -> DataFrame:
@@ -151,7 +165,7 @@ def tar_size(sizes: Column) -> Column:
 
 def tar_offsets(entries: DataFrame) -> DataFrame:
     """entries (archive_id, ord, size) with offset, where the header of each begins."""
-    return entries.withColumn("offset", F.coalesce(F.sum(padded(F.col("size")) + BLOCK).over(BEFORE()), F.lit(0)).cast("long"))
+    return with_sums_before(entries, *BY, {"offset": padded(F.col("size")) + BLOCK})
 
 
 def tar_name(name: str) -> tuple[str, str] | None:
@@ -177,8 +191,33 @@ def tar_header(name: str, prefix: str, size: int, mtime: int) -> bytes:
     return head[:148] + b"%06o\0 " % sum(head) + head[156:]
 
 
+def _fits(name: Column) -> Column:
+    @F.arrow_udf("boolean")
+    def fits(names):
+        import pyarrow as pa
+
+        return pa.array([tar_name(n.as_py() or "") is not None for n in names], pa.bool_())
+
+    return fits(name)
+
+
+def tar_layout(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(archive_id, ord, offset) of entries, and (archive_id, last, bytes, error) of archives; contents stay where they are.
+
+    last is the offset of the last entry, bytes the size of the archive. A name that does not
+    fit makes its archive an error.
+    """
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    narrow = cut(entries.select("archive_id", "ord", (padded(size) + BLOCK).alias("frame_bytes"), _fits(F.col("name")).alias("fits")))
+    totals = narrow.groupBy("archive_id").agg(
+        (F.sum("frame_bytes") + 2 * BLOCK).alias("bytes"), (F.sum("frame_bytes") - F.max_by("frame_bytes", "ord")).alias("last"),
+        F.when(~F.every("fits"), "UNSUPPORTED_INPUT").alias("error"),
+    )
+    return cut(sums_before(narrow, *BY, {"offset": F.col("frame_bytes")})), cut(totals)
+
+
 def tar_frames(entries: DataFrame, mtime: int = 0) -> DataFrame:
-    """archive_id, ord and frame, a header with content, of each entry whose name fits."""
+    """archive_id, ord and frame, a header with content, of each entry; null for a name that does not fit."""
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -186,37 +225,139 @@ def tar_frames(entries: DataFrame, mtime: int = 0) -> DataFrame:
         for batch in batches:
             frames = []
             for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
-                data, split = content.as_py() or b"", tar_name(name.as_py())
+                data, split = content.as_py() or b"", tar_name(name.as_py() or "")
                 frames.append(None if split is None else tar_header(*split, len(data), mtime) + data + bytes(-len(data) % BLOCK))
             yield pa.RecordBatch.from_arrays([batch.column("archive_id"), batch.column("ord"), pa.array(frames, pa.binary())], names=["archive_id", "ord", "frame"])
 
     rows = entries.select("archive_id", "ord", "name", "content")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, f"archive_id {kinds['archive_id']}, ord {kinds['ord']}, frame binary").where("frame is not null")
+    return rows.mapInArrow(run, f"archive_id {kinds['archive_id']}, ord {kinds['ord']}, frame binary")
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right; null keys are equal."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(renamed, same).drop(*[f"__{k}" for k in keys])
+
+
+def _tar_placed(entries: DataFrame, mtime: int) -> tuple[DataFrame, DataFrame]:
+    """(archive_id, ord, offset, frame) of the archives without an error, and the totals of all."""
+    offsets, totals = tar_layout(entries)
+    good = _with(offsets, bounded(totals.where("error is null").select("archive_id")), ["archive_id"])
+    return _with(tar_frames(entries, mtime), bounded(good), ["archive_id", "ord"]), totals
+
+
+def _error_rows(totals: DataFrame, **columns: str) -> DataFrame:
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]
+    return totals.where("error is not null").select("archive_id", *nothing, "error")
 
 
 def tar_parts(entries: DataFrame, mtime: int = 0, most: int = MAX_FILE // 2) -> DataFrame:
-    """archive_id, part and content: each archive in parts of at most about so many bytes, to be written one after the other.
+    """archive_id, part, content and error: each archive in parts of at most about so many bytes, to be written one after the other.
 
-    No task holds more than a part of an archive, however large it is.
+    No task holds more than a part of an archive, however large it is, nor the offsets of all
+    of its entries. An archive with a name that does not fit is one row with UNSUPPORTED_INPUT.
     """
-    framed = tar_frames(entries, mtime).withColumn("bytes", F.octet_length("frame").cast("long"))
-    placed = framed.withColumn("part", F.floor(F.coalesce(F.sum("bytes").over(BEFORE()), F.lit(0)) / most))
-    last = F.col("part") == F.max("part").over(Window.partitionBy("archive_id"))
-    parts = placed.withColumn("last", last).groupBy("archive_id", "part", "last").agg(
-        F.expr("listagg(frame) WITHIN GROUP (ORDER BY ord)").alias("content")
-    )
+    placed, totals = _tar_placed(entries, mtime)
+    own = placed.withColumn("part", F.floor(F.col("offset") / most))
+    parts = own.groupBy("archive_id", "part").agg(F.expr("listagg(frame) WITHIN GROUP (ORDER BY ord)").alias("content"))
+    ended = _with(parts, totals.select("archive_id", F.floor(F.col("last") / most).alias("last")), ["archive_id"])
     closing = F.to_binary(F.lit("00" * 2 * BLOCK), F.lit("hex"))
-    return parts.select("archive_id", "part", F.when(F.col("last"), F.concat("content", closing)).otherwise(F.col("content")).alias("content"))
+    content = F.when(F.col("part") == F.col("last"), F.concat("content", closing)).otherwise(F.col("content"))
+    whole = ended.select("archive_id", "part", content.alias("content"), F.lit(None).cast("string").alias("error"))
+    return whole.unionByName(_error_rows(totals, part="long", content="binary"))
 
 
 def tar_archives(entries: DataFrame, mtime: int = 0) -> DataFrame:
-    """archive_id, content and error, UNSUPPORTED_INPUT for an archive that is no value of a row: tar_parts() makes those."""
+    """archive_id, content and error, UNSUPPORTED_INPUT for a name that does not fit and for an archive that is no value of a row: tar_files() writes those."""
     parts = tar_parts(entries, mtime)
-    return parts.groupBy("archive_id").agg(F.count("*").alias("n"), F.first("content").alias("content")).select(
+    return parts.groupBy("archive_id").agg(F.count("*").alias("n"), F.first("content").alias("content"), F.first("error").alias("error")).select(
         "archive_id", F.when(F.col("n") == 1, F.col("content")).alias("content"),
-        F.when(F.col("n") > 1, "UNSUPPORTED_INPUT").alias("error"),
+        F.when(F.col("n") > 1, "UNSUPPORTED_INPUT").otherwise(F.col("error")).alias("error"),
+    )
+
+
+def _file_name(extension: str) -> Column:
+    return F.concat(F.coalesce(F.col("archive_id").cast("string"), F.lit("null")), F.lit(extension))
+
+
+def tar_files(entries: DataFrame, folder: str, mtime: int = 0) -> DataFrame:
+    """Writes <archive_id>.tar of each archive to folder and returns archive_id, name, bytes and error.
+
+    Tasks write frames at their offsets; files appear when all are there, none if the job
+    fails. Archives of any size; one with a name that does not fit has no file but an error.
+    """
+    placed, totals = _tar_placed(entries, mtime)
+    name = _file_name(".tar").alias("name")
+    closing = F.to_binary(F.lit("00" * 2 * BLOCK), F.lit("hex")).alias("content")
+    ends = totals.where("error is null").select(name, (F.col("bytes") - 2 * BLOCK).alias("offset"), closing)
+    write_placed(placed.select(name, "offset", F.col("frame").alias("content")).unionByName(ends), folder)
+    good = F.col("error").isNull()
+    return totals.select("archive_id", F.when(good, name).alias("name"), F.when(good, F.col("bytes")).alias("bytes"), "error")
+
+
+def zip_files(entries: DataFrame, folder: str) -> DataFrame:
+    """Writes <archive_id>.zip of each archive to folder and returns archive_id, name and bytes.
+
+    Frames, entries of the directory and its end are rows with offsets of their own. Beyond
+    MAX_ENTRIES entries or MAX_BYTES bytes the archive has the fields of ZIP64.
+    """
+    packed = cut(_deflate(_named(entries)))
+    sized = packed.select("archive_id", "ord", F.octet_length("name").alias("name_bytes"), _local_bytes().alias("local_bytes"))
+    offsets = sums_before(sized, *BY, {"offset": F.col("local_bytes"), "names": (F.col("name_bytes") + ENTRY_BYTES).cast("long")})
+    far = F.col("offset") >= MAX_BYTES
+    extra = F.when(far, FAR_BYTES).otherwise(0).cast("long")
+    # Entries beyond MAX_BYTES follow all others, so the bytes of their extra fields add up by their place among them.
+    placed = cut(sums_before(offsets, *BY, {"extras": extra}).withColumnsRenamed({"archive_id": "__a", "ord": "__o"}))
+    both = offsets.join(placed, F.col("archive_id").eqNullSafe(F.col("__a")) & F.col("ord").eqNullSafe(F.col("__o"))).drop("__a", "__o")
+    places = cut(both.select("archive_id", "ord", "offset", (F.col("names") + F.col("extras")).alias("at"), extra.alias("extra")))
+    last = _with(sized, places, ["archive_id", "ord"])
+    totals = cut(last.groupBy("archive_id").agg(
+        F.count("*").alias("n"), F.max(F.col("offset") + F.col("local_bytes")).alias("start"),
+        F.max(F.col("at") + F.col("extra") + F.col("name_bytes") + ENTRY_BYTES).alias("length"),
+    ))
+    rows = _with(packed, bounded(places), ["archive_id", "ord"])
+    name = _file_name(".zip").alias("name")
+    locals_ = rows.select(name, "offset", _local().alias("content"))
+    entry = rows.select("archive_id", name, "at", _directory_entry().alias("content"))
+    entry = _with(entry, bounded(totals.select("archive_id", "start")), ["archive_id"])
+    listed = entry.select("name", (F.col("start") + F.col("at")).alias("offset"), "content")
+    ends = totals.select(name, (F.col("start") + F.col("length")).alias("offset"), _directory_end().alias("content"))
+    write_placed(locals_.unionByName(listed).unionByName(ends), folder)
+    return totals.select("archive_id", name, (F.col("start") + F.col("length") + F.octet_length(_directory_end())).alias("bytes"))
+
+
+#: Bytes of the extra field with an offset beyond MAX_BYTES.
+FAR_BYTES = 12
+
+
+def _directory_entry() -> Column:
+    """An entry of the directory; its offset stands in an extra field if four bytes do not hold it."""
+    far = F.col("offset") >= MAX_BYTES
+    version = F.when(far, _bytes("504B01022D002D00")).otherwise(_bytes("504B010214001400"))
+    own = F.when(far, "FFFFFFFF").otherwise(_little(F.col("offset"), 4))
+    tail = _bytes(F.when(far, "0C00").otherwise("0000"), "0000" + "0000" + "0000" + "00000000", own)
+    extra = F.when(far, _bytes("01000800", _little(F.col("offset"), 8))).otherwise(_bytes(""))
+    return F.concat(version, _shared(), tail, F.to_binary("name", F.lit("utf-8")), extra)
+
+
+def _directory_end() -> Column:
+    """The end of an archive from n, start and length of its directory."""
+    n, start, length = F.col("n"), F.col("start"), F.col("length")
+    large = (n >= MAX_ENTRIES) | (start >= MAX_BYTES) | (length >= MAX_BYTES)
+    eight = lambda x: _little(x, 8)
+    wide = _bytes(
+        "504B0606" + "2C00000000000000" + "2D002D00" + "00000000" + "00000000", eight(n), eight(n), eight(length), eight(start),
+        "504B0607" + "00000000", eight(start + length), "01000000",
+    )
+    short = lambda x, size, most: F.when(x >= most, "FF" * size).otherwise(_little(x, size))
+    end = _bytes(
+        "504B0506" + "00000000", short(n, 2, MAX_ENTRIES), short(n, 2, MAX_ENTRIES), short(length, 4, MAX_BYTES), short(start, 4, MAX_BYTES), "0000",
     )
+    return F.when(large, F.concat(wide, end)).otherwise(end)
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import resolve_path
 from ..functions.text import normalize_typography
 from .html import html_blocks
+from .prefix import with_sums_before
 
 # Fixed values of the layout, in points: sizes of body and headings, line height, margins and gaps.
 BODY_SIZE = 11.0
@@ -79,9 +80,8 @@ def within_budget(found: DataFrame, doc: str, order: list[str], text: str, budge
 
     A limit that the caller sets: nothing else in this module leaves anything out.
     """
-    before = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.coalesce(F.length(text), F.lit(0))).over(before), F.lit(0))
-    return found.withColumn("__used", used).where(F.col("__used") < budget).drop("__used")
+    used = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    return with_sums_before(found, [doc], order, {"__used": used}).where(F.col("__used") < budget).drop("__used")
 
 
 def within_count(found: DataFrame, doc: str, order: list[str], kind: str, most: int) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import half_boxes
 from ..functions.names import pad_number, sanitize_title
 from ..functions.ranges import parse_pages
+from .intervals import within
 from .pages import page_count, per_doc
+from .prefix import with_sums_before
 
 
 def _numbered(pages: DataFrame) -> DataFrame:
@@ -72,6 +74,31 @@ def ranges(pages: DataFrame, wanted: list[tuple[float, float]]) -> DataFrame:
     return _numbered(found.withColumn("part", part).drop("__range"))
 
 
+def by_ranges(pages: DataFrame, wanted: DataFrame, merged: bool = False) -> DataFrame:
+    """A part for each range of its document that holds pages, or merged one part of all; overlapping ranges repeat pages.
+
+    wanted has doc_id, ord, which orders the ranges of a document and tells them apart, a and
+    b, the page numbers of both ends in either order; fractions are cut off, ends that are no
+    numbers drop their range, ranges are cut to the document. Pages meet ranges by place, and
+    parts are numbered over ranges, not over pages: a document of any number of pages and
+    ranges is dealt out.
+    """
+    sizes = pages.groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("__n"))
+    ends = [F.col(c).cast("double") for c in "ab"]
+    low, high = F.floor(F.least(*ends)), F.floor(F.greatest(*ends))
+    first, last = F.greatest(low, F.lit(1)) - 1, F.least(high, F.col("__n")) - 1
+    finite = [~F.isnan(e) & (F.abs(e) < float("inf")) for e in ends]
+    held = wanted.where(finite[0] & finite[1]).join(sizes, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    held = held.select("doc_id", "ord", first.alias("__first"), last.alias("__last")).where("__first <= __last")
+    counts = {"__parts": F.lit(1).cast("long"), "__pages": F.col("__last") - F.col("__first") + 1}
+    counted = with_sums_before(held, ["doc_id"], ["ord"], counts)
+    part, before = (F.lit(1), F.col("__pages")) if merged else (F.col("__parts") + 1, F.lit(0))
+    parts = counted.select("doc_id", part.cast("int").alias("part"), before.alias("__before"), "__first", "__last")
+    found = within(pages, parts, "doc_id", "page0", "__first", "__last")
+    place = F.col("__before") + F.col("page0") - F.col("__first")
+    return found.withColumn("part_page0", place.cast("int")).drop("__first", "__last", "__before")
+
+
 def resolve_destinations(outline: DataFrame, destinations: DataFrame) -> DataFrame:
     """outline (doc_id, ord, title, name, page0) with page0 found: its own, or that of its named destination.
 

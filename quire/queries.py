@@ -985,3 +985,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apart.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "preset").agg(
         F.count("*").alias("n_regions"), F.count_distinct("doc_id").alias("n_docs")
     )
+
+
+from . import queries_large  # noqa: E402, F401  adds its own
