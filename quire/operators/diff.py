@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html import edit_script
-from .lineage import cut
+from .lineage import stored
 from .prefix import sums_before
 
 #: Anchors of a slice, and lines of one side of a gap, that a task holds at most.
@@ -80,7 +80,7 @@ def chains(anchors: DataFrame) -> DataFrame:
         kept = rows.iloc[increasing(rows["j"].to_numpy())]
         return kept.assign(middle=int(kept["j"].iloc[len(kept) // 2]), n=len(kept))
 
-    own = cut(sliced.groupBy(*group, "slice").applyInPandas(local, f"{_typed(sliced, 'key', 'gap', 'slice')}, i long, j long, middle long, n long"))
+    own = stored(sliced.groupBy(*group, "slice").applyInPandas(local, f"{_typed(sliced, 'key', 'gap', 'slice')}, i long, j long, middle long, n long"))
     parts = own.select(*group, "slice", "middle", "n").distinct()
 
     def heaviest(rows):
@@ -90,7 +90,7 @@ def chains(anchors: DataFrame) -> DataFrame:
 
     # One row for each slice: a few thousand even for a pair of a hundred million lines.
     sequence = parts.groupBy(*group).applyInPandas(heaviest, f"{_typed(own, 'key', 'gap', 'slice')}, place long")
-    placed = cut(_same(own, sequence, [*group, "slice"]).select(*group, "place", "i", "j"))
+    placed = stored(_same(own, sequence, [*group, "slice"]).select(*group, "place", "i", "j"))
     several = sequence.where("place = 1").select(*group)
     both = F.explode(F.array(F.col("place"), F.col("place") - 1))  # each slice meets its successor and its predecessor
     meetings = _same(placed, several, group).select(*group, both.alias("pair"), "place", "j").where("pair >= 0")
@@ -104,7 +104,7 @@ def chains(anchors: DataFrame) -> DataFrame:
 
     borders = meetings.groupBy(*group, "pair").applyInPandas(parted, f"{_typed(own, 'key', 'gap')}, pair long, at long")
     upto = Window.partitionBy(*group).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
-    borders = cut(borders.select(*group, "pair", F.max("at").over(upto).alias("at")))
+    borders = stored(borders.select(*group, "pair", F.max("at").over(upto).alias("at")))
     low = borders.select(*group, (F.col("pair") + 1).alias("place"), F.col("at").alias("low"))
     high = borders.select(*group, F.col("pair").alias("place"), F.col("at").alias("high"))
     bounded = _same(_same(placed, low, [*group, "place"], "left"), high, [*group, "place"], "left")
@@ -123,7 +123,7 @@ def _split(side: DataFrame, matches: DataFrame, at: str) -> DataFrame:
     """The lines (key, at, h) of a side that no match has, with gap, the number of matches before them."""
     marked = _same(side.select("key", at, "h"), matches.select("key", at, F.lit(1).cast("long").alias("hit")), ["key", at], "left")
     counted = sums_before(marked, ["key"], [at], {"gap": F.coalesce("hit", F.lit(0).cast("long"))})
-    return cut(_same(marked.where("hit is null").drop("hit"), counted, ["key", at]))
+    return stored(_same(marked.where("hit is null").drop("hit"), counted, ["key", at]))
 
 
 def _once(side: DataFrame, at: str) -> DataFrame:
@@ -134,7 +134,7 @@ def _gap_matches(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     """Matches (key, i, j) within gaps; one of more than most lines on a side is cut into as many pieces on both."""
     size = lambda side, at, n, first: side.groupBy("key", "gap").agg(F.count("*").alias(n), F.min(at).alias(first))
     sizes = _same(size(a, "i", "na", "fa"), size(b, "j", "nb", "fb"), ["key", "gap"])
-    sizes = cut(sizes.withColumn("pieces", F.ceil(F.greatest("na", "nb") / most)))
+    sizes = stored(sizes.withColumn("pieces", F.ceil(F.greatest("na", "nb") / most)))
     piece = lambda at, first, n: F.floor((F.col(at) - F.col(first)) * F.col("pieces") / F.col(n)).alias("piece")
     left = _same(a, sizes, ["key", "gap"]).select("key", "gap", piece("i", "fa", "na"), F.lit(0).alias("side"), F.col("i").alias("at"), "h")
     right = _same(b, sizes, ["key", "gap"]).select("key", "gap", piece("j", "fb", "nb"), F.lit(1).alias("side"), F.col("j").alias("at"), "h")
@@ -161,17 +161,17 @@ def _gap_matches(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
 def line_matches(a: DataFrame, b: DataFrame, most: int = GAP) -> DataFrame:
     """key, i and j of the lines that stay: a has key, i and line, b key, j and line, numbered from 0 on."""
     digest = F.unhex(F.md5(F.coalesce("line", F.lit(""))))
-    left = cut(a.select("key", F.col("i").cast("long").alias("i"), digest.alias("h")))
-    right = cut(b.select("key", F.col("j").cast("long").alias("j"), digest.alias("h")))
+    left = stored(a.select("key", F.col("i").cast("long").alias("i"), digest.alias("h")))
+    right = stored(b.select("key", F.col("j").cast("long").alias("j"), digest.alias("h")))
     matches, open_a, open_b = None, left.withColumn("gap", F.lit(0).cast("long")), right.withColumn("gap", F.lit(0).cast("long"))
     for _ in range(ROUNDS):
         anchors = _same(_once(open_a, "i"), _once(open_b, "j"), ["key", "gap", "h"]).select("key", "gap", "i", "j")
-        new = cut(chains(anchors).select("key", "i", "j"))
+        new = stored(chains(anchors).select("key", "i", "j"))
         if new.isEmpty():
             break
-        matches = new if matches is None else cut(matches.unionByName(new))
+        matches = new if matches is None else stored(matches.unionByName(new))
         open_a, open_b = _split(left, matches, "i"), _split(right, matches, "j")
-    rest = cut(_gap_matches(open_a, open_b, most))
+    rest = stored(_gap_matches(open_a, open_b, most))
     return rest if matches is None else matches.unionByName(rest)
 
 
@@ -181,7 +181,7 @@ def line_script(a: DataFrame, b: DataFrame, most: int = GAP) -> DataFrame:
     op is " ", "-" or "+"; ordered by gap, kind and at the script reads from top to bottom,
     lines removed before lines added. Null keys are a pair; a null line is an empty one.
     """
-    matches = cut(line_matches(a, b, most))
+    matches = stored(line_matches(a, b, most))
     own = a.select("key", F.col("i").cast("long").alias("i"), F.coalesce("line", F.lit("")).alias("line"))
     other = b.select("key", F.col("j").cast("long").alias("j"), F.coalesce("line", F.lit("")).alias("line"))
     hit = lambda at: matches.select("key", at, F.lit(1).cast("long").alias("hit"))

@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut(), but as a Parquet table, whose size Spark knows: for tables that are joined round after round."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     """df marked for broadcast if its rows of about so many bytes, counted here, are at most BROADCAST_BYTES."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

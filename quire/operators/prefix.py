@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import stored
 
 
 def sums_before(rows: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
@@ -18,7 +18,7 @@ def sums_before(rows: DataFrame, group: list[str], order: list[str], values: dic
     """
     mine, names = [f"__g{i}" for i in range(len(group))], list(values)
     narrow = rows.select(*[F.col(g).alias(m) for g, m in zip(group, mine, strict=True)], *order, *[v.alias(n) for n, v in values.items()])
-    sliced = cut(narrow.repartitionByRange(*mine, *order).withColumn("__slice", F.spark_partition_id()))
+    sliced = stored(narrow.repartitionByRange(*mine, *order).withColumn("__slice", F.spark_partition_id()))
     upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sums = lambda w: {n: F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names}
     totals = sliced.groupBy(*mine, "__slice").agg(*[F.sum(n).alias(n) for n in names])

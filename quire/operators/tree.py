@@ -9,30 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import stored
 from .prefix import with_sums_before
 
-#: Rounds after which rows that still point at something run in a circle: chains are shorter than 2**ROUNDS.
-ROUNDS = 48
-
 
 def _jump(rows: DataFrame, keys: list[str], to: str, merged: dict) -> DataFrame:
     """rows with what they point at taken in, and pointing where that pointed.
 
     keys tell rows apart, and to is a struct of the keys of another row, null at the end of a
     chain. merged gives columns anew from the row's own and from far.<column>, the other's.
-    Rows that never end are in circles and are left out.
+    No chain is longer than there are rows; what still points at something after as many
+    doublings runs in a circle and is left out.
     """
     names = [c for c in rows.columns if c not in (*keys, to)]
-    rows = cut(rows)
-    for _ in range(ROUNDS):
+    rows = stored(rows)
+    for _ in range(rows.count().bit_length() + 1):
         open_ = rows.where(F.col(to).isNotNull())
         if open_.isEmpty():
-            return rows
+            break
         far = rows.select(F.struct(*keys).alias("__key"), F.struct(to, *names).alias("far"))
         met = open_.join(far, F.col(to) == F.col("__key"), "left")
         after = met.select(*keys, *[merged.get(c, F.col(c)).alias(c) for c in names], F.col(f"far.{to}").alias(to))
-        rows = cut(rows.where(F.col(to).isNull()).unionByName(after))
+        rows = stored(rows.where(F.col(to).isNull()).unionByName(after))
     return rows.where(F.col(to).isNull())
 
 
@@ -57,7 +55,7 @@ def leaves_in_order(nodes: DataFrame) -> DataFrame:
     them. Roots of a document follow each other in the order of ord.
     """
     event = lambda node, side: F.struct("doc_id", node.alias("node"), F.lit(side).alias("side"))
-    placed = cut(with_sums_before(nodes.select("doc_id", "node", "parent", "ord", "leaf"), ["doc_id", "parent"], ["ord", "node"], {"place": F.lit(1).cast("long")}))
+    placed = stored(with_sums_before(nodes.select("doc_id", "node", "parent", "ord", "leaf"), ["doc_id", "parent"], ["ord", "node"], {"place": F.lit(1).cast("long")}))
     after = placed.select("doc_id", "parent", (F.col("place") - 1).alias("place"), F.col("node").alias("next"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "parent", "place")]
     placed = placed.alias("a").join(after.alias("b"), same, "left").select("a.*", "b.next")
@@ -86,5 +84,5 @@ def pages_of_tree(nodes: DataFrame, attributes: list[str]) -> DataFrame:
     on them are no pages.
     """
     full = inherited(nodes.select("doc_id", "node", "parent", "ord", "leaf", *attributes), attributes)
-    full = cut(full)
+    full = stored(full)
     return leaves_in_order(full).join(full.where("leaf").select("doc_id", "node", *attributes), ["doc_id", "node"])
