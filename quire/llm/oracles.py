@@ -28,29 +28,29 @@ FROM j JOIN v ON j.host IS NOT DISTINCT FROM v.host"""
 _PHRASES = r"list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 DECONTAMINATION = rf"""
-WITH b AS (SELECT item_id, {_PHRASES} AS w FROM benchmark WHERE item_id IS NOT NULL),
-s AS (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
-i AS (SELECT DISTINCT item_id, n, array_to_string(w[o + 1:o + n], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS o FROM s)),
+WITH b AS (SELECT item_id, {_PHRASES} AS w FROM benchmark),
+s AS (SELECT *, least({decontam.WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, n, array_to_string(w[o + 1:o + n], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS o FROM s)),
 d AS (SELECT row_number() OVER () AS k, doc_id, {_PHRASES} AS w FROM documents),
 g AS (SELECT k, o, n, array_to_string(w[o + 1:o + n], ' ') AS g
   FROM (SELECT k, w, n, unnest(range(0, len(w) - n + 1)) AS o FROM d, (SELECT DISTINCT n FROM s))),
 m AS (SELECT g.k, g.o, g.n, i.item_id FROM g JOIN i ON g.g = i.g AND g.n = i.n),
 h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(o, o + n)) AS p FROM m) GROUP BY k),
-t AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT k, item_id AS x FROM m WHERE item_id IS NOT NULL) GROUP BY k),
 x AS (SELECT k, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
 c AS (SELECT term, count(*) AS n_posts FROM x GROUP BY term),
-q AS (SELECT q, item_id, n, o, i, w[o + i + 1] AS term FROM (SELECT *, unnest(range(0, n)) AS i FROM (
-  SELECT *, unnest(range(0, len(w) - n + 1)) AS o FROM (SELECT *, row_number() OVER () AS q FROM s)))),
-a AS (SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY q, o ORDER BY n_posts, i) AS place, count(*) OVER (PARTITION BY q, o) AS have FROM q JOIN c USING (term))
-  WHERE have = n AND place <= {decontam.DEPTH}),
-z AS (SELECT k, item_id, q, o, n, place, pos - o - i AS shift FROM a JOIN x USING (term)),
-y AS (SELECT k, count(DISTINCT item_id) AS n_near_items FROM (
-  SELECT u.k, u.item_id FROM z u JOIN z v ON u.k = v.k AND u.q = v.q AND u.o = v.o AND u.place = 1 AND v.place = 2 AND abs(u.shift - v.shift) <= {decontam.SLOP}
-  UNION ALL SELECT k, item_id FROM z WHERE n = 1) GROUP BY k)
+v AS (SELECT DISTINCT g, n, string_split(g, ' ') AS w FROM i WHERE n > 1),
+q AS (SELECT g, n, i, w[i + 1] AS term FROM (SELECT *, unnest(range(0, n)) AS i FROM v)),
+a AS (SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY g ORDER BY n_posts, i) AS place FROM q JOIN c USING (term)) WHERE place <= {decontam.NEAR_DEPTH}),
+z AS (SELECT k, g, place, pos - i AS o FROM a JOIN x USING (term)),
+y AS (SELECT DISTINCT u.k, u.g, u.o FROM z u JOIN z v ON u.k = v.k AND u.g = v.g AND u.place < v.place AND abs(u.o - v.o) <= {decontam.SLOP}),
+r AS (SELECT k, g FROM y JOIN v USING (g) JOIN d USING (k) WHERE len(list_filter(range(0, n), lambda i: list_contains(
+  d.w[greatest(o + i - {decontam.SLOP}, 0) + 1:greatest(o + i + {decontam.SLOP} + 1, 0)], v.w[i + 1]))) >= n - n * {decontam.MISSING} // {decontam.WINDOW}),
+e AS (SELECT k, count(DISTINCT item_id) AS n_near_items FROM (SELECT k, item_id FROM m UNION ALL SELECT k, item_id FROM r JOIN i USING (g)) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
   CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
-FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k) LEFT JOIN y USING (k)"""
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k) LEFT JOIN e USING (k)"""
 
 
 def _literal(text: str) -> str:

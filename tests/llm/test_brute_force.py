@@ -602,35 +602,87 @@ def test_proximity(spark):
     bench = spark.createDataFrame([("i", "alpha beta gamma delta"), ("j", "omega"), (None, "alpha beta")], "item_id string, text string")
     texts = ["alpha x beta y gamma z delta", "alpha beta gamma " + "x " * 50 + "delta", "alpha beta gamma delta", "beta alpha omega"]
     found = {r.doc_id: (r.n_hit, r.near_items) for r in decontam.contamination(frame(spark, texts), bench, slop=3).collect()}
-    assert found == {0: (0, ["i"]), 1: (0, []), 2: (4, ["i"]), 3: (1, ["j"])}
+    assert found == {0: (0, ["i"]), 1: (2, []), 2: (4, ["i"]), 3: (1, ["j"])}
+
+
+def near_by_brute_force(texts, items, slop, size=10, missing=2):
+    counts = collections.Counter(w for t in texts for w in t.split())
+    expected = collections.defaultdict(set)
+    for name, item in items:
+        w = item.split()
+        for own in {tuple(w[o : o + size]) for o in range(max(0, len(w) - size) + 1)}:
+            n, allowed = len(own), len(own) * missing // size
+            best = sorted((counts[x], i, x) for i, x in enumerate(own) if counts[x])[: missing + 2]
+            for d, t in enumerate(texts):
+                words = t.split()
+                shifts = [[p - i for p, x in enumerate(words) if x == term] for _, i, term in best]
+                starts = {a for k, first in enumerate(shifts) for a in first for other in shifts[k + 1 :] for b in other if abs(a - b) <= slop}
+                stands = lambda a, i, x: x in words[max(a + i - slop, 0) : max(a + i + slop + 1, 0)]
+                if any(sum(stands(a, i, x) for i, x in enumerate(own)) >= n - allowed for a in starts) or any(
+                    tuple(words[p : p + n]) == own for p in range(len(words) - n + 1)
+                ):
+                    expected[d].add(name)
+    return {d: expected[d] for d in range(len(texts))}
 
 
 def test_proximity_by_brute_force(spark):
     rng = random.Random(8)
     word = lambda: rng.choice("abcdefghijklmnop") * rng.randint(1, 2)
-    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(40)]
     items = [(str(i), " ".join(word() for _ in range(rng.randint(1, 14)))) for i in range(12)]
-    counts = collections.Counter(w for t in texts for w in t.split())
-    expected = collections.defaultdict(set)
-    for name, item in items:
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    for _, item in items:  # a word changed, one put in, one gone
         w = item.split()
-        for o in range(max(0, len(w) - 10) + 1):
-            own = w[o : o + 10]
-            best = sorted((counts[x], i, x) for i, x in enumerate(own))[:2]
-            if all(counts[x] for x in own):
-                for d, t in enumerate(texts):
-                    shifts = [[p - i for p, x in enumerate(t.split()) if x == term] for _, i, term in best]
-                    if any(all(any(abs(s - z) <= 2 for z in other) for other in shifts[1:]) for s in shifts[0]):
-                        expected[d].add(name)
+        at = rng.randrange(len(w))
+        texts += [" ".join(["z"] + w[:at] + ["zz"] + w[at + 1 :]), " ".join(w[:at] + ["zz"] + w[at:]), " ".join(w[:at] + w[at + 1 :] + ["a"])]
     found = decontam.contamination(frame(spark, texts), spark.createDataFrame(items, "item_id string, text string"), slop=2).collect()
-    assert {r.doc_id: set(r.near_items) for r in found} == {d: expected[d] for d in range(40)}
+    expected = near_by_brute_force(texts, items, 2)
+    assert {r.doc_id: set(r.near_items) for r in found} == expected and sum(map(len, expected.values())) > 30
+
+
+@pytest.mark.parametrize("changes", [1, 2])
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "removed"])
+def test_recall_of_changed_items(spark, kind, changes):
+    """Items of 24 words within other text, with words changed that stand in no other place."""
+    rng = random.Random(9 * changes)
+    prose = [f"p{r}" for r in rng.choices(range(3000), [1 / (r + 8) for r in range(3000)], k=40_000)]
+    items = [(str(i), " ".join(prose[i * 24 : i * 24 + 24])) for i in range(60)]
+    texts = []
+    for i, (_, item) in enumerate(items):
+        w = item.split()
+        for at in sorted(rng.sample(range(1, 23), changes), reverse=True):
+            w[at : at + (kind != "inserted")] = [] if kind == "removed" else [f"new{i}x{at}"]
+        place = 2000 + i * 300
+        texts.append(" ".join(prose[place : place + 120] + w + prose[place + 120 : place + 240]))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = {r.doc_id: r.near_items for r in decontam.contamination(frame(spark, texts), bench).collect()}
+    met = sum(name in found[i] for i, (name, _) in enumerate(items))
+    others = sum(len(set(v) - {str(i)}) for i, v in found.items())
+    assert met >= 0.95 * len(items) and others <= 0.02 * len(items) ** 2
+
+
+def test_items_without_an_id(spark):
+    words = " ".join(f"q{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, words), ("named", "other words here")], "item_id string, text string")
+    docs = frame(spark, [f"before {words} after", "nothing of it", "other words here"])
+    found = {r.doc_id: (r.n_hit, r["items"], r.contaminated, r.near_items) for r in decontam.contamination(docs, bench).collect()}
+    assert found == {0: (12, [], True, []), 1: (0, [], False, []), 2: (3, ["named"], True, ["named"])}
+    assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [1]
+
+
+def test_repetitive_items_and_texts(spark):
+    """Places grow with the length of a text, not with that of the item times it."""
+    bench = spark.createDataFrame([("one", "w " * 400), ("two", "a b c " * 150)], "item_id string, text string")
+    docs = frame(spark, ["w " * 4000, "a b c " * 1000, "w a b c " * 500])
+    found = decontam.index(docs, bench)
+    places = {r.row: len(r.places) for r in decontam.phrase_matches(found).collect()}
+    assert sorted(places.values()) == [2991, 3991] and found.wins.count() == 4
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in decontam.contamination(docs, bench).collect()} == {0: (4000, ["one"]), 1: (3000, ["two"]), 2: (0, [])}
 
 
 def test_a_very_long_item(spark):
     words = [f"w{i}" for i in range(20_000)]
     bench = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
-    _, texts = decontam.items_of(bench)
-    assert decontam.windows(texts).count() == 10 * (20_000 - 9)
+    assert decontam.windows_of(bench)[1].count() == 20_000 - 9
     found = decontam.contamination(frame(spark, [" ".join(words), " ".join(["x"] + words[7:19_000]), " ".join(words[::2])]), bench).collect()
     assert {r.doc_id: r.n_hit for r in found} == {0: 20_000, 1: 18_993, 2: 0}
 
