@@ -7,25 +7,31 @@ ends. On a tree the sum-product algorithm is exact: messages go upward from the
 and downward from the root, and the runs of text whose content marginal is at least one
 half are the main text. Weights are trained by gradient ascent of the conditional
 likelihood, whose expectations come from the same messages, on labelled pages made by
-labelled_pages(); their number, TRAIN_PAGES, bounds the work and the model.
+labelled_pages(); their number, TRAIN_PAGES, bounds the work and the model, which is kept
+for the session. Those pages hold their prose in articles, in named, plain and oddly named
+blocks, bare in the body, broken by br and in cells of layout tables.
 
 Defined results: a null or empty html has no text; unclosed and stray tags are
 tolerated, and scripts, styles and form controls that are never closed end at the next
-border of a block; formulas and drawn texts are text of their block; a page is one row and is parsed whole; repeated rows get equal results; extra
-columns are ignored, under whatever names; an empty table gives an empty result.
+border of a block; formulas and drawn texts are text of their block; a page is one row and
+is parsed whole, in time that grows with its length however its tags nest; repeated rows get
+equal results; extra columns are ignored, under whatever names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES = 200
+TRAIN_PAGES = 300
 EPOCHS = 40
 SEED = 11
 
@@ -37,6 +43,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
+SENTENCE = re.compile(r"\w[.!?…][\"”»)]?(?=\s|$)")
 #: Elements whose content is code, form controls, or no part of the text that is shown.
 RAW = frozenset("script style textarea title iframe template select option datalist annotation annotation-xml desc metadata".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,15 +61,68 @@ SCOPE = frozenset("ul ol dl table tbody body article section div main aside nav
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def raw_end(tag: str, page: str, at: int) -> int:
-    """Where the content of an element of RAW that begins at at is over."""
-    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-    if tag in ("select", "option", "datalist"):  # hold no blocks, and are often left open
-        other = r"|(?=<option\b|</select\b|</datalist\b|</optgroup\b)" if tag == "option" else ""
-        border = re.compile(BORDER + other, re.I).search(page, at)
-        return min((m.end() for m in (close, border) if m), default=len(page))
-    close = close or re.compile(BORDER, re.I).search(page, at)
-    return close.end() if close else len(page)
+class Ends:
+    """Where the elements of RAW end; a search is not repeated while what it found, or that it found nothing, holds."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def next(self, pattern: str, at: int) -> tuple[int, int] | None:
+        """Start and end of the first match from at on."""
+        known = self.found.get(pattern, (-1, -1))
+        if known is not None and known[0] < at:
+            m = re.compile(pattern, re.I).search(self.page, at)
+            known = self.found[pattern] = (m.start(), m.end()) if m else None
+        return known
+
+    def of(self, tag: str, at: int) -> int:
+        """Where the content of an element that begins at at is over."""
+        close, border = self.next(rf"</{tag}\s*>", at), None
+        if tag in ("select", "option", "datalist"):  # hold no blocks, and are often left open
+            other = r"|(?=<option\b|</select\b|</datalist\b|</optgroup\b)" if tag == "option" else ""
+            border = self.next(BORDER + other, at)
+            return min((x[1] for x in (close, border) if x), default=len(self.page))
+        close = close or self.next(BORDER, at)
+        return close[1] if close else len(self.page)
+
+
+class Open:
+    """The stack of open elements; what a start or end tag closes is found without going down the stack."""
+
+    def __init__(self):
+        self.nodes, self.tags, self.depths = [0], ["html"], {}
+        #: By depth: the innermost p, and the innermost element of each group, that nothing in between hides.
+        self.p, self.groups = [0], [{}]
+
+    def push(self, node: int, tag: str) -> None:
+        depth, group = len(self.nodes), ENDS.get(tag)
+        hides = tag in SCOPE
+        p, groups = (0, {}) if hides else (self.p[-1], {} if tag in HEADINGS else self.groups[-1])
+        self.p.append(depth if tag == "p" else p)
+        self.groups.append(groups | {group: depth} if group else groups)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.depths.setdefault(tag, []).append(depth)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at a depth and all within it."""
+        if depth:
+            for tag in self.tags[depth:]:
+                self.depths[tag].pop()
+            for x in (self.nodes, self.tags, self.p, self.groups):
+                del x[depth:]
+
+    def end(self, tag: str) -> None:
+        own = self.depths.get(tag)
+        self.close(own[-1] if own else 0)
+
+    def make_room(self, tag: str) -> None:
+        """Closes what a start tag ends by itself: a p, or an element of its group."""
+        if tag == "p":
+            self.close(self.p[-1])
+        else:
+            groups = self.groups[-1]
+            self.close(max(groups.get("p", 0), groups.get(ENDS.get(tag), 0)))
 
 
 class Node:
@@ -81,7 +141,7 @@ def parse(page: str | None) -> list[Node]:
     """
     page = page or ""
     nodes = [Node("html", (), -1)]
-    stack = [0]
+    stack, ends = Open(), Ends(page)
     run: list[str] = []
     linked = links = 0
 
@@ -90,7 +150,7 @@ def parse(page: str | None) -> list[Node]:
         if run:
             text = SPACES.sub(" ", entities.unescape("".join(run))).strip()
             if text:
-                nodes.append(Node("#text", (), stack[-1], text, min(1.0, linked / len(text))))
+                nodes.append(Node("#text", (), stack.nodes[-1], text, min(1.0, linked / (len(text) - text.count(" ")))))
             run.clear()
             linked = 0
 
@@ -101,7 +161,7 @@ def parse(page: str | None) -> list[Node]:
         if text:
             run.append(text)
             if links:
-                linked += len(text)
+                linked += len(SPACES.sub("", text))
         if not m:
             break
         at = m.end()
@@ -120,56 +180,53 @@ def parse(page: str | None) -> list[Node]:
                 run.append(" ")
             continue
         if tag in RAW:  # stands within its block and does not divide it
-            at = at if closing or attributes.endswith("/") else raw_end(tag, page, at)
+            at = at if closing or attributes.endswith("/") else ends.of(tag, at)
             continue
         flush()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    del stack[depth:]
-                    break
+            stack.end(tag)
             continue
-        if tag in ("html", "body") and len(stack) > 1 and tag == "html":
+        if tag == "html" and len(stack.nodes) > 1:
             continue
         links = 0
-        group = ENDS.get(tag)
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = nodes[stack[depth]].tag
-            if open_tag == "p" or (group and ENDS.get(open_tag) == group):
-                del stack[depth:]
-                break
-            if open_tag in SCOPE or (open_tag in HEADINGS and tag != "p"):
-                break
+        stack.make_room(tag)
         names: tuple[str, ...] = ()
         if attributes:
             words = [x for a in ATTRIBUTE.findall(attributes) for x in NAME_WORD.findall("".join(a[1:]).lower())]
             names = tuple(dict.fromkeys(words))
-        nodes.append(Node(tag, names, stack[-1]))
-        stack.append(len(nodes) - 1)
+        nodes.append(Node(tag, names, stack.nodes[-1]))
+        stack.push(len(nodes) - 1, tag)
     flush()
     return nodes
 
 
 def features(node: Node, nodes: list[Node]) -> list[str]:
     if node.text is None:
-        return ["tag " + node.tag, *("name " + x for x in node.names)]
+        return ["tag " + node.tag, *("name " + x for x in node.names)] if node.names else ["tag " + node.tag, "unnamed " + node.tag]
     n, text = len(node.text), node.text
     size, inside = min(9, n.bit_length()), nodes[node.parent].tag
     found = [f"length {size}", f"linked {int(node.linked * 3.99)}", f"in {inside}", f"in {inside} length {size}"]
     if text[-1] in ".!?…\"”»":
         found.append("ends a sentence")
+    sentences = min(3, len(SENTENCE.findall(text)))
+    found += [f"sentences {sentences}", f"in {inside} sentences {sentences}", f"sentences {sentences} linked {int(node.linked * 3.99)}", f"in {inside} linked {int(node.linked * 3.99)}"]
     if n < 80 and re.search(r"©|\(c\)|copyright|all rights reserved", text, re.I):
         found.append("copyright")
     return found
 
 
-#: Kinds of edges: a text below an element, a structural element below another, a block below one.
-EDGES = 3
+#: Kinds of edges: a text below an element, a structural element below another, a block below one, a cell of a table.
+EDGES = 4
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt figcaption caption ul ol dl tr table tbody".split())
 
 
 def edge_kind(node: Node) -> int:
-    return 0 if node.text is not None else 2 if node.tag in BLOCKS else 1
+    return 0 if node.text is not None else 3 if node.tag in ("td", "th") else 2 if node.tag in BLOCKS else 1
+
+
+#: Names on fewer training pages than this are taken for one unknown name, as are names that no page has.
+KNOWN_PAGES = 4
+UNKNOWN = "name ?"
 
 
 class Model:
@@ -180,7 +237,8 @@ class Model:
 
     def score(self, node: Node, nodes: list[Node]) -> float:
         weights = self.weights
-        return sum([weights.get(f, 0.0) for f in features(node, nodes)])
+        unknown = weights.get(UNKNOWN, 0.0)
+        return sum([weights.get(f, unknown if f.startswith("name ") else 0.0) for f in features(node, nodes)])
 
     def messages(self, nodes: list[Node]) -> tuple[list[float], list[float], list[float]]:
         """Log odds of content: own with all from below, the message up, and the message from above."""
@@ -224,6 +282,9 @@ def train(pages: list[tuple[list[Node], list[int]]], epochs: int = EPOCHS, rate:
     model = Model({}, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(EDGES)])
     squares: dict = {}
     prepared = [(nodes, labels, [features(x, nodes) for x in nodes]) for nodes, labels in pages]
+    seen = Counter(f for _, _, named in prepared for f in {f for names in named for f in names if f.startswith("name ")})
+    known = lambda f: UNKNOWN if 0 < seen[f] < KNOWN_PAGES else f
+    prepared = [(nodes, labels, [[known(f) for f in names] for names in named]) for nodes, labels, named in prepared]
 
     def move(key, value: float, gradient: float) -> float:
         gradient -= 0.02 * value
@@ -317,6 +378,38 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, st
         rows = f"<tr><td>{cells[0]}</td><td>{cells[1]}</td></tr><tr><td>{cells[2]}</td><td>{cells[3]}</td></tr>"
         return f"<table>{rows}</table>", cells
 
+    def framed(title: str, inner: str) -> str:
+        before = "".join(rng.choice(outside)() for _ in range(rng.randint(0, 4)))
+        after = "".join(rng.choice(outside)() for _ in range(rng.randint(0, 4)))
+        if rng.random() < 0.1:  # a fragment
+            return f"{before}{inner}{after}"
+        head = f"<head><title>{title}</title><style>p{{margin:0}}</style></head>"
+        return f"<!DOCTYPE html><html>{head}<body>{before}{inner}{after}</body></html>"
+
+    def plain(title: str) -> tuple[str, list[str]]:
+        """Prose in blocks that say nothing of it: unnamed or oddly named, bare, or cells of a layout table."""
+        named = lambda: rng.choice(("", "", f' class="{word()}"', f' id="{word()}"', f' class="{word()} {word()}"'))
+        texts = [prose(rng.choice((1, 1, 2, 4))) for _ in range(rng.choice((1, 1, 2, 3, 6)))]
+        kind = rng.random()
+        if kind < 0.35:
+            tag = rng.choice(("div", "div", "p", "section"))
+            inner = "".join(f"<{tag}{named()}>{x}</{tag}>" for x in texts)
+        elif kind < 0.6:  # lines broken within one block
+            lines = texts + [prose(1) for _ in range(rng.randint(0, 2))]
+            inner, texts = rng.choice(("<br>", "<br><br>", "<br/>\n")).join(lines), [" ".join(lines)]
+        else:
+            inner, texts = texts[0], texts[:1]
+        if rng.random() < 0.3:
+            inner, texts = f"<h1>{title}</h1>{inner}", [title, *texts]
+        if rng.random() < 0.3:
+            menu = "".join(rng.choice((link(1, 2), f"{link(1, 1)}<br>")) for _ in range(rng.randint(2, 6)))
+            cells = [f"<td{named()}>{menu}</td>", f"<td{named()}>{inner}</td>"]
+            cells += [f"<td>{listing(3)}</td>"] if rng.random() < 0.3 else []
+            return f"<table{named()}><tr>{''.join(cells)}</tr></table>", texts
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            inner = f"<div{named()}>{inner}</div>"
+        return inner, texts
+
     pages = []
     for _ in range(n):
         title = words(2, 9).capitalize()
@@ -340,6 +433,11 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, st
             texts += short
         inner = "".join(parts)
         shape = rng.random()
+        if shape < 0.4:
+            inner, texts = plain(title)
+            pages.append((framed(title, inner), "\n\n".join(texts)))
+            continue
+        shape = rng.random()
         if shape < 0.45:
             inner = f"<article>{inner}</article>"
         elif shape < 0.6:
@@ -351,33 +449,26 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, st
             inner = f'<div class="{name}">{inner}</div>'
         if rng.random() < 0.3:
             inner = f'<div class="{rng.choice(("container", "wrapper", "page", "row", "layout"))}">{inner}' + (rng.choice(outside)() if rng.random() < 0.5 else "") + "</div>"
-        before = "".join(rng.choice(outside)() for _ in range(rng.randint(0, 4)))
-        after = "".join(rng.choice(outside)() for _ in range(rng.randint(0, 4)))
-        head = f"<head><title>{title}</title><style>p{{margin:0}}</style></head>"
-        pages.append((f"<!DOCTYPE html><html>{head}<body>{before}{inner}{after}</body></html>", "\n\n".join(texts)))
+        pages.append((framed(title, inner), "\n\n".join(texts)))
     return pages
 
 
 def labels_of(nodes: list[Node], main_text: str) -> list[int]:
-    """1 for the runs of text that make up main_text in order, and for elements with mostly such text below."""
+    """1 for the runs of text that make up main_text in order, and for elements with such text below."""
     wanted = main_text.split("\n\n") if main_text else []
     labels, at = [0] * len(nodes), 0
     for i, node in enumerate(nodes):
         if node.text is not None and at < len(wanted) and node.text == wanted[at]:
             labels[i] = 1
             at += 1
-    weight = [[0, 0] for _ in nodes]
     for i in range(len(nodes) - 1, 0, -1):
-        if nodes[i].text is not None:
-            weight[i][labels[i]] += len(nodes[i].text)
-        else:
-            labels[i] = int(weight[i][1] > weight[i][0])
-        for k in (0, 1):
-            weight[nodes[i].parent][k] += weight[i][k]
+        labels[nodes[i].parent] |= labels[i]
     return labels
 
 
+@functools.lru_cache(maxsize=4)
 def trained(n: int = TRAIN_PAGES, seed: int = SEED) -> Model:
+    """The model of so many labelled pages; trained once."""
     pages = []
     for page, text in labelled_pages(n, seed):
         nodes = parse(page)
