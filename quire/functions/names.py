@@ -106,15 +106,19 @@ def pad_number(n: Column, total: Column) -> Column:
     return F.lpad(text, F.greatest(F.length(text), width), F.lit("0"))
 
 
-def natural_key(name: Column) -> Column:
-    """A sort key in which digits count as numbers and case and the usual accents do not."""
-    accents, letters = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    tokens = F.regexp_extract_all(F.translate(F.lower(name), accents, letters), F.lit(r"\d+|\D+"), 0)
+def natural_key(name: Column, collation: str = "UNICODE_CI_AI") -> Column:
+    """A sort key in which digits count as numbers of any length and case and accents do not, by a collation.
+
+    An array of structs: text as it collates, or for digits "0", which puts numbers where
+    digits collate, with the number's length and digits. Leading zeros do not count.
+    """
+    tokens = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0))
 
     def key(token: Column) -> Column:
-        digits = F.regexp_replace(token, r"^0+(?=\d)", "")
-        width = F.greatest(F.length(digits), F.lit(20))
-        return F.when(token.rlike(r"^\d"), F.lpad(digits, width, F.lit("0"))).otherwise(token)
+        number = token.rlike(r"^\d")
+        digits = F.when(number, F.regexp_replace(token, r"^0+(?=\d)", "")).otherwise("")
+        text = F.when(number, "0").otherwise(token)
+        return F.struct(F.collate(text, collation).alias("text"), F.length(digits).alias("length"), digits.alias("digits"))
 
     return F.transform(tokens, key)
 

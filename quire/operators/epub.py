@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.names import resolve_path
 from ..functions.text import normalize_typography
 from .html import html_blocks
@@ -90,36 +91,59 @@ def within_count(found: DataFrame, doc: str, order: list[str], kind: str, most:
     return found.withColumn("__n", place).where((F.col("kind") != kind) | (F.col("__n") <= most)).drop("__n")
 
 
+#: Half a line of air above a heading; a sum of heights may miss a border by this much.
+AIR, HAIR = 0.5, 1e-9
+
+
+def _sizes() -> Column:
+    level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in HEADING_SIZES.items() for x in pair]), F.col("level").cast("int")), F.lit(14.0))
+    size = F.when(F.coalesce(F.col("level"), F.lit(0)) == 0, 16.0).otherwise(level)
+    return F.when(F.col("kind") == "heading", size).otherwise(BODY_SIZE)
+
+
 def lay_out(found: DataFrame, page_height: float = 841.89, most_pages: int | None = None) -> DataFrame:
     """doc_id, ord, page0, y and n_shown of blocks (doc_id, ord, kind, level, n_lines) set one below the other.
 
-    page0 and y are those of the first line. A line that no page has room for begins a new
-    one; headings keep half a line of air above, but not at the top. Beyond most_pages,
-    if it is given, lines are left out: n_shown says how many stand. A document is folded in
-    its own group, in order, since each line depends on the one before.
+    page0 and y are those of the first line. A block fills the room that its page has left,
+    then whole pages, of a line at least; headings keep half a line of air above, but not at
+    the top. Beyond most_pages, if it is given, lines are left out: n_shown says how many
+    stand. How far a block reaches is arithmetic; a document's blocks, a few numbers each,
+    are folded in order, since each begins where the one before ends.
     """
-    kind = found.schema["doc_id"].dataType.simpleString()
-
-    def fold(group):
-        import pandas as pd
-
-        rows, page, y, full = [], 0, MARGIN, False
-        for block in group.sort_values("ord").itertuples(index=False):
-            heading = block.kind == "heading"
-            size = HEADING_SIZES.get(int(block.level), 14.0) if heading and block.level == block.level and block.level else 16.0 if heading else BODY_SIZE
-            gap, shown, first = size * LINE_HEIGHT, 0, (None, None)
-            y += size * 0.5 if heading and y > MARGIN and not full else 0.0
-            for _ in range(int(block.n_lines)):
-                if y + gap > page_height - MARGIN:
-                    full = full or (most_pages is not None and page + 1 >= most_pages)
-                    if full:
-                        break
-                    page, y = page + 1, MARGIN
-                first = first if shown else (page, y)
-                shown, y = shown + 1, y + gap
-            y += PARAGRAPH_GAP
-            rows.append((block.doc_id, block.ord, *first, shown))
-        return pd.DataFrame(rows, columns=["doc_id", "ord", "page0", "y", "n_shown"])
-
-    narrow = found.select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", F.col("level").cast("double").alias("level"), "n_lines")
-    return narrow.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, ord int, page0 int, y double, n_shown int")
+    bottom = page_height - MARGIN
+    least = F.lit(2**31 - 1 if most_pages is None else most_pages)
+    block = F.struct("ord", _sizes().alias("size"), (F.col("kind") == "heading").alias("heading"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n"))
+    shape = "struct<ord: int, page0: int, y: double, n_shown: int>"
+
+    def step(s: Column, b: Column) -> Column:
+        line = b["size"] * LINE_HEIGHT
+        fits = lambda room: F.floor(room / line + HAIR)
+        air = F.when(b["heading"] & (s["y"] > MARGIN) & ~s["full"], b["size"] * AIR).otherwise(0.0)
+
+        def filled(v: Column) -> Column:
+            each = F.greatest(fits(F.lit(bottom - MARGIN)), F.lit(1))
+            here = F.least(b["n"], F.greatest(fits(bottom - v["y"]), F.lit(0)))
+            shown = F.least(b["n"], here + F.greatest(v["left"], F.lit(0)) * each)
+            return F.struct(v["y"].alias("y"), here.alias("here"), shown.alias("shown"), each.alias("each"), F.ceil((shown - here) / each).alias("turned"))
+
+        def after(v: Column) -> Column:
+            on_last = F.when(v["turned"] == 0, v["shown"]).otherwise(v["shown"] - v["here"] - (v["turned"] - 1) * v["each"])
+            y = F.when(v["turned"] == 0, v["y"]).otherwise(MARGIN) + on_last * line
+            begins = v["here"] > 0
+            page = s["page"] + F.when(begins, 0).otherwise(1)
+            placed = F.struct(
+                b["ord"].cast("int").alias("ord"), F.when(v["shown"] > 0, page).cast("int").alias("page0"),
+                F.when(v["shown"] > 0, F.when(begins, v["y"]).otherwise(MARGIN)).alias("y"), v["shown"].cast("int").alias("n_shown"),
+            )
+            return F.struct(
+                (s["page"] + v["turned"]).cast("int").alias("page"), (y + PARAGRAPH_GAP).alias("y"),
+                (s["full"] | (v["shown"] < b["n"])).alias("full"), F.concat(s["out"], F.array(placed)).alias("out"),
+            )
+
+        start = F.struct((s["y"] + air).alias("y"), (least - 1 - s["page"]).alias("left"))
+        return let(let(start, filled), after)
+
+    begin = F.struct(F.lit(0).alias("page"), F.lit(MARGIN).alias("y"), F.lit(False).alias("full"), F.expr(f"cast(array() as array<{shape}>)").alias("out"))
+    listed = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    folded = F.aggregate("blocks", begin, step, lambda s: s["out"])
+    return listed.select("doc_id", F.inline(folded))

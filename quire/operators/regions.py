@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, text_region
 from ..functions.text import MAY_MATCH, PII_PATTERNS, literal_pattern, match_spans
-from .lineage import cut
+from .lineage import stored
 
 
 def items_of_text(documents: DataFrame, page_w: float = 612.0, line_h: float = 12.0) -> DataFrame:
@@ -56,70 +56,42 @@ def unite(manual: DataFrame, automatic: DataFrame) -> DataFrame:
     return drop_contained(both, ["doc_id", "page0"]).drop("__source")
 
 
-#: Regions of a page from which on they meet by place instead of all with all.
-MANY = 512
-
-
 def _level(size: Column) -> Column:
     """The smallest power of two, as its exponent, that is larger than a size; -40 for next to nothing."""
     return (F.floor(F.log2(F.greatest(size, F.lit(2.0**-41)))) + 1).cast("int")
 
 
-def _contained(distinct: DataFrame, page: list[str]) -> DataFrame:
-    """page and region of the regions inside another one of their page, which meet by place.
+def _contained(distinct: DataFrame) -> DataFrame:
+    """__page and region of the regions inside another one of their page, which meet by place.
 
     A region lies in cells as large as its level: one or two across, one or two down. What is
     inside of it begins in one of them, so each region looks up its own cell at every
     larger level that its page has. The work grows with the regions and the levels.
     """
-    names = [f"__{c}" for c in page]
-    box = F.col("region")
-    sides = [("x", "w"), ("y", "h")]
-    outer = distinct.select(*[F.col(c).alias(n) for c, n in zip(page, names, strict=True)], box.alias("__outer"))
-    for at, size in sides:
-        level = _level(F.col("__outer")[size])
+    box, shrunk = F.col("region"), 1 - 1e-9  # rounding never hides a region that is a hair too large
+    outer = distinct.select("__page", box.alias("__outer"))
+    for at, size in (("x", "w"), ("y", "h")):
         cell = lambda v, k=at: F.floor(v / F.pow(F.lit(2.0), F.col(f"__level_{k}")))
         first = F.col("__outer")[at]
-        outer = outer.withColumn(f"__level_{at}", level)
+        outer = outer.withColumn(f"__level_{at}", _level(F.col("__outer")[size]))
         outer = outer.withColumn(f"__cell_{at}", F.explode(F.array_distinct(F.array(cell(first), cell(first + F.col("__outer")[size])))))
-    levels = outer.select(*names, "__level_x", "__level_y").distinct()
-    larger = (F.col("__level_x") >= _level(box["w"])) & (F.col("__level_y") >= _level(box["h"]))
-    same = larger
-    for c, n in zip(page, names, strict=True):
-        same = same & (F.col(c) == F.col(n))
-    probes = distinct.select(*page, "region").join(levels, same)
-    for at, _ in sides:
+    levels = outer.groupBy("__page").agg(F.collect_set(F.struct("__level_x", "__level_y")).alias("__levels"))  # a few thousand a page at most
+    larger = lambda s: (s["__level_x"] >= _level(box["w"] * shrunk)) & (s["__level_y"] >= _level(box["h"] * shrunk))
+    probes = distinct.join(levels, "__page").select("__page", "region", F.explode(F.filter("__levels", larger)).alias("s")).select("__page", "region", "s.*")
+    for at in "xy":
         probes = probes.withColumn(f"__cell_{at}", F.floor(box[at] / F.pow(F.lit(2.0), F.col(f"__level_{at}"))))
-    met = probes.join(outer, [*names, "__level_x", "__level_y", "__cell_x", "__cell_y"])
-    return met.where(contains(F.col("__outer"), box) & (F.col("__outer") != box)).select(*page, "region").distinct()
+    met = probes.join(outer, ["__page", "__level_x", "__level_y", "__cell_x", "__cell_y"])
+    return met.where(contains(F.col("__outer"), box) & (F.col("__outer") != box)).select("__page", "region").distinct()
 
 
 def drop_contained(regions: DataFrame, page: list[str]) -> DataFrame:
     """The regions that lie inside no other of the page; of equal ones one stays.
 
-    Equal regions are collapsed first. The others meet within their page: all with all on
-    pages of at most MANY, by place on larger ones, which is as exact and not a square. Sizes
-    are zero or more.
+    Equal regions are collapsed first; the others meet by place, so a crowded page is neither
+    a square nor one task. Sizes are zero or more; nulls in page are a page.
     """
     order = [c for c in ("__source",) if c in regions.columns]
-    keys = [*page, "region"]
-    first = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)]))
+    first = Window.partitionBy(*page, "region").orderBy(*(order or [F.lit(1)]))
     distinct = regions.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
-    large = cut(regions.groupBy(*page).agg(F.count_distinct("region").alias("__n")).where(F.col("__n") > MANY).drop("__n"))
-    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(page, [f"__{c}" for c in page], strict=True)]
-    names = [f"__{c}" for c in page]
-
-    def direct(own: DataFrame) -> DataFrame:
-        other = own.select(*[F.col(c).alias(n) for c, n in zip(page, names, strict=True)], F.col("region").alias("__outer"))
-        condition = contains(F.col("__outer"), F.col("region")) & (F.col("__outer") != F.col("region"))
-        for c, n in zip(page, names, strict=True):
-            condition = condition & (F.col(c) == F.col(n))
-        return own.join(other, condition, "left_anti")
-
-    if large.isEmpty():
-        return direct(distinct)
-    named = large.select(*[F.col(c).alias(n) for c, n in zip(page, names, strict=True)])
-    crowded = distinct.join(named, on, "left_semi")
-    inner = _contained(crowded, page).select(*[F.col(c).alias(n) for c, n in zip(page, names, strict=True)], F.col("region").alias("__inner"))
-    kept = crowded.join(inner, [*on, F.col("region") == F.col("__inner")], "left_anti")
-    return direct(distinct.join(named, on, "left_anti")).unionByName(kept)
+    distinct = stored(distinct.withColumn("__page", F.struct(*page)))  # as a struct, so that null is equal to null
+    return distinct.join(_contained(distinct.select("__page", "region")), ["__page", "region"], "left_anti").drop("__page")

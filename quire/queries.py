@@ -122,6 +122,21 @@ def interleave_docs(spark, sf_dir):
     return _moved(pages.interleave(found.where("doc_id % 2 = 0"), odd))
 
 
+@query("""
+SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY strip_accents(lower(p)), length(n), n, c_custkey) AS place
+FROM (SELECT c_custkey, c_nationkey, ['őz', 'Pž', 'Ák', 'ÓZ', 'ba', 'Ñu', 'ńu'][c_custkey % 7 + 1] AS p,
+  repeat('9', CAST(15 + c_custkey % 9 AS INT)) || CAST(c_custkey % 4 AS VARCHAR) AS n FROM customer)""")
+def natural_sort_letters(spark, sf_dir):
+    """Letters with marks of many alphabets, and numbers beyond any integer type."""
+    words = F.array(*[F.lit(w) for w in ("őz", "Pž", "Ák", "ÓZ", "ba", "Ñu", "ńu")])
+    key = F.col("c_custkey")
+    number = F.concat(F.lit("000"), F.repeat(F.lit("9"), (15 + key % 9).cast("int")), (key % 4).cast("string"))
+    name = F.concat(F.get(words, (key % 7).cast("int")), number)
+    found = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", names.natural_key(name).alias("k"))
+    ranked = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("k", "c_custkey"))
+    return found.select("c_custkey", ranked.cast("long").alias("place"))
+
+
 @query(f"""
 WITH p AS ({_OLD})
 SELECT doc_id, page0, CAST(row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id, page0) - 1 AS INT) AS merged_page0 FROM p""")
@@ -301,14 +316,20 @@ def pii_line_spans(spark, sf_dir):
 @query(_marked_spans() + """,
 t AS (SELECT doc_id, item, n, s, e FROM m JOIN l USING (doc_id, item) UNION ALL
   SELECT doc_id, item, n, CAST(q - 1 AS INT), CAST(q + 6 AS INT) FROM (SELECT doc_id, item, n, unnest(list_filter(range(1, n + 1), lambda i: substr(lower(translate(l, '‹›', '')), i, 7) = 'license')) AS q FROM l)),
-b AS (SELECT DISTINCT doc_id, 0 AS page0, s / n::DOUBLE AS x, 0.0::DOUBLE AS y, e / n::DOUBLE - s / n::DOUBLE AS w, ((item + 1) * 12.0::DOUBLE - item * 12.0::DOUBLE) / ((item + 1) * 12.0::DOUBLE) AS h FROM t)
+b AS (SELECT DISTINCT doc_id, 0 AS page0, s / n::DOUBLE AS x, 0.0::DOUBLE AS y, e / n::DOUBLE - s / n::DOUBLE AS w, ((item + 1) * 12.0::DOUBLE - item * 12.0::DOUBLE) / ((item + 1) * 12.0::DOUBLE) AS h FROM t
+  UNION SELECT doc_id, 0, 0.0, 0.0, 0.5, 0.2 FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id, 0, 0.125, 0.0, 0.25, 0.125 FROM documents WHERE doc_id % 2 = 0)
 SELECT doc_id, page0, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM b a
 WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = a.doc_id AND (o.x, o.y, o.w, o.h) <> (a.x, a.y, a.w, a.h)
   AND o.x <= a.x + 1e-12 AND o.y <= a.y + 1e-12 AND o.x + o.w >= a.x + a.w - 1e-12 AND o.y + o.h >= a.y + a.h - 1e-12)""")
 def redaction_regions(spark, sf_dir):
-    items = regions.items_of_text(_read(spark, sf_dir, "documents"))
-    found = regions.detect(items, term="license")
-    united = regions.unite(found.where("false"), found)
+    """Regions found and drawn by hand: large ones over others, small ones that may lie inside, and some that were found as well."""
+    docs = _read(spark, sf_dir, "documents")
+    found = regions.detect(regions.items_of_text(docs), term="license")
+    drawn = lambda x, w, h: F.struct(*[F.lit(v).alias(k) for k, v in zip("xywh", (x, 0.0, w, h), strict=True)]).alias("region")
+    large = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("page0"), drawn(0.0, 0.5, 0.2))
+    small = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("page0"), drawn(0.125, 0.25, 0.125))
+    manual = large.unionByName(small).unionByName(found.where("doc_id % 7 = 0").select("doc_id", "page0", "region"))
+    united = regions.unite(manual, found)
     return united.select("doc_id", "page0", *[F.round(F.col("region")[k], 6).alias(k) for k in "xywh"])
 
 

@@ -23,8 +23,9 @@ def run_available(stream: DataFrame, operator: Callable[[DataFrame], DataFrame],
 
 
 def new_files_only(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The stream without files of a name and size seen within the delay; state is dropped after it."""
-    return stream.withWatermark("modified", delay).dropDuplicatesWithinWatermark(["name", "size"])
+    """The stream (file_id, modified, content, ...) without files of a path and content seen within the delay; state is dropped after it."""
+    marked = stream.withColumn("__digest", F.sha2("content", 256)).withWatermark("modified", delay)
+    return marked.dropDuplicatesWithinWatermark(["file_id", "__digest"]).drop("__digest")
 
 
 def windowed_sums(events: DataFrame, at: str = "ts", key: str = "event_type", value: str = "value",

@@ -89,15 +89,13 @@ def test_regions_form_an_antichain(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
-@pytest.mark.parametrize("many", [512, 5])
 @pytest.mark.parametrize("whole", [True, False])
-def test_regions_by_place(spark, monkeypatch, many, whole):
-    """Against all pairs, with boxes of many sizes, in whole numbers and in fractions, empty ones too."""
-    monkeypatch.setattr(regions, "MANY", many)
-    rng = random.Random(many + whole)
+def test_regions_by_place(spark, whole):
+    """Against all pairs, with boxes of many sizes, in whole numbers and in fractions, empty ones too; null is a document."""
+    rng = random.Random(5 + whole)
     size = lambda: rng.randint(0, 2 ** rng.randint(0, 6)) if whole else rng.random() ** 3
     place = lambda: rng.randint(-10, 60) if whole else rng.random()
-    rows = [(d, 0, (float(place()), float(place()), float(size()), float(size()))) for d in (1, 2, 3) for _ in range(60 * (d > 1) + 3)]
+    rows = [(d, 0, (float(place()), float(place()), float(size()), float(size()))) for d in (1, 2, None) for _ in range(60 * (d != 1) + 3)]
     found = regions.drop_contained(spark.createDataFrame(rows, "doc_id long, page0 int, region struct<x: double, y: double, w: double, h: double>"), ["doc_id", "page0"])
     inside = lambda b, o: o != b and o[0] <= b[0] + 1e-12 and o[1] <= b[1] + 1e-12 and b[0] + b[2] <= o[0] + o[2] + 1e-12 and b[1] + b[3] <= o[1] + o[3] + 1e-12
     expected = {(d, b) for d, _, b in rows if not any(e == d and inside(b, o) for e, _, o in rows)}
@@ -373,6 +371,48 @@ def test_stream_of_files(spark, tmp_path):
     assert sorted((r.name, r["size"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a.txt", 1), ("b.txt", 3)]
 
 
+def test_files_seen_before(spark, tmp_path):
+    """The same name and size in another folder or with other content is a new file."""
+    for folder in ("a", "b"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.txt").write_bytes(folder.encode())
+    (tmp_path / "in" / "b" / "y.txt").write_bytes(b"a")
+    stream = spark.readStream.format("binaryFile").schema(files.BINARY).option("recursiveFileLookup", "true").load(str(tmp_path / "in"))
+    twice = files._files(stream)
+    twice = twice.unionByName(twice)
+    target, state = str(tmp_path / "out"), str(tmp_path / "state")
+    ingest.new_files_only(twice).select("name", "content").writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.name, bytes(r.content)) for r in spark.read.parquet(target).collect()) == [("x.txt", b"a"), ("x.txt", b"b"), ("y.txt", b"a")]
+
+
+def test_layout_by_lines(spark):
+    """Against setting line by line."""
+    rng = random.Random(3)
+    kinds = [("heading", 1), ("heading", 3), ("heading", 6), ("heading", None), ("heading", 0), ("heading", 9), ("paragraph", None), ("listitem", None)]
+    rows = [(d, i, *rng.choice(kinds), rng.choice([0, 1, 1, 2, 5, 40])) for d in range(6) for i in range(30)]
+    blocks = spark.createDataFrame(rows, "doc_id long, ord int, kind string, level int, n_lines int")
+    for height, most in ((250.0, None), (250.0, 7), (125.0, None), (841.89, 3)):
+        expected = {}
+        for d in range(6):
+            page, y, full = 0, 56.0, False
+            for _, i, kind, level, n in (r for r in rows if r[0] == d):
+                size = 11.0 if kind != "heading" else 16.0 if not level else {1: 20.0, 3: 14.0, 6: 11.0}.get(level, 14.0)
+                y += size / 2 if kind == "heading" and y > 56 and not full else 0
+                lines = []
+                while len(lines) < n:
+                    if y + size * 1.45 > height - 56 + 1e-6:
+                        if most and page + 1 >= most:
+                            full = True
+                            break
+                        page, y = page + 1, 56.0
+                    lines.append((page, round(y, 4)))
+                    y += size * 1.45
+                y += 6.0
+                expected[d, i] = (*(lines or [(None, None)])[0], len(lines))
+        found = {(r.doc_id, r.ord): (r.page0, r.y if r.y is None else round(r.y, 4), r.n_shown) for r in epub.lay_out(blocks, height, most).collect()}
+        assert found == expected
+
+
 def test_stream_windows(spark, tmp_path):
     rows = [(i, "k", float(i)) for i in range(10)]
     events = spark.createDataFrame(rows, "s long, event_type string, value double").select(F.timestamp_seconds(F.col("s") * 1200).alias("ts"), "event_type", "value")
