@@ -91,15 +91,16 @@ def _spans(kind: int, pattern: str, keep: str) -> str:
 
 
 def secrets_sql() -> str:
-    allowed = " OR ".join(f"regexp_matches(run, {_literal(p)})" for p in secrets.ALLOW)
-    bits = "CASE " + " ".join(f"WHEN regexp_matches(run, {_literal(p)}) THEN {least}" for _, p, least in secrets.CLASSES) + " END"
+    allowed = " OR ".join(f"regexp_matches(rest, {_literal(p)})" for p in secrets.ALLOW)
+    bits = "CASE " + " ".join(f"WHEN regexp_matches(rest, {_literal(p)}) THEN {least}" for _, p, least in secrets.CLASSES) + " END"
     n = secrets.WINDOW
-    peak = f"list_max(list_transform(range(1, length(run) - {n - 2}), lambda q: list_aggregate(string_split(substr(run, q, {n}), ''), 'entropy')))"
+    peak = f"list_max(list_transform(range(1, length(rest) - {n - 2}), lambda q: list_aggregate(string_split(substr(rest, q, {n}), ''), 'entropy')))"
     text = "string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS x FROM documents),
 b AS ({_spans(0, secrets.ASSIGN, "length(g[j]) >= 6")} UNION ALL {_spans(1, secrets.ACCESS, "true")} UNION ALL {_spans(2, secrets.HEX, "true")}),
-e AS (SELECT * FROM ({_spans(3, secrets.CANDIDATE, "true")}) r WHERE NOT ({allowed}) AND {peak} >= {bits}
+e AS (SELECT k, kind, start, stop, run FROM (SELECT *, regexp_replace(run, {_literal(secrets.ALLOWED_WORDS)}, '', 'g') AS rest FROM ({_spans(3, secrets.CANDIDATE, "true")})) r
+  WHERE length(rest) >= {n} AND NOT ({allowed}) AND {peak} >= {bits}
   AND NOT EXISTS (SELECT 1 FROM b WHERE b.k = r.k AND b.start <= r.start AND r.stop <= b.stop)),
 s AS (SELECT k, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h, {text} AS base FROM b GROUP BY k),
 f AS (SELECT k, {text} AS spans FROM (SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY k)

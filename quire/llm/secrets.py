@@ -2,8 +2,9 @@
 
 Base spans come from three patterns; the method adds spans of kind "entropy": runs of
 key characters in which a sliding window reaches the Shannon entropy set for its
-character class and which no allow-list pattern matches. Everything happens inside
-the row, nothing is shuffled.
+character class. The allow-list suppresses what it covers and no more: allowed words are
+taken out of a run before its windows are measured, and a run of which only words, numbers
+or the like are left is none. Everything happens inside the row, nothing is shuffled.
 
 Defined results: a null or empty text has no spans; offsets are code points with
 exclusive ends; spans are sorted by start, then by kind in the order of KINDS; rows are
@@ -25,8 +26,6 @@ from .common import let, text_or_empty
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Spans of a text from which on redact() takes it apart into characters.
-MANY = 64
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
@@ -41,12 +40,13 @@ CLASSES = (
     ("letters and digits", r"^(?:[A-Za-z]*[0-9]){2}[A-Za-z0-9]*\z", 3.68),
     ("base64", r"^.*\z", 3.78),
 )
-#: Runs that match one of these are no secrets.
+#: Words that count for nothing within a run.
+ALLOWED_WORDS = r"(?i)example|sample|placeholder|changeme|dummy|x{4,}|0123456789|abcdefgh"
+#: Runs of which what is left matches one of these are no secrets.
 ALLOW = (
     r"^(?:[a-z_-]+|[A-Z_-]+|[A-Z][a-z]+)\z",  # words of one case, also joined by dashes
     r"^[0-9_=+/-]+\z",  # numbers and rulers
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z",  # UUIDs
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh",
     r"^(?:[A-Za-z]*/)+[A-Za-z]*\z",  # paths of plain words
 )
 
@@ -111,13 +111,32 @@ def peak_entropy(run: Column, window: int = WINDOW) -> Column:
 
 
 def is_secret(run: Column) -> Column:
-    allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | run.rlike(pattern)
-    bits = F.lit(99.0)
-    for _, pattern, least in reversed(CLASSES):
-        bits = F.when(run.rlike(pattern), F.lit(least)).otherwise(bits)
-    return F.when(allowed, False).otherwise(peak_entropy(run) >= bits)
+    def judged(rest: Column) -> Column:
+        allowed = F.char_length(rest) < WINDOW
+        for pattern in ALLOW:
+            allowed = allowed | rest.rlike(pattern)
+        bits = F.lit(99.0)
+        for _, pattern, least in reversed(CLASSES):
+            bits = F.when(rest.rlike(pattern), F.lit(least)).otherwise(bits)
+        return F.when(allowed, False).otherwise(peak_entropy(rest) >= bits)
+
+    return let(F.regexp_replace(run, ALLOWED_WORDS, ""), judged)
+
+
+def outside(base: Column, runs: Column) -> Column:
+    """The runs that lie in no base span: both in the order of their starts, against the farthest end so far."""
+    event = lambda s, is_run: F.struct(s["start"].alias("start"), F.lit(is_run).alias("run"), s["end"].alias("end"))
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b, 0)), F.transform(runs, lambda r: event(r, 1))))
+
+    def kept(v: Column) -> Column:
+        ends = running_max(F.transform(v, lambda e: F.when(e["run"] == 0, e["end"]).otherwise(0)))
+        marked = F.zip_with(v, ends, lambda e, end: F.struct(
+            e["start"].alias("start"), F.lit(3).alias("kind"), e["end"].alias("end"), ((e["run"] == 1) & (e["end"] > end)).alias("kept"),
+        ))
+        found = F.filter(marked, lambda e: e["kept"])
+        return F.transform(found, lambda e: F.struct(e["start"].alias("start"), e["kind"].alias("kind"), e["end"].alias("end")))
+
+    return F.when((F.size(base) == 0) | (F.size(runs) == 0), runs).otherwise(let(events, kept))
 
 
 def all_spans(text: Column) -> Column:
@@ -126,13 +145,7 @@ def all_spans(text: Column) -> Column:
         spans(text, ASSIGN, 0, lambda value: F.length(value) >= 6, 2), spans(text, ACCESS, 1), spans(text, HEX, 2)
     ))
     runs = spans(text, CANDIDATE, 3, is_secret)
-
-    def both(v: Column) -> Column:
-        outside = F.filter(v["runs"], lambda r: ~F.exists(
-            v["base"], lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])
-        ))
-        return F.struct(v["base"].alias("base"), outside.alias("added"))
-
+    both = lambda v: F.struct(v["base"].alias("base"), outside(v["base"], v["runs"]).alias("added"))
     return let(F.struct(base.alias("base"), runs.alias("runs")), both)
 
 
@@ -155,19 +168,17 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         def joined(w: Column) -> Column:
             ends = running_max(F.transform(w["spans"], lambda s: s["end"]))
             before = F.concat(F.array(F.lit(0).cast("long")), ends)  # where the spans up to one end
-            piece = lambda at, n: F.when(  # noqa: E731  many spans: from an array of characters, so that none is passed over twice
-                F.size(w["spans"]) > MANY, F.array_join(F.slice(w["characters"], at + 1, F.greatest(n, F.lit(0))), "")
-            ).otherwise(F.substring(w["text"], at + 1, n))
+            piece = lambda at, n: F.array_join(F.slice(w["characters"], at + 1, F.greatest(n, F.lit(0))), "")
             kept = F.zip_with(F.slice(before, F.lit(1), F.size(w["spans"])), w["spans"], lambda at, s: F.when(
                 s["start"] >= at, F.concat(piece(at.cast("int"), (s["start"] - at).cast("int")), F.lit(mark))
             ).otherwise(""))
             last = F.element_at(before, -1).cast("int")
-            return F.concat(F.array_join(kept, ""), piece(last, F.length(w["text"]) - last))
+            return F.concat(F.array_join(kept, ""), piece(last, F.size(w["characters"]) - last))
 
         spans = F.array_sort(F.concat(v["found"]["base"], v["found"]["added"]))
-        many = F.size(v["found"]["base"]) + F.size(v["found"]["added"]) > MANY
-        characters = F.when(many, F.split(v["text"], ""))
-        return let(F.struct(v["text"].alias("text"), spans.alias("spans"), characters.alias("characters")), joined)
+        # From an array of characters, so that no part of a text is passed over twice.
+        characters = F.split(v["text"], "")
+        return let(F.struct(spans.alias("spans"), characters.alias("characters")), joined)
 
     text = F.col("text")
     whole = F.struct(text.alias("text"), all_spans(text_or_empty(text)).alias("found"))

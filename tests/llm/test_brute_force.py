@@ -92,7 +92,7 @@ def test_entropy(spark):
 
 def test_entropy_spans_and_redaction(spark):
     key, word = "q7Zp0Xv3LmB9sT4kWc8YdR1u", "internationalizationofthings"
-    texts = [f"see {key} here", word, "550e8400-e29b-41d4-a716-446655440000", "EXAMPLE" + key, f"token={key}"]
+    texts = [f"see {key} here", word, "550e8400-e29b-41d4-a716-446655440000", "EXAMPLE" + key[:12], f"token={key}"]
     found = {r.doc_id: r for r in secrets.scan(frame(spark, texts)).collect()}
     assert [[tuple(s) for s in found[i].added] for i in range(5)] == [[(4, 3, 28)], [], [], [], []]
     clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts)).collect()}
@@ -129,6 +129,25 @@ def test_random_keys_of_each_class(spark):
     assert [tuple(s) for s in secrets.scan(frame(spark, ["SAMPLE_KEY=q7Zp0Xv3LmB9sT4kWc8YdR1u"])).head().added] == [(11, 3, 35)]
 
 
+def test_allowed_words_cancel_themselves_only(spark):
+    key = "q7Zp0Xv3LmB9sT4kWc8YdR1uHf5Gn2J"
+    texts = [f"SAMPLE_CFG-{key}", f"{key[:15]}dummy{key[15:]}", f"0123456789{key}", key, "sample-example-placeholder-dummy", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx", "EXAMPLE" + key[:15], "0123456789" * 4]
+    found = {r.doc_id: [tuple(s) for s in r.added] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert found == {i: [(0, 3, len(t))] if i < 4 else [] for i, t in enumerate(texts)}
+
+
+def test_runs_within_base_spans(spark):
+    """Many spans of both kinds in one long text, against all pairs."""
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(n))
+    parts = [rng.choice((f"token={key(24)}", key(26), f"secret: {key(8)}/{key(22)}", "plain words", f"AKIA{'Z' * 16}{key(20)}")) for _ in range(400)]
+    r = secrets.scan(frame(spark, [" é ".join(parts)])).head()
+    assert len(r.base) > 150 and len(r.added) > 50
+    assert not any(b.start <= a.start and a.end <= b.end for a in r.added for b in r.base)
+    clean = secrets.redact(frame(spark, [" é ".join(parts)])).head().text
+    assert clean.count("plain words") == parts.count("plain words") and clean.count(" é ") == 399 and clean.count("[REDACTED]") >= 300
+
+
 # 2
 
 
@@ -744,13 +763,48 @@ def test_what_stands_within_an_article(inner, expected):
     assert text == "\n\n".join(["The title of it", *expected])
 
 
-_models = []
+def model():
+    return html_tree.trained()
+
+
+RIVER = "The river rose in the night and nobody slept. By morning the old bridge was gone."
+MARKET = "Traders came back on Tuesday, though the square was still wet."
+MENU = "<a href='/a'>Home</a> <a href='/b'>News</a> <a href='/c'>Sport</a> <a href='/d'>Weather</a>"
+
+
+@pytest.mark.parametrize("page, expected", [
+    (f"<html><body><div class='blurb'><div class='txt'>{RIVER}</div><div class='txt'>{MARKET}</div><div class='txt'>A third one stands here.</div></div></body></html>",
+     [RIVER, MARKET, "A third one stands here."]),
+    ("<div>First sentence is here.<br>Second sentence follows it.</div>", ["First sentence is here. Second sentence follows it."]),
+    ("<div><div><div>Only one sentence is here.</div></div></div>", ["Only one sentence is here."]),
+    ("Some bare text without any tag. It goes on.", ["Some bare text without any tag. It goes on."]),
+    (f"<table><tr><td>{MENU}</td><td>{RIVER} {MARKET}</td></tr></table>", [f"{RIVER} {MARKET}"]),
+    ("<table><tr><td><a href=1>x</a> <a href=2>x</a> <a href=3>x</a> <a href=4>x</a></td><td>" + RIVER + "</td></tr></table>", [RIVER]),
+    (f"<body><div id='top-nav' class='menu'>{MENU}</div><div class='lorry'><h1>Flood in the valley</h1><p>{RIVER}</p><p>{MARKET}</p></div><div class='footer'>&copy; 2021 The Valley Post. All rights reserved.</div></body>",
+     ["Flood in the valley", RIVER, MARKET]),
+    (f"<body><header><h2>The Post</h2>{MENU}</header><section><h1>Flood</h1><p>{RIVER}</p></section><aside class='sidebar'><p>Read our other stories of the week.</p></aside></body>", ["Flood", RIVER]),
+    (f"<body><p>{RIVER}</p><p>{MARKET}</p><div class='comments'><h2>Comments</h2><p>Ann: I saw it from the hill.</p></div></body>", [RIVER, MARKET]),
+    ("<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><form><label>Name</label><input></form><footer>&copy; 2020 Acme</footer></body>", []),
+])
+def test_pages_written_by_hand(page, expected):
+    """Layouts that no generator made."""
+    assert html_tree.main_text(page, model()).split("\n\n") == (expected or [""])
 
 
-def model():
-    if not _models:
-        _models.append(html_tree.trained())
-    return _models[0]
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "</p>" * 20_000 + "x", "<div>" * 20_000 + "</foo>" * 20_000, "<li><ul>" + "<foo>" * 20_000 + "<li>a</li>" * 20_000,
+    "<textarea>a<p>" * 20_000, "<select><option>a<p>b" * 20_000, "<foo>" * 20_000 + "<td>a" * 20_000, "<a '" * 20_001, "<h1><p>" * 20_000,
+])
+def test_parsing_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_tree.parse(page)
+    assert time.process_time() - began < 3
+
+
+def test_a_model_is_trained_once():
+    assert html_tree.trained() is html_tree.trained()
 
 
 def test_given_pages(spark):
