@@ -1008,4 +1008,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from . import queries_large  # noqa: E402, F401  adds its own
+from . import queries_large, queries_plans  # noqa: E402, F401  add their own
