@@ -37,15 +37,14 @@ g AS (SELECT k, o, n, array_to_string(w[o + 1:o + n], ' ') AS g
 m AS (SELECT g.k, g.o, g.n, i.item_id FROM g JOIN i ON g.g = i.g AND g.n = i.n),
 h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(o, o + n)) AS p FROM m) GROUP BY k),
 t AS (SELECT k, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT k, item_id AS x FROM m WHERE item_id IS NOT NULL) GROUP BY k),
-x AS (SELECT k, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
-c AS (SELECT term, count(*) AS n_posts FROM x GROUP BY term),
-v AS (SELECT DISTINCT g, n, string_split(g, ' ') AS w FROM i WHERE n > 1),
-q AS (SELECT g, n, i, w[i + 1] AS term FROM (SELECT *, unnest(range(0, n)) AS i FROM v)),
-a AS (SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY g ORDER BY n_posts, i) AS place FROM q JOIN c USING (term)) WHERE place <= {decontam.NEAR_DEPTH}),
-z AS (SELECT k, g, place, pos - i AS o FROM a JOIN x USING (term)),
-y AS (SELECT DISTINCT u.k, u.g, u.o FROM z u JOIN z v ON u.k = v.k AND u.g = v.g AND u.place < v.place AND abs(u.o - v.o) <= {decontam.SLOP}),
+v AS (SELECT DISTINCT g, n, n * {decontam.MISSING} // {decontam.WINDOW} AS a, string_split(g, ' ') AS w FROM i WHERE n > 1),
+l AS (SELECT *, CAST(least({decontam.RUN}, ceil((n - a) / (a + 1))) AS BIGINT) AS l FROM v),
+q AS (SELECT g, l, i, greatest(n - a - (l - 1) * (a + 1), 1) AS need, array_to_string(w[i + 1:i + l], ' ') AS run FROM (SELECT *, unnest(range(0, n - l + 1)) AS i FROM l)),
+x AS (SELECT k, l, pos, array_to_string(w[pos + 1:pos + l], ' ') AS run FROM (SELECT k, w, l, unnest(range(0, len(w) - l + 1)) AS pos FROM d, (SELECT DISTINCT l FROM l))),
+o AS (SELECT k, g, need, i, pos - i AS o, CAST(floor((pos - i) / {decontam.SLOP + 1}.0) AS BIGINT) AS f FROM x JOIN q USING (l, run)),
+y AS (SELECT DISTINCT k, g, unnest(o) AS o FROM (SELECT k, g, list(DISTINCT o) AS o FROM (SELECT *, unnest([f, f - 1]) AS b FROM o) GROUP BY k, g, need, b HAVING count(DISTINCT i) >= need)),
 r AS (SELECT k, g FROM y JOIN v USING (g) JOIN d USING (k) WHERE len(list_filter(range(0, n), lambda i: list_contains(
-  d.w[greatest(o + i - {decontam.SLOP}, 0) + 1:greatest(o + i + {decontam.SLOP} + 1, 0)], v.w[i + 1]))) >= n - n * {decontam.MISSING} // {decontam.WINDOW}),
+  d.w[greatest(o + i - {decontam.SLOP}, 0) + 1:greatest(o + i + {decontam.SLOP} + 1, 0)], v.w[i + 1]))) >= n - a),
 e AS (SELECT k, count(DISTINCT item_id) AS n_near_items FROM (SELECT k, item_id FROM m UNION ALL SELECT k, item_id FROM r JOIN i USING (g)) GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
