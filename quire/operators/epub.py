@@ -27,17 +27,39 @@ def _all(xml: Column, element: str, attribute: str) -> Column:
     return F.xpath(xml, F.lit(f"//*[local-name()='{element}']/@{attribute}"))
 
 
+def well_formed(xml: Column) -> Column:
+    """Whether a text is XML that can be read; null and empty ones are not."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "rowTag": "ROW"}
+    parsed = F.from_xml(xml, "broken string", options)
+    return F.coalesce((F.trim(xml) != "") & parsed["broken"].isNull(), F.lit(False))
+
+
+def package_errors(entries: DataFrame) -> DataFrame:
+    """archive_id and error of each archive (archive_id, path, content): DECODE_FAILED where no package document can be read.
+
+    One broken book is no trouble to the others.
+    """
+    read = packages(entries).select("archive_id").distinct().withColumn("__read", F.lit(True))
+    every = entries.select("archive_id").distinct()
+    return every.join(read, "archive_id", "left").select("archive_id", F.when(F.col("__read").isNull(), "DECODE_FAILED").alias("error"))
+
+
 def is_protected(entries: DataFrame) -> DataFrame:
     """archive_id of books with encrypted content."""
     return entries.where(F.lower("path") == "meta-inf/encryption.xml").select("archive_id").distinct()
 
 
 def packages(entries: DataFrame) -> DataFrame:
-    """archive_id, folder and opf (the package document) of the books among archives (archive_id, path, content)."""
-    container = entries.where(F.lower("path") == "meta-inf/container.xml")
-    named = container.select("archive_id", F.get(_all(_text(F.col("content")), "rootfile", "full-path"), 0).alias("path"))
+    """archive_id, folder and opf (the package document) of the books among archives (archive_id, path, content).
+
+    Books whose container or package is no XML are left out: package_errors() names them.
+    """
+    container = entries.where(F.lower("path") == "meta-inf/container.xml").withColumn("__xml", _text(F.col("content")))
+    path = F.when(well_formed(F.col("__xml")), F.get(_all(F.col("__xml"), "rootfile", "full-path"), 0))
+    named = container.select("archive_id", path.alias("path"))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    return entries.join(named, ["archive_id", "path"]).select("archive_id", folder.alias("folder"), _text(F.col("content")).alias("opf"))
+    found = entries.join(named, ["archive_id", "path"]).select("archive_id", folder.alias("folder"), _text(F.col("content")).alias("opf"))
+    return found.where(well_formed(F.col("opf")))
 
 
 def spine(books: DataFrame) -> DataFrame:

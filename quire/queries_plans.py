@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import choices, geometry, names, numbers, text
-from .operators import archives, html, pages, split
+from .operators import archives, batches, epub, html, pages, split
 from .plans import media
 from .queries import _entries, _moved, _OLD, _pages, _parts, _read, query
 
@@ -279,3 +279,57 @@ def diff_reports(spark, sf_dir):
     added = F.array(F.struct(F.lit("+").alias("op"), F.lit("<last>").alias("line")))
     page = html.diff_report(F.concat(same, added), F.lit("a & b"), F.lit("c"))
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(page).alias("page"))
+
+
+# Images in batches
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R' AND l_linenumber > 1) OVER (PARTITION BY l_orderkey, l_linenumber) AS p FROM lineitem)
+SELECT l_orderkey AS file_id, CAST(coalesce(min(CASE WHEN p THEN l_linenumber END), min(l_linenumber)) AS INT) AS ord FROM l GROUP BY l_orderkey""")
+def primary_images(spark, sf_dir):
+    flag = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 1)
+    frames = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("ord"), F.when(flag, True).alias("is_primary"))
+    return batches.primary_images(frames).select("file_id", "ord")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_linenumber % 4 <> 0 AND l_returnflag <> 'R' AND l_discount < 0.09 AND l_quantity % 7 > 0 AND l_quantity < l_extendedprice / 1000 THEN 'reencoded' ELSE 'original' END AS kept FROM lineitem""")
+def kept_encodings(spark, sf_dir):
+    filters = F.when(F.col("l_linenumber") % 4 == 0, "/FlateDecode").otherwise("/DCTDecode")
+    may = batches.may_reencode(filters, F.when(F.col("l_returnflag") == "R", True), F.col("l_discount") >= 0.09)
+    new = F.when(F.col("l_quantity") % 7 > 0, F.col("l_quantity"))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", batches.kept_encoding(may, F.col("l_extendedprice") / 1000, new).alias("kept"))
+
+
+_IMAGES = """SELECT conv_id AS batch_id, CAST(turn AS INT) AS ord, role || CASE turn % 2 WHEN 0 THEN '.jpg' ELSE '.png' END AS name, role FROM conversations"""
+
+
+def _images(spark, sf_dir):
+    name = F.concat("role", F.when(F.col("turn") % 2 == 0, ".jpg").otherwise(".png"))
+    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").cast("int").alias("ord"), name.alias("name"))
+
+
+@query(f"""
+SELECT batch_id, ord, name, CASE WHEN k = 1 THEN role || '.pdf' ELSE role || '-' || CAST(k AS VARCHAR) || '.pdf' END AS document, CAST(0 AS INT) AS page0
+FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, role ORDER BY ord) AS k FROM ({_IMAGES}))""")
+def documents_of_images(spark, sf_dir):
+    return batches.image_documents(_images(spark, sf_dir), each=True)
+
+
+@query(f"""
+SELECT batch_id, ord, name, 'images.pdf' AS document, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY ord) - 1 AS INT) AS page0 FROM ({_IMAGES})""")
+def images_as_one_document(spark, sf_dir):
+    return batches.image_documents(_images(spark, sf_dir))
+
+
+@query("""
+SELECT conv_id AS archive_id, CASE WHEN conv_id % 3 = 1 OR conv_id % 5 = 2 THEN 'DECODE_FAILED' END AS error FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def broken_books(spark, sf_dir):
+    """Books with a broken package, a broken container or neither, beside each other."""
+    book = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("archive_id")).distinct()
+    key = F.col("archive_id")
+    container = F.when(key % 5 == 2, "<container><rootfile full-path='OEBPS/a.opf'>").otherwise("<container><rootfiles><rootfile full-path='OEBPS/a.opf'/></rootfiles></container>")
+    opf = F.when(key % 3 == 1, F.lit("<package><manifest><item id='c'")).otherwise("<package><manifest><item id='c' href='c.xhtml'/></manifest></package>")
+    part = lambda path, xml: book.select("archive_id", F.lit(path).alias("path"), F.to_binary(xml, F.lit("utf-8")).alias("content"))
+    return epub.package_errors(part("META-INF/container.xml", container).unionByName(part("OEBPS/a.opf", opf)))

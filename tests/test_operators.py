@@ -446,6 +446,20 @@ def test_plans_with_a_tool(spark, tmp_path):
     assert {r.error for r in run_plans(plans, str(broken)).collect()} == {"TOOL_MISSING"}
 
 
+def test_second_plans_and_cores(spark, tmp_path):
+    """A plan that fails is followed by the row's second one; a tool of several threads has tasks of as many cores."""
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\ncase $1 in good) cat in > out;; *) exit 3;; esac\n")
+    tool.chmod(0o755)
+    rows = [("a", ["good"], ["bad"]), ("b", ["bad"], ["good"]), ("c", ["bad"], ["bad"]), ("d", ["bad"], None)]
+    schema = "file_id string, argv array<string>, argv_again array<string>, input_name string, output_name string, content binary"
+    plans = spark.createDataFrame([(i, a, b, "in", "out", b"x") for i, a, b in rows], schema)
+    found = {r.file_id: (r.content and bytes(r.content), r.error) for r in run_plans(plans, str(tool), 5).collect()}
+    assert found == {"a": (b"x", None), "b": (b"x", None), "c": (None, "DECODE_FAILED"), "d": (None, "DECODE_FAILED")}
+    profile = lambda cores: run_plans(plans, str(tool), 5, cores)._jdf.queryExecution().analyzed().profile()
+    assert profile(1).isEmpty() and profile(3).get().taskResources().apply("cpus").amount() == 3.0
+
+
 def test_catalog(spark):
     found = catalog.operators(spark)
     assert found.count() == 70 and found.select("id").distinct().count() == 70
