@@ -15,7 +15,7 @@ from quire.operators import archives, epub, html, images, pages, regions, split,
 from quire.plans import catalog, jobs
 from quire.plans.run import run_plans
 from quire.sources import files
-from quire.streaming import ingest
+from quire.streaming import ingest, naming
 
 
 @pytest.fixture
@@ -460,6 +460,22 @@ def test_second_plans_and_cores(spark, tmp_path):
     assert profile(1).isEmpty() and profile(3).get().taskResources().apply("cpus").amount() == 3.0
 
 
+def test_names_of_a_stream(spark, tmp_path):
+    """As one batch over the same files, with a restart in between."""
+    rng = random.Random(5)
+    rows = [(a, i, rng.choice(["x.txt", "x.txt", "x-2.txt", "x-2-2.txt", ".env", "b"])) for i in range(12) for a in (1, 2)]
+    entries = spark.createDataFrame(rows, "archive_id long, ord int, name string")
+    timed = entries.withColumn("modified", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ord")))
+    for first, last in ((0, 5), (5, 12)):
+        timed.where(f"ord >= {first} and ord < {last}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in"))
+        write = naming.unique_names(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query = write.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    found = {(r.archive_id, r.ord): r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {(r.archive_id, r.ord): r.name for r in archives.unique_names(entries).collect()} and len(found) == len(rows)
+
+
 def test_catalog(spark):
     found = catalog.operators(spark)
     assert found.count() == 70 and found.select("id").distinct().count() == 70
