@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from ..functions.text import escape_html
 SKIPPED = frozenset("script style head title noscript".split())
 BLOCKS = frozenset("p div section article blockquote pre figcaption td th".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
+REFERENCE = r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?"
 
 
 class _Blocks(HTMLParser):
@@ -74,19 +77,26 @@ class _Blocks(HTMLParser):
             self.cut |= self.most is not None and len(data) > self.most
 
 
-def blocks_of(page: str | None, most: int | None = None) -> list[tuple]:
+def _ended_references(page: str) -> str:
+    """The page with every & escaped that begins no reference ended by a semicolon."""
+    known = lambda m: m[1] and (m[1][0] == "#" or m[1] in html5)
+    return re.sub(REFERENCE, lambda m: m[0] if known(m) else "&amp;" + m[0][1:], page)
+
+
+def blocks_of(page: str | None, most: int | None = None, ended: bool = False) -> list[tuple]:
     parser = _Blocks(most)
-    parser.feed(page or "")
+    parser.feed(_ended_references(page or "") if ended else page or "")
     parser.close()
     parser.flush()
     return parser.found
 
 
-def html_blocks(pages: DataFrame, key: str, html: str = "html", most: int | None = None) -> DataFrame:
+def html_blocks(pages: DataFrame, key: str, html: str = "html", most: int | None = None, ended: bool = False) -> DataFrame:
     """key, block, kind (heading, paragraph, listitem, image), level, text, href and cut of every block of every page.
 
     cut tells of blocks that lost text because most, a limit to the characters of a run of
-    text, is given; without it nothing is cut.
+    text, is given; without it nothing is cut. HTML also reads old references that no semicolon
+    ends, such as &amp before a tag; ended leaves those as they are written, as in XML.
     """
     kind = pages.schema[key].dataType.simpleString()
 
@@ -97,7 +107,7 @@ def html_blocks(pages: DataFrame, key: str, html: str = "html", most: int | None
         for batch in batches:
             rows, owners = [], []
             for i, page in enumerate(batch.column("html")):
-                own = blocks_of(page.as_py(), most)
+                own = blocks_of(page.as_py(), most, ended)
                 rows += [(b, *x) for b, x in enumerate(own)]
                 owners += [i] * len(own)
             if rows:

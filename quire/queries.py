@@ -425,7 +425,7 @@ f AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(rep
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS block, CASE WHEN tag LIKE '/h_' THEN 'heading' WHEN tag = '/li' THEN 'listitem' ELSE 'paragraph' END AS kind,
   CASE WHEN tag LIKE '/h_' THEN CAST(tag[3:] AS INT) END AS level, text, CAST(NULL AS VARCHAR) AS href, false AS cut FROM f WHERE text <> ''""")
 def html_blocks(spark, sf_dir):
-    return html.html_blocks(_read(spark, sf_dir, "pages"), "page_id")
+    return html.html_blocks(_read(spark, sf_dir, "pages"), "page_id", ended=True)
 
 
 @query("""

@@ -221,6 +221,14 @@ def test_html_blocks(spark):
     ]
 
 
+def test_references_without_a_semicolon(spark):
+    page = '<h1>a&amp;&amp</h1><p>&lt &copy;&copyx &am &#65;&#65 &nope; & <img src="p?a=1&copy=2">'
+    frame = spark.createDataFrame([(1, page)], "id long, html string")
+    read = lambda **how: [r.text or r.href for r in html.html_blocks(frame, "id", **how).orderBy("block").collect()]
+    assert read(ended=True) == ["a&&amp", "&lt ©&copyx &am A&#65 &nope; &", "p?a=1&copy=2"]
+    assert read()[:2] == ["a&&", "< ©©x &am AA &nope; &"]
+
+
 def decode_png(data):
     assert data[:8] == b"\x89PNG\r\n\x1a\n"
     at, chunks = 8, {}
