@@ -1,4 +1,7 @@
-"""Numbers as untyped option bags give them: coercion, rounding and clamping."""
+"""Numbers as untyped option bags give them: coercion, rounding and clamping.
+
+Built without lambdas: Spark compiles no expression that has one in it, nor what is around it.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .arrays import let
 
-NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 #: White space that trimming removes, spelled out because \s is ASCII only.
 BLANK = r"[\x09-\x0D\x20\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
@@ -25,15 +28,17 @@ def half_up(x: Column) -> Column:
 def as_number(value: Column) -> Column:
     """A string as a double: blank is 0, decimals and exponents count, anything else is null."""
     text = value.cast("string")
-    bare = let(trim_all(text), lambda t: F.when(t == "", 0.0).when(t.rlike(NUMBER), t.try_cast("double")))
-    return F.when(text.rlike(NUMBER), text.try_cast("double")).otherwise(bare)  # most need no trimming
+    number = F.regexp_extract(text, rf"^{BLANK}*({NUMBER}){BLANK}*\z", 1).try_cast("double")
+    return F.coalesce(number, F.when(text.rlike(rf"^{BLANK}*\z"), 0.0))
 
 
 def clamp_int(value: Column, low: int, high: int, default: int) -> Column:
     """The value rounded and limited to [low, high]; default if it is no number. A null counts as 0."""
     limited = lambda n: F.least(F.lit(high), F.greatest(F.lit(low), half_up(n)))
     number = as_number(F.coalesce(value.cast("string"), F.lit("0")))
-    return let(number, lambda n: F.when(n.isNull(), default).otherwise(limited(n)).cast("int"))
+    if low <= default <= high:
+        return limited(F.coalesce(number, F.lit(float(default)))).cast("int")
+    return F.when(number.isNull(), default).otherwise(limited(number)).cast("int")
 
 
 def read_int(value: Column, default: int, low: int, high: int) -> Column:
@@ -54,13 +59,14 @@ def read_bool(value: Column) -> Column:
 
 
 def non_negative(value: Column, default: float = 0.0) -> Column:
-    return let(as_number(value), lambda n: F.when(n >= 0, n).otherwise(default))
+    number = as_number(value)
+    return F.when(number >= 0, number).otherwise(default)
 
 
 def plain(x: Column, digits: int) -> Column:
     """A number with at most so many decimals and no trailing zeros, as a string."""
-    fixed = F.format_string(f"%.{digits}f", x.cast("double"))
-    return F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    fixed = F.nullif(F.format_string(f"%.{digits}f", x.cast("double")), F.lit("null"))
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")) if digits else fixed
 
 
 def volume_factor(percent: Column) -> Column:
@@ -80,13 +86,7 @@ def quarter_turns(degrees: Column) -> Column:
 
 def timecode_seconds(text: Column) -> Column:
     """Seconds of S, S.f, M:S or H:M:S; null if it is none of them or a smaller unit reaches 60."""
-    pattern = r"^(?:(?:(\d+):)?(\d+):)?(\d+(?:\.\d+)?)\z"
-
-    def seconds(bare: Column) -> Column:
-        parts = F.array(*[F.regexp_extract(bare, pattern, i) for i in (1, 2, 3)])
-        whole = let(parts, lambda p: F.struct(F.transform(p, lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))).alias("n"), (F.get(p, 1) != "").alias("larger")))
-        return let(whole, lambda w: F.when(
-            ~w["larger"] | ((w["n"][2] < 60) & (w["n"][1] < 60)), w["n"][0] * 3600 + w["n"][1] * 60 + w["n"][2]
-        ))
-
-    return let(trim_all(text), lambda bare: F.when(bare.rlike(pattern), seconds(bare)))
+    part = lambda pattern, i: F.regexp_extract(text, rf"^{BLANK}*{pattern}{BLANK}*\z", i).try_cast("double")
+    hours, minutes, seconds = (part(r"(?:(\d+):)?0*([0-5]?\d):0*([0-5]?\d(?:\.\d+)?)", i) for i in (1, 2, 3))
+    below = F.nullif(seconds, F.lit(60.0))  # 59 and many nines
+    return F.coalesce(part(r"(\d+(?:\.\d+)?)", 1), F.coalesce(hours, F.lit(0.0)) * 3600 + minutes * 60 + below)

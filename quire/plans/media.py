@@ -1,15 +1,17 @@
 """Argument lists for media and PDF tools, built from option columns.
 
 A plan is an array<string>. Options are columns by name, missing ones count as null and
-take their defaults; options at their defaults add no arguments.
+take their defaults; options at their defaults add no arguments. As in functions.numbers
+nothing is a lambda, and a value is written down once where it can be: Spark runs it as often.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from ..functions.numbers import (
     as_number, clamp_int, half_up, non_negative, plain, read_bool, read_enum, timecode_seconds, volume_factor,
 )
@@ -41,40 +43,68 @@ ROTATIONS = {"90": "transpose=1", "180": "hflip,vflip", "270": "transpose=2"}
 CPU_USED = {"realtime": "8", "good": "5", "best": "0"}
 FLIPS = {"Horizontal": "hflip", "Vertical": "vflip", "Both": "hflip,vflip"}
 MAX_CROP = 8192
+#: Plans are built once for each set of options up to so many sets, of so many bytes.
+SETTINGS, SETTINGS_BYTES = 4096, 1 << 20
 
 
 def argv(*parts: str | Column | list) -> Column:
     """array<string> of the parts in order; null parts drop out, lists stand for a flag and its value."""
-    def flagged(flags: list, value: Column) -> Column:
-        none = F.expr("cast(array() as array<string>)")
-        return let(value.cast("string"), lambda v: F.when(v.isNotNull(), F.array(*map(F.lit, flags), v)).otherwise(none))
+    none = F.expr("cast(array() as array<string>)")
 
-    arrays = []
-    for part in parts:
-        if isinstance(part, list) and not isinstance(part[-1], str):
-            arrays.append(flagged(part[:-1], part[-1]))
-        elif isinstance(part, list):
-            arrays.append(F.array(*map(F.lit, part)))
-        else:
-            arrays.append(F.array(F.lit(part) if isinstance(part, str) else part.cast("string")))
-    return F.filter(F.concat(*arrays), lambda x: x.isNotNull())
+    def flagged(flags: list, value: Column) -> Column:
+        """The flags and the value, empty for null; split into so many, the value stays whole whatever it holds."""
+        text = F.concat(F.lit("".join(f"{x}\0" for x in flags)), value.cast("string")) if flags else value.cast("string")
+        return F.coalesce(F.split(text, "\0", len(flags) + 1), none)
+
+    arrays, fixed = [], []
+    for part in [*parts, None]:
+        if isinstance(part, str) or (isinstance(part, list) and isinstance(part[-1], str)):
+            fixed += [part] if isinstance(part, str) else part
+            continue
+        if fixed:
+            arrays.append(F.array(*map(F.lit, fixed)))
+            fixed = []
+        if part is not None:
+            arrays.append(flagged(part[:-1], part[-1]) if isinstance(part, list) else flagged([], part))
+    return F.concat(*arrays)
+
+
+def planned(rows: DataFrame, keep: list[str], options: Options, plans: Callable[[Options], dict[str, Column]]) -> DataFrame:
+    """The columns to keep and, by name, what plans() makes of the options as strings.
+
+    Many rows share few sets of options, as a rule: then each set is planned once and joined
+    to its rows. Where the sets are many, every row is planned by itself.
+    """
+    given = rows.select(*keep, *[v.cast("string").alias(f"__{k}") for k, v in options.items()])
+    sets = given.select(*[f"__{k}" for k in options]).distinct()
+    size = F.sum(sum((F.coalesce(F.octet_length(f"__{k}"), F.lit(0)) for k in options), F.lit(0)))
+    n, held = sets.limit(SETTINGS + 1).agg(F.count("*"), size).head()
+    if n > SETTINGS or (held or 0) > SETTINGS_BYTES:
+        return given.select(*keep, *[v.alias(k) for k, v in plans({k: F.col(f"__{k}") for k in options}).items()])
+    sets = sets.select(*[F.col(f"__{k}").alias(f"__of_{k}") for k in options])
+    made = plans({k: F.col(f"__of_{k}") for k in options})
+    sets = sets.select("*", *[v.alias(k) for k, v in made.items()])
+    same = [F.col(f"__{k}").eqNullSafe(F.col(f"__of_{k}")) for k in options]
+    return given.join(F.broadcast(sets), same).select(*keep, *made)
 
 
 def _option(options: Options, name: str) -> Column:
     return options.get(name, F.lit(None).cast("string"))
 
 
-def _unless(value: Column, default: str) -> Column:
-    return let(value, lambda v: F.when(v != default, v))
-
-
 def _enum(options: Options, name: str, allowed: list[str], default: str) -> Column:
     return read_enum(_option(options, name), allowed, default)
 
 
+def _set(options: Options, name: str, allowed: list[str], default: str) -> Column:
+    """Like _enum(), null for the default."""
+    value = _option(options, name)
+    return F.when(value.isin(*[x for x in allowed if x != default]), value)
+
+
 def _joined(separator: str, *parts: Column) -> Column:
     """The parts that are not null, joined; null if none is left."""
-    return let(F.concat_ws(separator, *parts), lambda text: F.when(text != "", text))
+    return F.nullif(F.concat_ws(separator, *parts), F.lit(""))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -83,15 +113,13 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def _fades(options: Options) -> tuple[Column, Column]:
     length = lambda name: clamp_int(F.coalesce(_option(options, name), F.lit("0")), 0, 60, 0)
-    fade = lambda n: F.concat(F.lit("afade=t=in:st=0:d="), n.cast("string"))
-    reverse = F.lit("areverse")
-    fade_in = let(length("fadeIn"), lambda n: F.when(n > 0, fade(n)))
-    return fade_in, let(length("fadeOut"), lambda n: F.when(n > 0, F.concat_ws(",", reverse, fade(n), reverse)))
+    fade = lambda name: F.concat(F.lit("afade=t=in:st=0:d="), F.nullif(length(name), F.lit(0)).cast("string"))
+    return fade("fadeIn"), F.concat(F.lit("areverse,"), fade("fadeOut"), F.lit(",areverse"))
 
 
 def _volume(options: Options) -> Column:
     percent = clamp_int(F.coalesce(_option(options, "volume"), F.lit("100")), 50, 200, 100)
-    return let(percent, lambda p: F.when(p != 100, F.concat(F.lit("volume="), volume_factor(p))))
+    return F.concat(F.lit("volume="), volume_factor(F.nullif(percent, F.lit(100))))
 
 
 def seconds_text(x: Column) -> Column:
@@ -119,9 +147,9 @@ def audio(source: Column, target: Column, format: str | None, options: Options |
         *([["-c:a", codec]] if codec else []),
         ["-filter:a", audio_filters(options)],
         ["-q:a", F.when(vbr, quality) if lossy else F.lit(None).cast("string")],
-        ["-b:a", F.when(~vbr, _unless(bitrate, "auto")) if lossy else F.lit(None).cast("string")],
-        ["-ar", _unless(_enum(options, "sampleRate", SAMPLE_RATES, "auto"), "auto")],
-        ["-ac", _unless(_enum(options, "channels", CHANNELS, "auto"), "auto")],
+        ["-b:a", F.when(~vbr, _set(options, "bitrate", BITRATES, "auto")) if lossy else F.lit(None).cast("string")],
+        ["-ar", _set(options, "sampleRate", SAMPLE_RATES, "auto")],
+        ["-ac", _set(options, "channels", CHANNELS, "auto")],
         target,
     )
 
@@ -175,8 +203,7 @@ def gif_filter(options: Options | None = None) -> Column:
 def _trim(options: Options) -> tuple[Column, Column]:
     """Start and end of a trim in seconds, null where unset; an end not after the start is no end."""
     start, end = non_negative(_option(options, "trimStart")), non_negative(_option(options, "trimEnd"))
-    later = let(F.struct(start.alias("start"), end.alias("end")), lambda t: F.when(t["end"] > t["start"], seconds_text(t["end"])))
-    return let(start, lambda s: F.when(s > 0, seconds_text(s))), later
+    return F.when(start > 0, seconds_text(start)), F.when(end > start, seconds_text(end))
 
 
 def mp4_to_gif(options: Options | None = None) -> Column:
@@ -200,8 +227,8 @@ def _video_audio(options: Options, codec: Column | str) -> list:
     return [
         ["-af", _joined(",", _volume(options), *_fades(options))],
         ["-c:a", codec],
-        ["-b:a", _unless(_enum(options, "bitrate", BITRATES, "auto"), "auto")],
-        ["-ar", _unless(_enum(options, "sampleRate", SAMPLE_RATES, "auto"), "auto")],
+        ["-b:a", _set(options, "bitrate", BITRATES, "auto")],
+        ["-ar", _set(options, "sampleRate", SAMPLE_RATES, "auto")],
     ]
 
 
@@ -269,12 +296,11 @@ def crop_geometry(options: Options | None = None) -> Column:
     def side(name: str, default: int) -> Column:
         n = as_number(F.coalesce(_option(options, name), F.lit("x")))
         whole = F.when(n >= 1, F.least(F.lit(MAX_CROP), half_up(n))).otherwise(default)
-        return F.greatest(F.lit(2), whole - whole % 2).cast("int")
+        return F.greatest(F.lit(2), F.floor(whole / 2) * 2).cast("int")
 
     def offset(name: str, size: Column) -> Column:
         n = as_number(_option(options, name))
-        whole = F.when(n >= 0, F.least(F.lit(MAX_CROP), half_up(n))).otherwise(0)
-        return F.least(whole, F.lit(MAX_CROP) - size).cast("int")
+        return F.least(F.greatest(F.lit(0), half_up(n)), F.lit(MAX_CROP) - size).cast("int")
 
     w, h = side("cropW", 640), side("cropH", 480)
     return F.struct(w.alias("w"), h.alias("h"), offset("cropX", w).alias("x"), offset("cropY", h).alias("y"))

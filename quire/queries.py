@@ -677,8 +677,8 @@ def audio_options_argv(spark, sf_dir):
         "bitrate": pick(n, "auto", "320k", "128k", "999k"), "vbr": (n >= 2).cast("string"), "sampleRate": pick(n, "44100", "8000", "44100", "auto"),
         "channels": pick(n, "auto", "2", "6", "auto"),
     }
-    plan = media.audio(F.lit("in.mp4"), F.lit("out.m4a"), "m4a", options, drop_video=True)
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(plan, " ").alias("argv"))
+    plan = lambda given: {"argv": F.array_join(media.audio(F.lit("in.mp4"), F.lit("out.m4a"), "m4a", given, drop_video=True), " ")}
+    return media.planned(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], options, plan)
 
 
 @query("""

@@ -191,3 +191,41 @@ def test_many_matches(spark):
 def test_read_int(spark):
     values = value(spark, numbers.read_int(F.col("x"), 30, 5, 100), rows=((None,), ("7.5",), ("",), ("x",), ("1e9",), ("-3",)))
     assert values == [30, 8, 5, 30, 100, 5]
+
+
+@pytest.mark.parametrize(
+    ("given_", "expected"),
+    [("5.", 5.0), (".5", 0.5), (" 1e2\t", 100.0), (" \n", 0.0), ("", 0.0), ("1d", None), ("NaN", None), ("1 2", None), (None, None), ("-0x1", None)],
+)
+def test_as_number(spark, given_, expected):
+    assert one(spark, numbers.as_number(F.lit(given_).cast("string"))) == expected
+
+
+@pytest.mark.parametrize(
+    ("given_", "expected"),
+    [("1:59.99999999999999999", None), (" 1:05 ", 65.0), ("1:005", 65.0), ("007:00", 420.0), ("90.5", 90.5), ("0:90", None), ("1:2:3:4", None), ("1:", None), (None, None)],
+)
+def test_timecode_edges(spark, given_, expected):
+    assert one(spark, numbers.timecode_seconds(F.lit(given_).cast("string"))) == expected
+
+
+def test_plans_need_no_lambda(spark):
+    """Spark would not compile a projection with one in it."""
+    options = {k: F.col("x") for k in ("trimStart", "trimEnd", "volume", "fadeIn", "fadeOut", "bitrate", "vbr", "cropW", "cropX")}
+    rows = spark.createDataFrame([("5",), (None,), ("a\0b",)], "x string")
+    plans = rows.select(media.audio(F.col("x"), F.lit("o"), "m4a", options).alias("a"), media.video_crop(F.col("x"), options).alias("v"))
+    assert "lambda" not in plans._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = [r.a for r in plans.collect()]
+    assert found[1] == ["-i", "-c:a", "aac", "o"] and found[2][:2] == ["-i", "a\0b"] and found[2][-1] == "o"
+    assert found[0] == ["-i", "5", "-c:a", "aac", "-filter:a", "atrim=start=5:end=5,asetpts=N/SR/TB,volume=0.5,afade=t=in:st=0:d=5,areverse,afade=t=in:st=0:d=5,areverse", "o"]
+
+
+@pytest.mark.parametrize("most", [1, 4096])
+def test_plans_for_sets_of_options(spark, monkeypatch, most):
+    """The same plans whether made for each set or for each row, nulls among the options."""
+    monkeypatch.setattr(media, "SETTINGS", most)
+    given_ = [(i, v) for i, v in enumerate([None, "5", "5", "x", None, ""])]
+    rows = spark.createDataFrame(given_, "id long, v string")
+    found = media.planned(rows, ["id"], {"fadeIn": F.col("v"), "bitrate": F.lit("96k")}, lambda o: {"argv": media.audio(F.lit("i"), F.lit("o"), "mp3", o)})
+    expected = {i: ["-i", "i", "-c:a", "libmp3lame", *(["-filter:a", "afade=t=in:st=0:d=5"] if v == "5" else []), "-b:a", "96k", "o"] for i, v in given_}
+    assert {r.id: r.argv for r in found.collect()} == expected and found.columns == ["id", "argv"]
