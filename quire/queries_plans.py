@@ -153,8 +153,8 @@ def audio_formats_argv(spark, sf_dir):
     """Every other audio format: lossless ones take no bitrate."""
     n = F.col("l_linenumber")
     options = {"bitrate": F.when(n % 2 == 0, "96k"), "sampleRate": F.when(n % 3 == 0, "22050"), "channels": F.when(n % 3 == 0, "1")}
-    plans = {name: media.audio(F.lit("in.x"), F.lit(f"out.{name}"), name, options) for name, _, _ in _FORMATS}
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.array_join(v, " ").alias(k) for k, v in plans.items()])
+    plans = lambda given: {name: F.array_join(media.audio(F.lit("in.x"), F.lit(f"out.{name}"), name, given), " ") for name, _, _ in _FORMATS}
+    return media.planned(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], options, plans)
 
 
 # Option readers
