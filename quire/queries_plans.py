@@ -54,13 +54,19 @@ FROM ({_LINES})""")
 def video_short_argv(spark, sf_dir):
     """Flip, reverse, mute, GIF to MP4, crop and a smaller GIF, with known, unknown and missing choices."""
     kind, rate = F.col("l_linenumber") % 4, F.concat(_quantity().cast("string"), F.lit("k"))
-    crop = {"cropW": (_quantity() * 31).cast("string"), "cropH": F.lit("0"), "cropX": F.col("l_linenumber").cast("string"), "cropY": F.lit("-1")}
-    plans = {
-        "flip": media.flip_video(_pick(kind, "Horizontal", "Vertical", "Both", "?"), rate), "reversed": media.reverse_video(rate),
-        "muted": media.mute_video(), "from_gif": media.gif_to_mp4(), "cropped": media.video_crop(rate, crop),
-        "small": media.compress_gif(_pick(kind, "Balanced", "Smaller", "Better", "best")),
+    options = {
+        "cropW": (_quantity() * 31).cast("string"), "cropH": F.lit("0"), "cropX": F.col("l_linenumber").cast("string"), "cropY": F.lit("-1"),
+        "rate": rate, "flip": _pick(kind, "Horizontal", "Vertical", "Both", "?"), "level": _pick(kind, "Balanced", "Smaller", "Better", "best"),
     }
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.array_join(v, " ").alias(k) for k, v in plans.items()])
+
+    def plans(given):
+        found = {
+            "flip": media.flip_video(given["flip"], given["rate"]), "reversed": media.reverse_video(given["rate"]), "muted": media.mute_video(),
+            "from_gif": media.gif_to_mp4(), "cropped": media.video_crop(given["rate"], given), "small": media.compress_gif(given["level"]),
+        }
+        return {k: F.array_join(v, " ") for k, v in found.items()}
+
+    return media.planned(_read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], options, plans)
 
 
 _SOUND = """CASE WHEN v <> 100 OR fi > 0 OR fo > 0 THEN ' -af ' || concat_ws(',', CASE v WHEN 50 THEN 'volume=0.5' WHEN 200 THEN 'volume=2' END,
