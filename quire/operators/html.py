@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ..functions.text import escape_html
 SKIPPED = frozenset("script style head title noscript".split())
 BLOCKS = frozenset("p div section article blockquote pre figcaption td th".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
+#: Scripts are handed on once they hold so many bytes; a line counts as its characters and so many more.
+SCRIPT_BYTES, LINE_BYTES = 4 << 20, 160
 REFERENCE = r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?"
 
 
@@ -178,23 +181,38 @@ def lines_of(text: str) -> list[str]:
     return lines[:-1] if lines and lines[-1] == "" else lines
 
 
-def line_diff(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
-    """key and diff, array<struct<op, line>>, of each pair of texts; a pair is compared in its row."""
-    kind = pairs.schema[key].dataType.simpleString()
+def _scripts(batches: Iterator):
+    """key and diff of batches of key, a and b, handed on in parts of SCRIPT_BYTES or one pair."""
+    import pyarrow as pa
 
-    def run(batches: Iterator):
-        import pyarrow as pa
+    shape = pa.list_(pa.struct([("op", pa.string()), ("line", pa.string())]))
+    def packed(keys, scripts: list):
+        lines = [pa.array([x[i] for script in scripts for x in script], pa.string()) for i in (0, 1)]
+        ends = pa.array(accumulate(map(len, scripts), initial=0), pa.int32())
+        diff = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(lines, fields=list(shape.value_type)))
+        return pa.RecordBatch.from_arrays([keys, diff], names=["key", "diff"])
 
-        shape = pa.list_(pa.struct([("op", pa.string()), ("line", pa.string())]))
-        for batch in batches:
-            scripts = [
-                [{"op": op, "line": line} for op, line in edit_script(lines_of(x.as_py() or ""), lines_of(y.as_py() or ""))]
-                for x, y in zip(batch.column("a"), batch.column("b"), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scripts, shape)], names=["key", "diff"])
+    for batch in batches:
+        first, size, scripts = 0, 0, []
+        for i, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+            scripts.append(edit_script(lines_of(x.as_py() or ""), lines_of(y.as_py() or "")))
+            size += sum(len(line) + LINE_BYTES for _, line in scripts[-1])
+            if size > SCRIPT_BYTES:
+                yield packed(batch.column("key").slice(first, len(scripts)), scripts)
+                first, size, scripts = i + 1, 0, []
+        if scripts:
+            yield packed(batch.column("key").slice(first), scripts)
+
+
+def line_diff(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
+    """key and diff, array<struct<op, line>>, of each pair of texts; a pair is compared in its row.
+
+    A Python worker holds a batch of texts and scripts of SCRIPT_BYTES or one pair, not those of the whole batch.
+    """
+    kind = pairs.schema[key].dataType.simpleString()
 
     narrow = pairs.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
-    found = narrow.mapInArrow(run, f"key {kind}, diff array<struct<op: string, line: string>>")
+    found = narrow.mapInArrow(_scripts, f"key {kind}, diff array<struct<op: string, line: string>>")
     return found.withColumnRenamed("key", key)
 
 

@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,6 +213,21 @@ def test_diff(spark):
     assert [(x.op, x.line) for x in rows[3].diff] == [("+", "x")]
 
 
+def test_diff_hands_scripts_on(spark, monkeypatch):
+    """Batches that leave a worker hold few scripts, whatever a batch of pairs holds."""
+    monkeypatch.setattr(html, "SCRIPT_BYTES", 2000)
+    lines = "\n".join(f"line {i}" for i in range(10))
+    pairs = [(i, lines if i % 5 else None, f"{lines}\n{i}") for i in range(101)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pairs, strict=True)], names=["key", "a", "b"])
+    handed = list(html._scripts([batch, batch.slice(0, 0)]))
+    assert len(handed) == 51 and max(x.num_rows for x in handed) == 2
+    same = [(" ", x) for x in lines.split("\n")]
+    expected = {i: (same if i % 5 else [("+", x) for _, x in same]) + [("+", str(i))] for i, _, _ in pairs}
+    assert {k: [tuple(x.values()) for x in v] for x in handed for k, v in zip(*x.to_pydict().values(), strict=True)} == expected
+    found = html.line_diff(spark.createDataFrame(pairs, "id long, a string, b string"), "id")
+    assert {r.id: [tuple(x) for x in r.diff] for r in found.collect()} == expected
+
+
 def test_html_blocks(spark):
     page = '<body><h2>T</h2>loose<div>a<br>b &amp; c</div><ul><li>i</li></ul><img src="p.png"><style>x</style></body>'
     found = html.html_blocks(spark.createDataFrame([(7, page), (8, None)], "id long, html string"), "id").orderBy("block").collect()
