@@ -691,6 +691,19 @@ def test_items_without_an_id(spark):
     assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [1]
 
 
+def test_only_documents_with_places_are_shuffled(spark, monkeypatch):
+    """Where places are too large for a broadcast; the rows met in several rounds."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 64)
+    tokens = spark.range(100).select(F.col("id").alias("row"), F.array(F.lit("w")).alias("words"))
+    assert sorted(r.row for r in decontam._among(tokens, spark.range(0, 100, 7).toDF("row")).collect()) == list(range(0, 100, 7))
+    assert decontam._among(tokens, tokens.select("row")) is tokens and decontam._among(tokens, tokens.select("row").where("false")).count() == 0
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    bench = spark.createDataFrame([("long", " ".join(f"q{i}" for i in range(12))), ("short", "other words here")], "item_id string, text string")
+    docs = frame(spark, [f"other words here {i}" if i == 3 else f"nothing {i}" for i in range(9)])
+    found = {r.doc_id: (r.n_hit, r["items"], r.near_items) for r in decontam.contamination(docs, bench).collect()}
+    assert found == {i: (3, ["short"], ["short"]) if i == 3 else (0, [], []) for i in range(9)}
+
+
 def test_repetitive_items_and_texts(spark):
     """Places grow with the length of a text, not with that of the item times it."""
     bench = spark.createDataFrame([("one", "w " * 400), ("two", "a b c " * 150)], "item_id string, text string")
