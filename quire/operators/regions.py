@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, text_region
 from ..functions.text import MAY_MATCH, PII_PATTERNS, literal_pattern, match_spans
-from .lineage import stored
+from .lineage import bounded, stored
+
+#: In pages of up to so many regions each is compared with all others.
+CROWDED = 32
 
 
 def items_of_text(documents: DataFrame, page_w: float = 612.0, line_h: float = 12.0) -> DataFrame:
@@ -84,14 +87,38 @@ def _contained(distinct: DataFrame) -> DataFrame:
     return met.where(contains(F.col("__outer"), box) & (F.col("__outer") != box)).select("__page", "region").distinct()
 
 
-def drop_contained(regions: DataFrame, page: list[str]) -> DataFrame:
-    """The regions that lie inside no other of the page; of equal ones one stays.
+def _apart_within(regions: DataFrame, page: list[str]) -> DataFrame:
+    """drop_contained() for pages of few regions, each compared with all of its page: one shuffle and one sort."""
+    order = [c for c in ("__source",) if c in regions.columns]
+    same = F.struct("region")  # as a struct, so that null is equal to null
+    before = F.lag(same).over(Window.partitionBy(*page).orderBy("region", *order))
+    distinct = regions.withColumn("__before", before).where(~F.col("__before").eqNullSafe(same))
+    boxes = distinct.withColumn("__boxes", F.collect_list("region").over(Window.partitionBy(*page)))
+    box = F.col("region")
+    inside = F.exists("__boxes", lambda o: F.coalesce(contains(o, box) & (o != box), F.lit(False)))
+    return boxes.where(~inside).select(regions.columns)
 
-    Equal regions are collapsed first; the others meet by place, so a crowded page is neither
-    a square nor one task. Sizes are zero or more; nulls in page are a page.
-    """
+
+def _apart_by_place(regions: DataFrame, page: list[str]) -> DataFrame:
+    """drop_contained() for pages of any number of regions, which meet by place: neither a square nor one task."""
     order = [c for c in ("__source",) if c in regions.columns]
     first = Window.partitionBy(*page, "region").orderBy(*(order or [F.lit(1)]))
     distinct = regions.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
     distinct = stored(distinct.withColumn("__page", F.struct(*page)))  # as a struct, so that null is equal to null
-    return distinct.join(_contained(distinct.select("__page", "region")), ["__page", "region"], "left_anti").drop("__page")
+    return distinct.join(_contained(distinct.select("__page", "region")), ["__page", "region"], "left_anti").select(regions.columns)
+
+
+def drop_contained(regions: DataFrame, page: list[str]) -> DataFrame:
+    """The regions that lie inside no other of the page; of equal ones one stays.
+
+    Pages are counted first: in those of CROWDED regions or fewer all are compared, in others
+    regions meet by place. Sizes are zero or more; nulls in page are a page.
+    """
+    rows = stored(regions)
+    counts = rows.groupBy(*page).agg(F.count("*").alias("__n")).where(F.col("__n") > CROWDED)
+    crowded = stored(counts.select(F.struct(*page).alias("__page")))
+    if crowded.isEmpty():
+        return _apart_within(rows, page)
+    crowded, rows = bounded(crowded), rows.withColumn("__page", F.struct(*page))
+    few, many = (rows.join(crowded, "__page", how).drop("__page") for how in ("left_anti", "left_semi"))
+    return _apart_within(few, page).unionByName(_apart_by_place(many, page))

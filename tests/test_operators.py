@@ -104,6 +104,37 @@ def test_regions_by_place(spark, whole):
     assert set(got) == expected and len(got) == len(expected)
 
 
+def test_regions_of_small_pages(spark, monkeypatch):
+    """Pages of few regions take one shuffle and no join, and both ways agree: null pages, null regions, copies and other columns included."""
+    rng = random.Random(8)
+    box = lambda: tuple(rng.randint(0, 5) for _ in range(4)) if rng.random() < 0.95 else None
+    rows = [(d, rng.choice([0, 1, None]), box(), {"n": k}) for k, d in enumerate([1, 2, 3, None] * 15 + [4] * 90)]
+    df = spark.createDataFrame(rows, "doc_id long, page0 int, region struct<x: int, y: int, w: int, h: int>, note map<string, int>")
+    few = regions.drop_contained(df.where("doc_id < 4 or doc_id is null"), ["doc_id", "page0"])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and few.columns == df.columns
+    inside = lambda b, o: None not in (b, o) and b != o and o[0] <= b[0] and o[1] <= b[1] and b[0] + b[2] <= o[0] + o[2] and b[1] + b[3] <= o[1] + o[3]
+    expected = {(d, p, b) for d, p, b, _ in rows if not any((e, q) == (d, p) and inside(b, o) for e, q, o, _ in rows)}
+    held = lambda r: (r.doc_id, r.page0, r.region and tuple(r.region))
+    got = sorted(map(held, few.collect()), key=str)
+    assert got == sorted((k for k in expected if k[0] != 4), key=str)
+    for most in (0, 10, regions.CROWDED, 1000):
+        monkeypatch.setattr(regions, "CROWDED", most)
+        whole = regions.drop_contained(df, ["doc_id", "page0"]).collect()
+        assert sorted(map(held, whole), key=str) == sorted(expected, key=str)
+        assert all((r.doc_id, r.page0, r.region and tuple(r.region)) == rows[r.note["n"]][:3] for r in whole)
+        drawn = regions.unite(df.where("doc_id = 2"), df.where("doc_id = 2"))
+        assert sorted(map(held, drawn.collect()), key=str) == sorted((k for k in expected if k[0] == 2), key=str)
+
+
+def test_first_source_stays(spark, monkeypatch):
+    rows = [(1, 0, (0, 0, 2, 2), s, k) for k, s in enumerate([1, 1, 0, 1, 0])]
+    df = spark.createDataFrame(rows, "doc_id long, page0 int, region struct<x: int, y: int, w: int, h: int>, __source int, k int")
+    for most in (0, 32):
+        monkeypatch.setattr(regions, "CROWDED", most)
+        assert [r["__source"] for r in regions.drop_contained(df, ["doc_id", "page0"]).collect()] == [0]
+
+
 def test_detect(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co or\ncall 555-123-4567"), (2, "nothing")], "doc_id long, text string")
     found = regions.find_spans(regions.items_of_text(docs), term="CALL")
