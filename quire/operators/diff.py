@@ -1,28 +1,35 @@
 """Line differences of texts of any length, as relations of lines.
 
-Lines that stand once on both sides are anchors. The anchors of a long increasing chain
-cut both texts into gaps, in which further lines stand once, and so on until no gap gains
-an anchor; what is left of the gaps is compared in tasks of a gap each. All steps are
+A pair of up to GAP lines a side is collected into a row, by one shuffle, and gets a shortest
+script there. In larger texts lines that stand once on both sides are anchors. The anchors of a
+long increasing chain cut both texts into gaps, in which further lines stand once, and so on until
+no gap gains an anchor; what is left of the gaps is compared in a row for each gap. All steps are
 joins, running sums and groups of a bounded number of lines, so a pair of large texts is
-spread over many tasks. The script is a valid one and, as with anchors in general, not
-always the shortest.
+spread over many tasks. The script of large texts is a valid one and, as with anchors in general,
+not always the shortest.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html import edit_script
 from .lineage import stored
 from .prefix import sums_before
 
-#: Anchors of a slice, and lines of one side of a gap, that a task holds at most.
+#: Anchors of a slice, and lines of one side of a gap or pair, that a task or row holds at most.
 SLICE = 1 << 16
 GAP = 4096
+#: Bytes of lines of a pair that a row holds at most.
+PAIR_BYTES = 4 << 20
+#: Pairs of equal lines up to which their longest chain is sought; of more, as where a few lines fill both sides, scripts are shorter.
+MEETINGS = 1 << 20
 #: How often gaps are searched for new anchors at most; what is left goes to the last step.
 ROUNDS = 8
 
@@ -130,6 +137,75 @@ def _once(side: DataFrame, at: str) -> DataFrame:
     return side.groupBy("key", "gap", "h").agg(F.count("*").alias("n"), F.min(at).alias(at)).where("n = 1").drop("n")
 
 
+def common(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b, both increasing, of the most lines that both have in the same order."""
+    places = defaultdict(list)
+    for j, line in enumerate(b):
+        places[line].append(j)
+    own = [i for i, line in enumerate(a) if line in places]
+    if sum(len(places[a[i]]) for i in own) <= MEETINGS:
+        meetings = np.array([(i, j) for i in own for j in reversed(places[a[i]])], np.int64).reshape(-1, 2)
+        kept = meetings[increasing(meetings[:, 1])]
+        return kept[:, 0], kept[:, 1]
+    known = {a[i] for i in own}
+    other = [j for j, line in enumerate(b) if line in known]  # lines of one side only stay out of the search
+    x = y = 0
+    found = []
+    for op, _ in edit_script([a[i] for i in own], [b[j] for j in other]):
+        if op == " ":
+            found.append((own[x], other[y]))
+        x, y = x + (op != "+"), y + (op != "-")
+    kept = np.array(found, np.int64).reshape(-1, 2)
+    return kept[:, 0], kept[:, 1]
+
+
+def _commons(firsts, hashes) -> Iterator[tuple]:
+    """For each of hashes, lists of which the first so many are of a: where it begins, lines of a and of b, and what common() finds."""
+    import pyarrow.compute as pc
+
+    codes = pc.dictionary_encode(hashes.flatten()).indices.to_numpy()
+    begin = 0
+    for n, size in zip(firsts.to_pylist(), pc.list_value_length(hashes).to_pylist(), strict=True):
+        own, other = codes[begin : begin + n].tolist(), codes[begin + n : begin + size].tolist()
+        yield begin, len(own), len(other), *common(own, other)
+        begin += size
+
+
+def _lists(ends: list[int], names: list[str], columns: list[np.ndarray]):
+    """Lists of structs from their values and ends."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names))
+
+
+def _row_matches(firsts, hashes, places):
+    """i and j, of the places, of the lines that stay."""
+    at, found, ends = places.flatten().to_numpy(), [np.empty((0, 2), np.int64)], []
+    for begin, n, _, x, y in _commons(firsts, hashes):
+        found.append(np.column_stack([at[begin + x], at[begin + n + y]]))
+        ends.append(len(x) + (ends[-1] if ends else 0))
+    both = np.concatenate(found)
+    return _lists(ends, ["i", "j"], [both[:, 0], both[:, 1]])
+
+
+def _row_scripts(firsts, hashes):
+    """For every line the number of matches before it, and its kind: 0 removed, 1 added, 2 and 3 matched in a and in b."""
+    gaps, kinds, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+    for begin, n, m, x, y in _commons(firsts, hashes):
+        for size, hit, kind in ((n, x, 0), (m, y, 1)):
+            gaps.append(np.searchsorted(hit, np.arange(size)))
+            kinds.append(np.full(size, kind))
+            kinds[-1][hit] += 2
+        ends.append(begin + n + m)
+    return _lists(ends, ["gap", "kind"], [np.concatenate(gaps), np.concatenate(kinds)])
+
+
+def _collected(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys and rows, all other columns of lines in the order of side and at, and first, the number of rows of side 0."""
+    rest = ["side", "at", *[c for c in lines.columns if c not in (*keys, "side", "at")]]
+    return lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"), F.count_if(F.col("side") == 0).alias("first"))
+
+
 def _gap_matches(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     """Matches (key, i, j) within gaps; one of more than most lines on a side is cut into as many pieces on both."""
     size = lambda side, at, n, first: side.groupBy("key", "gap").agg(F.count("*").alias(n), F.min(at).alias(first))
@@ -138,29 +214,18 @@ def _gap_matches(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     piece = lambda at, first, n: F.floor((F.col(at) - F.col(first)) * F.col("pieces") / F.col(n)).alias("piece")
     left = _same(a, sizes, ["key", "gap"]).select("key", "gap", piece("i", "fa", "na"), F.lit(0).alias("side"), F.col("i").alias("at"), "h")
     right = _same(b, sizes, ["key", "gap"]).select("key", "gap", piece("j", "fb", "nb"), F.lit(1).alias("side"), F.col("j").alias("at"), "h")
+    pieces = _collected(left.unionByName(right), "key", "gap", "piece")
+    matches = F.arrow_udf(_row_matches, "array<struct<i: bigint, j: bigint>>")
+    return pieces.select("key", F.inline(matches("first", F.col("rows.h"), F.col("rows.at"))))
 
-    def compared(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("at")
-        sides = [rows[rows["side"] == k] for k in (0, 1)]
-        places = [s["at"].tolist() for s in sides]
-        x = y = 0
-        found = []
-        for op, _ in edit_script(*[s["h"].tolist() for s in sides]):
-            if op == " ":
-                found.append((places[0][x], places[1][y]))
-            x, y = x + (op != "+"), y + (op != "-")
-        key = rows["key"].iloc[:1].repeat(len(found)).reset_index(drop=True)
-        return pd.DataFrame({"key": key, "i": [i for i, _ in found], "j": [j for _, j in found]})
 
-    both = left.unionByName(right)
-    return both.groupBy("key", "gap", "piece").applyInPandas(compared, f"{_typed(both, 'key')}, i long, j long")
+def _digest(line: Column) -> Column:
+    return F.unhex(F.md5(line))
 
 
 def line_matches(a: DataFrame, b: DataFrame, most: int = GAP) -> DataFrame:
     """key, i and j of the lines that stay: a has key, i and line, b key, j and line, numbered from 0 on."""
-    digest = F.unhex(F.md5(F.coalesce("line", F.lit(""))))
+    digest = _digest(F.coalesce("line", F.lit("")))
     left = stored(a.select("key", F.col("i").cast("long").alias("i"), digest.alias("h")))
     right = stored(b.select("key", F.col("j").cast("long").alias("j"), digest.alias("h")))
     matches, open_a, open_b = None, left.withColumn("gap", F.lit(0).cast("long")), right.withColumn("gap", F.lit(0).cast("long"))
@@ -181,9 +246,33 @@ def line_script(a: DataFrame, b: DataFrame, most: int = GAP) -> DataFrame:
     op is " ", "-" or "+"; ordered by gap, kind and at the script reads from top to bottom,
     lines removed before lines added. Null keys are a pair; a null line is an empty one.
     """
-    matches = stored(line_matches(a, b, most))
-    own = a.select("key", F.col("i").cast("long").alias("i"), F.coalesce("line", F.lit("")).alias("line"))
-    other = b.select("key", F.col("j").cast("long").alias("j"), F.coalesce("line", F.lit("")).alias("line"))
+    line = F.coalesce("line", F.lit("")).alias("line")
+    own = a.select("key", F.col("i").cast("long").alias("i"), line)
+    other = b.select("key", F.col("j").cast("long").alias("j"), line)
+    both = own.select("key", F.lit(0).alias("side"), F.col("i").alias("at"), "line").unionByName(
+        other.select("key", F.lit(1).alias("side"), F.col("j").alias("at"), "line")
+    )
+    sizes = both.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"), F.sum(F.octet_length("line")).alias("bytes"))
+    large = stored(sizes.where((F.greatest("na", "nb") > most) | (F.col("bytes") > PAIR_BYTES)).select("key"))
+    if large.isEmpty():
+        return _small_scripts(both)
+    of = lambda side, how: _same(side, large, ["key"], how)
+    return _small_scripts(of(both, "left_anti")).unionByName(_large_scripts(of(own, "left_semi"), of(other, "left_semi"), most))
+
+
+_OP = "case kind when 0 then '-' when 1 then '+' else ' ' end"
+
+
+def _small_scripts(both: DataFrame) -> DataFrame:
+    """Scripts of pairs of (key, side, at, line) that a row holds each."""
+    scripts = F.arrow_udf(_row_scripts, "array<struct<gap: bigint, kind: bigint>>")
+    coded = _collected(both, "key").select("key", "rows", scripts("first", F.transform("rows.line", _digest)).alias("codes"))
+    lines = coded.select("key", F.inline(F.arrays_zip("rows", "codes"))).select("key", "codes.gap", F.col("codes.kind").cast("int").alias("kind"), "rows.at", "rows.line")
+    return lines.where("kind < 3").select("key", "gap", "kind", "at", F.expr(_OP).alias("op"), "line")
+
+
+def _large_scripts(own: DataFrame, other: DataFrame, most: int) -> DataFrame:
+    matches = stored(line_matches(own, other, most))
     hit = lambda at: matches.select("key", at, F.lit(1).cast("long").alias("hit"))
 
     def placed(side: DataFrame, at: str) -> DataFrame:

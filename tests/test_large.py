@@ -233,6 +233,39 @@ def test_large_differences(spark, monkeypatch):
                 assert sum(r.op != " " for r in script) == sum(op != " " for op, _ in edit_script(a, b))
 
 
+def test_small_pairs_are_compared_as_a_whole(spark, monkeypatch):
+    """By a shortest script and without rounds over all pairs, whatever lines repeat; a pair of many bytes is a large one."""
+    rng = random.Random(8)
+    pairs = {f"{i}": ([f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 40))], [f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 40))]) for i in range(300)}
+    pairs |= {None: (["a", "b"], ["b", "c"]), "alike": (["x"] * 900, ["y"] + ["x"] * 700), "apart": ([f"a{i}" for i in range(900)], [f"b{i}" for i in range(900)])}
+    pairs = {k: v for k, v in pairs.items() if v != ([], [])}
+    monkeypatch.setattr(diff, "PAIR_BYTES", 8 * 1800)
+    whole = diff.line_matches
+    monkeypatch.setattr(diff, "line_matches", lambda *_: pytest.fail("pairs of few lines go through rounds"))
+    for key, script in scripts(spark, pairs).items():
+        a, b = pairs[key]
+        assert [r.line for r in script if r.op != "+"] == a and [r.line for r in script if r.op != "-"] == b
+        assert sum(r.op != " " for r in script) == sum(op != " " for op, _ in edit_script(a, b))
+    monkeypatch.setattr(diff, "line_matches", whole)
+    monkeypatch.setattr(diff, "PAIR_BYTES", 20)
+    few = {"bytes": (["long line"] * 3 + ["z"], ["long line", "y"]), "short": (["a"], ["b"])}
+    for key, script in scripts(spark, few).items():
+        assert [r.line for r in script if r.op != "+"] == few[key][0] and [r.line for r in script if r.op != "-"] == few[key][1]
+
+
+def test_common_lines(monkeypatch):
+    """By a chain of meetings or, where lines meet too often for it, by a shortest script: as many either way."""
+    rng = random.Random(9)
+    for n in (0, 1, 5, 30, 80):
+        for kinds in (1, 3, 40):
+            a, b = ([rng.randint(0, kinds) for _ in range(rng.randint(0, n))] for _ in range(2))
+            for most in (0, 1 << 20):
+                monkeypatch.setattr(diff, "MEETINGS", most)
+                i, j = (x.tolist() for x in diff.common(a, b))
+                assert i == sorted(set(i)) and j == sorted(set(j)) and [a[x] for x in i] == [b[x] for x in j]
+                assert len(i) == sum(op == " " for op, _ in edit_script(a, b))
+
+
 def test_chains(spark):
     """Against the longest increasing subsequence: slices keep nearly all of it where lines are mostly in order."""
     import numpy as np
