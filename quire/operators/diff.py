@@ -200,6 +200,28 @@ def _row_scripts(firsts, hashes):
     return _lists(ends, ["gap", "kind"], [np.concatenate(gaps), np.concatenate(kinds)])
 
 
+def _row_lengths(firsts, hashes, places):
+    """Length of the longest chain of places that increase on both sides, at which a line of a is one of b."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    codes, at = pc.dictionary_encode(hashes.flatten()).indices.to_pylist(), places.flatten().to_pylist()
+    begin, found = 0, []
+    for n, size in zip(firsts.to_pylist(), pc.list_value_length(hashes).to_pylist(), strict=True):
+        own, other, tops = defaultdict(set), defaultdict(list), []
+        for k in range(begin, begin + n):
+            own[at[k]].add(codes[k])
+        for k in range(begin + n, begin + size):
+            other[codes[k]].append(at[k])
+        for i in sorted(own):
+            for j in sorted({j for code in own[i] for j in other.get(code, ())}, reverse=True):
+                k = bisect_left(tops, j)
+                tops[k : k + 1] = [j]
+        found.append(len(tops))
+        begin += size
+    return pa.array(found, pa.int64())
+
+
 def _collected(lines: DataFrame, *keys: str) -> DataFrame:
     """keys and rows, all other columns of lines in the order of side and at, and first, the number of rows of side 0."""
     rest = ["side", "at", *[c for c in lines.columns if c not in (*keys, "side", "at")]]
@@ -286,3 +308,14 @@ def _large_scripts(own: DataFrame, other: DataFrame, most: int) -> DataFrame:
         rows(left.where("hit is null"), "i", 0, "-").unionByName(rows(right.where("hit is null"), "j", 1, "+"))
         .unionByName(rows(left.where("hit is not null"), "i", 2, " "))
     )
+
+
+def common_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key and n, the number of lines that a (key, i, line) and b (key, j, line) have in the same order.
+
+    Several texts of a side may share a key: a place then holds the lines that any of them has there.
+    A row holds the distinct lines of the texts of a key.
+    """
+    side = lambda df, k, at: df.select("key", F.lit(k).alias("side"), F.col(at).cast("long").alias("at"), _digest(F.coalesce("line", F.lit(""))).alias("h"))
+    rows = _collected(side(a, 0, "i").unionByName(side(b, 1, "j")).distinct(), "key")
+    return rows.select("key", F.arrow_udf(_row_lengths, "bigint")("first", F.col("rows.h"), F.col("rows.at")).alias("n"))

@@ -175,13 +175,14 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     return script
 
 
-def lines_of(text: str) -> list[str]:
-    """The lines of a text; a line end at its end opens no further one."""
-    lines = text.split("\n")
-    return lines[:-1] if lines and lines[-1] == "" else lines
+def lines_of(text: str | None, blank: bool = False) -> list[str]:
+    """The lines of a text; a line end at its end opens no further one. A null has none; an empty text one if blank, else none."""
+    if not text:
+        return [""] if blank and text is not None else []
+    return text.removesuffix("\n").split("\n")
 
 
-def _scripts(batches: Iterator):
+def _scripts(batches: Iterator, blank: bool = False):
     """key and diff of batches of key, a and b, handed on in parts of SCRIPT_BYTES or one pair."""
     import pyarrow as pa
 
@@ -195,7 +196,7 @@ def _scripts(batches: Iterator):
     for batch in batches:
         first, size, scripts = 0, 0, []
         for i, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-            scripts.append(edit_script(lines_of(x.as_py() or ""), lines_of(y.as_py() or "")))
+            scripts.append(edit_script(lines_of(x.as_py(), blank), lines_of(y.as_py(), blank)))
             size += sum(len(line) + LINE_BYTES for _, line in scripts[-1])
             if size > SCRIPT_BYTES:
                 yield packed(batch.column("key").slice(first, len(scripts)), scripts)
@@ -204,15 +205,15 @@ def _scripts(batches: Iterator):
             yield packed(batch.column("key").slice(first), scripts)
 
 
-def line_diff(pairs: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
+def line_diff(pairs: DataFrame, key: str, a: str = "a", b: str = "b", blank: bool = False) -> DataFrame:
     """key and diff, array<struct<op, line>>, of each pair of texts; a pair is compared in its row.
 
-    A Python worker holds a batch of texts and scripts of SCRIPT_BYTES or one pair, not those of the whole batch.
+    Texts that are null or empty have no lines; with blank, an empty one has an empty line. A Python worker holds a batch of texts and scripts of SCRIPT_BYTES or one pair, not those of the whole batch.
     """
     kind = pairs.schema[key].dataType.simpleString()
 
     narrow = pairs.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
-    found = narrow.mapInArrow(_scripts, f"key {kind}, diff array<struct<op: string, line: string>>")
+    found = narrow.mapInArrow(lambda batches: _scripts(batches, blank), f"key {kind}, diff array<struct<op: string, line: string>>")
     return found.withColumnRenamed("key", key)
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import choices, geometry, names, numbers, ranges, text
-from .operators import archives, epub, html, images, pages, regions, split, tabular, timeline
+from .operators import archives, diff, epub, html, images, pages, regions, split, tabular, timeline
+from .operators.lineage import bounded, stored
 from .plans import catalog, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,11 +439,25 @@ c AS (SELECT doc_id, i, j, 1 AS n FROM m UNION SELECT c.doc_id, m.i, m.j, c.n +
 k AS (SELECT doc_id, max(n) AS n FROM c GROUP BY doc_id)
 SELECT doc_id, CAST(len(b) - coalesce(n, 0) AS BIGINT) AS added, CAST(len(a) - coalesce(n, 0) AS BIGINT) AS removed FROM p LEFT JOIN k USING (doc_id)""")
 def line_diff_counts(spark, sf_dir):
+    """Lines added and removed, null where there is no text; texts that share an id are compared together."""
     found = _read(spark, sf_dir, "documents").select("doc_id", "text")
     other = found.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
     pairs = found.withColumnRenamed("text", "a").join(other, "doc_id")
-    diff = html.line_diff(pairs, "doc_id")
-    return diff.select("doc_id", html.count_op(F.col("diff"), "+").alias("added"), html.count_op(F.col("diff"), "-").alias("removed"))
+    own = F.struct("doc_id", F.col("a").isNotNull().alias("has_a"), F.col("b").isNotNull().alias("has_b"))
+    compared = html.line_diff(pairs.select(own.alias("pair"), "a", "b"), "pair", blank=True)
+    counts = compared.select("pair.*", *[html.count_op(F.col("diff"), op).alias(n) for n, op in (("added", "+"), ("removed", "-"), ("same", " "))])
+    shared = stored(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null"))
+    common = F.col("same")
+    if not shared.isEmpty():
+        keys = bounded(shared.select(F.explode(F.array("doc_id", F.col("doc_id") - 1)).alias("doc_id")).distinct())
+        lines = lambda df, text, at: df.join(keys, "doc_id", "left_semi").select(
+            F.col("doc_id").alias("key"), F.posexplode(F.split(F.regexp_replace(text, r"\n\z", ""), "\n")).alias(at, "line")
+        )
+        together = diff.common_counts(lines(found, "text", "i"), lines(other, "b", "j"))
+        counts = counts.join(together.withColumnRenamed("key", "doc_id"), "doc_id", "left")
+        common = F.coalesce("n", "same")
+    size = lambda there, more: F.when(F.col(there), F.col(more) + F.col("same") - common)
+    return counts.select("doc_id", size("has_b", "added").alias("added"), size("has_a", "removed").alias("removed"))
 
 
 # Tables
