@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import archives, diff, prefix, split, tree
-from .operators.lineage import shared_folder
+from .operators.lineage import shared_folder, stored
 from .queries import _entries, _moved, _OLD, _pages, _read, query
 
 
@@ -114,13 +114,21 @@ WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM do
 s AS (SELECT doc_id, a, list_concat(list_filter(a, lambda x, i: i % 4 <> 0), ['added'], a[1:2]) AS b FROM l)
 SELECT doc_id, md5(array_to_string(a, chr(10))) AS before, md5(array_to_string(b, chr(10))) AS after, CAST(len(b) - len(a) AS BIGINT) AS grown FROM s""")
 def line_script_rebuilt(spark, sf_dir):
-    """Both texts of each pair put together again from the script between them."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    """Both texts of each pair put together again from the script between them; where ids are shared, a pair for each text of an id."""
+    found = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    alone = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")).isEmpty()
+    if not alone:
+        copies = found.groupBy("key", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), F.count("*").cast("int").alias("n"))
+        found = stored(copies.select(F.struct("key", "hash", "n").alias("key"), "text"))
+    lines = F.split("text", "\n")
     changed = F.concat(F.filter(lines, lambda x, i: i % 4 != 3), F.array(F.lit("added")), F.slice(lines, 1, 2))
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), lines.alias("a"), changed.alias("b"))
+    docs = found.select("key", lines.alias("a"), changed.alias("b"))
     a, b = docs.select("key", F.posexplode("a").alias("i", "line")), docs.select("key", F.posexplode("b").alias("j", "line"))
     script = diff.line_script(a, b)
     listed = script.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("gap", "kind", "at", "op", "line"))).alias("rows"))  # a document's lines
     side = lambda other: F.md5(F.array_join(F.transform(F.filter("rows", lambda r: r["op"] != other), lambda r: r["line"]), "\n"))
     count = lambda op: F.size(F.filter("rows", lambda r: r["op"] == op))
-    return listed.select(F.col("key").alias("doc_id"), side("+").alias("before"), side("-").alias("after"), (count("+") - count("-")).cast("long").alias("grown"))
+    rebuilt = listed.select("key", side("+").alias("before"), side("-").alias("after"), (count("+") - count("-")).cast("long").alias("grown"))
+    if not alone:
+        rebuilt = rebuilt.withColumn("copy", F.explode(F.sequence(F.lit(1), "key.n"))).withColumn("key", F.col("key.key"))
+    return rebuilt.select(F.col("key").alias("doc_id"), "before", "after", "grown")
